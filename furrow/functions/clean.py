@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: White space of every kind, no-break and zero-width ones included.
+BLANK = r"[\s\p{Z}\x{200B}\x{FEFF}]"
 # The words that name each split.
 SPLIT_WORDS = {
     "train": ["train", "training"],
@@ -21,7 +23,7 @@ TRUE_WORDS = ["true", "t", "1", "yes", "y"]
 
 def squeeze(col: Column | str) -> Column:
     """Lower case without white space at either end."""
-    return F.lower(F.regexp_replace(col, r"^[\s ]+|[\s ]+$", ""))
+    return F.lower(F.regexp_replace(col, rf"^{BLANK}+|{BLANK}+$", ""))
 
 
 def split_name(col: Column | str) -> Column:
@@ -35,7 +37,7 @@ def split_name(col: Column | str) -> Column:
 
 def class_name(col: Column | str) -> Column:
     """Lower-case words joined by one underscore; NULL when nothing is left."""
-    word = F.regexp_replace(squeeze(col), r"[\s _-]+", "_")
+    word = F.regexp_replace(squeeze(col), rf"(?:{BLANK}|[_-])+", "_")
     return F.when(word != "", word)
 
 
@@ -55,7 +57,7 @@ def hash64(col: Column | str) -> Column:
     Case, a 0x prefix, separators, blanks and lost leading zeros make no
     difference; a cell that spells no number of at most 16 digits gives NULL.
     """
-    digits = F.regexp_replace(F.regexp_replace(F.lower(col), r"[\s :_.,-]", ""), "^0x", "")
+    digits = F.regexp_replace(F.regexp_replace(F.lower(col), rf"{BLANK}|[:_.,-]", ""), "^0x", "")
     padded = F.lpad(digits, 16, "0")
     half = lambda at: F.conv(F.substring(padded, at, 8), 16, 10).cast("bigint")
     return F.when(digits.rlike("^[0-9a-f]{1,16}$"), F.shiftleft(half(1), 32).bitwiseOR(half(9)))
@@ -63,7 +65,7 @@ def hash64(col: Column | str) -> Column:
 
 def plain_path(col: Column | str) -> Column:
     """A relative path with forward slashes, without leading ./ and outer blanks."""
-    slashed = F.translate(F.regexp_replace(col, r"^[\s ]+|[\s ]+$", ""), "\\", "/")
+    slashed = F.translate(F.regexp_replace(col, rf"^{BLANK}+|{BLANK}+$", ""), "\\", "/")
     return F.regexp_replace(slashed, r"^(\./+)+", "")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from furrow.plans import q_filters  # noqa: F401
+from furrow.plans.registry import ORACLE, QUERIES  # noqa: F401
+
 FLAGSHIP = "knn_report"
