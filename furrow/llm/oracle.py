@@ -2,27 +2,8 @@
 
 from __future__ import annotations
 
-_WORD = r"lower(regexp_replace({c}, '^[\s ]+|[\s ]+$', '', 'g'))"
-
-
-def _word(c: str) -> str:
-    return _WORD.format(c=c)
-
-
-_HEX = r"regexp_replace(regexp_replace(lower(dhash), '[\s :_.,-]', '', 'g'), '^0x', '')"
-
-MANIFEST = rf"""
-raw_m AS (
-  SELECT path, source_folder, {_word("split")} AS s, regexp_replace({_word("final_class")}, '[\s _-]+', '_', 'g') AS c,
-         {_word("is_dup_copy")} AS copy_word, {_word("dup_source")} AS copy_of, {_HEX} AS digits
-  FROM manifest WHERE path IS NOT NULL),
-m AS (
-  SELECT DISTINCT path, source_folder,
-    CASE WHEN s IN ('train','training') THEN 'train' WHEN s IN ('val','valid','validation') THEN 'val' WHEN s IN ('test','testing') THEN 'test' END AS split,
-    nullif(c, '') AS final_class,
-    coalesce(copy_word IN ('true','t','1','yes','y'), false) OR coalesce(copy_of <> '', false) AS is_copy,
-    CASE WHEN regexp_full_match(digits, '[0-9a-f]{{1,16}}') THEN CAST('0x' || digits AS UBIGINT) END AS h
-  FROM raw_m)"""
+from furrow.plans.sql import M as MANIFEST
+from furrow.plans.sql import word as _word
 
 _STEM = r"regexp_replace(regexp_replace(lower(regexp_replace(path, '^.*[/\\]', '')), '\.[^.]*$', ''), '(_hard[0-9]+|__dup[0-9]+)+$', '')"
 
@@ -30,9 +11,9 @@ P2_PAIRS = rf"""
 k AS (SELECT *, {_STEM} AS photo FROM m),
 pairs AS (
   SELECT t.path AS train_path, e.path AS eval_path, e.split, e.source_folder,
-         CASE WHEN bit_count(xor(t.h, e.h)::BIT) <= 5 THEN bit_count(xor(t.h, e.h)::BIT) END AS bits
+         CASE WHEN bit_count(xor(t.hash, e.hash)::BIT) <= 5 THEN bit_count(xor(t.hash, e.hash)::BIT) END AS bits
   FROM k t JOIN k e ON t.split = 'train' AND e.split IN ('val','test')
-  WHERE bit_count(xor(t.h, e.h)::BIT) <= 5 OR (t.source_folder = e.source_folder AND t.photo = e.photo))"""
+  WHERE bit_count(xor(t.hash, e.hash)::BIT) <= 5 OR (t.source_folder = e.source_folder AND t.photo = e.photo))"""
 
 _COMPONENTS = """
 reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
@@ -59,15 +40,15 @@ SELECT split, source_folder, count(*) AS n_pairs, count(DISTINCT eval_path) AS n
 FROM pairs GROUP BY split, source_folder""",
     "p3_found": f"WITH {MANIFEST}, {_NEEDS} SELECT plan_id, final_class FROM needs WHERE n_available < min_rows OR n_available < CAST(target_share AS DECIMAL(12,8)) * CAST(sample_size AS DECIMAL(18,0))",
     "p4_found": f"""WITH RECURSIVE {MANIFEST},
-edges AS (SELECT a.path AS a, b.path AS b FROM m a JOIN m b ON a.path <> b.path AND bit_count(xor(a.h, b.h)::BIT) <= 5), {_COMPONENTS},
+edges AS (SELECT a.path AS a, b.path AS b FROM m a JOIN m b ON a.path <> b.path AND bit_count(xor(a.hash, b.hash)::BIT) <= 5), {_COMPONENTS},
 torn AS (SELECT root FROM comp JOIN m USING (path) GROUP BY root HAVING count(DISTINCT split) > 1)
 SELECT path FROM comp WHERE root IN (SELECT root FROM torn)""",
     "p5_found": rf"""WITH RECURSIVE {MANIFEST},
-spelt AS (SELECT regexp_replace(replace(regexp_replace(path_a, '^[\s ]+|[\s ]+$', '', 'g'), '\', '/'), '^(\./+)+', '') AS a,
-                 regexp_replace(replace(regexp_replace(path_b, '^[\s ]+|[\s ]+$', '', 'g'), '\', '/'), '^(\./+)+', '') AS b
+spelt AS (SELECT regexp_replace(replace(regexp_replace(path_a, '^[\s\p{Z}\x{200B}\x{FEFF}]+|[\s\p{Z}\x{200B}\x{FEFF}]+$', '', 'g'), '\', '/'), '^(\./+)+', '') AS a,
+                 regexp_replace(replace(regexp_replace(path_b, '^[\s\p{Z}\x{200B}\x{FEFF}]+|[\s\p{Z}\x{200B}\x{FEFF}]+$', '', 'g'), '\', '/'), '^(\./+)+', '') AS b
           FROM match_pairs WHERE {_word("verdict")} IN ('match','same')),
 good AS (SELECT a, b FROM spelt WHERE a <> b AND a IN (SELECT path FROM m) AND b IN (SELECT path FROM m)),
-edges AS (SELECT a, b FROM good UNION SELECT b, a FROM good UNION SELECT x.path, y.path FROM m x JOIN m y ON x.h = y.h AND x.path <> y.path), {_COMPONENTS}
+edges AS (SELECT a, b FROM good UNION SELECT b, a FROM good UNION SELECT x.path, y.path FROM m x JOIN m y ON x.hash = y.hash AND x.path <> y.path), {_COMPONENTS}
 SELECT root AS group_path, path FROM comp WHERE root <> path""",
     "p7_found": rf"""WITH i AS (SELECT item_id, {_ITEM_WORDS} AS w FROM eval_items),
 d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents WHERE text IS NOT NULL),
