@@ -5,6 +5,7 @@ from __future__ import annotations
 from furrow.plans.sql import M as MANIFEST
 from furrow.plans.sql import word as _word
 
+_BLANK = r"[\s\p{Z}\x{200B}\x{FEFF}]"
 _STEM = r"regexp_replace(regexp_replace(lower(regexp_replace(path, '^.*[/\\]', '')), '\.[^.]*$', ''), '(_hard[0-9]+|__dup[0-9]+)+$', '')"
 
 P2_PAIRS = rf"""
@@ -44,8 +45,8 @@ edges AS (SELECT a.path AS a, b.path AS b FROM m a JOIN m b ON a.path <> b.path
 torn AS (SELECT root FROM comp JOIN m USING (path) GROUP BY root HAVING count(DISTINCT split) > 1)
 SELECT path FROM comp WHERE root IN (SELECT root FROM torn)""",
     "p5_found": rf"""WITH RECURSIVE {MANIFEST},
-spelt AS (SELECT regexp_replace(replace(regexp_replace(path_a, '^[\s\p{Z}\x{200B}\x{FEFF}]+|[\s\p{Z}\x{200B}\x{FEFF}]+$', '', 'g'), '\', '/'), '^(\./+)+', '') AS a,
-                 regexp_replace(replace(regexp_replace(path_b, '^[\s\p{Z}\x{200B}\x{FEFF}]+|[\s\p{Z}\x{200B}\x{FEFF}]+$', '', 'g'), '\', '/'), '^(\./+)+', '') AS b
+spelt AS (SELECT regexp_replace(replace(regexp_replace(path_a, '^{_BLANK}+|{_BLANK}+$', '', 'g'), '\', '/'), '^(\./+)+', '') AS a,
+                 regexp_replace(replace(regexp_replace(path_b, '^{_BLANK}+|{_BLANK}+$', '', 'g'), '\', '/'), '^(\./+)+', '') AS b
           FROM match_pairs WHERE {_word("verdict")} IN ('match','same')),
 good AS (SELECT a, b FROM spelt WHERE a <> b AND a IN (SELECT path FROM m) AND b IN (SELECT path FROM m)),
 edges AS (SELECT a, b FROM good UNION SELECT b, a FROM good UNION SELECT x.path, y.path FROM m x JOIN m y ON x.hash = y.hash AND x.path <> y.path), {_COMPONENTS}
