@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from furrow.plans import q_filters, q_metrics  # noqa: F401
+from furrow.plans import q_filters, q_metrics, q_models  # noqa: F401
 from furrow.plans.registry import ORACLE, QUERIES  # noqa: F401
 
 FLAGSHIP = "knn_report"
