@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from furrow.session import Scratch
 
 #: Low bits of a vector's number that count within its block.
-PLACE_BITS = 12
+PLACE_BITS = 13
 LISTS = "pos bigint, nb array<bigint>, nd array<float>"
 
 
@@ -144,11 +144,12 @@ def block_neighbours(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         return np.empty((n, 0), np.int64), np.empty((n, 0), np.float32)
     c = x - x.mean(0)
     s = np.einsum("ij,ij->i", c, c)
-    d = s[:, None] + s[None] - 2 * (c @ c.T)
-    np.fill_diagonal(d, np.inf)
-    p = np.argpartition(d, k - 1, axis=1)[:, :k] if k < n - 1 else np.argsort(d, axis=1)[:, :k]
-    exact = np.empty(p.shape, np.float32)
+    p = np.empty((n, k), np.int64)
+    exact = np.empty((n, k), np.float32)
     for i in range(0, n, 512):
+        d = s[None] - 2 * (c[i : i + 512] @ c.T)
+        d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
+        p[i : i + 512] = np.argpartition(d, k - 1, axis=1)[:, :k]
         e = x[p[i : i + 512]] - x[i : i + 512, None]
         exact[i : i + 512] = np.einsum("ijk,ijk->ij", e, e)
     o = np.argsort(exact, axis=1, kind="stable")
@@ -191,7 +192,7 @@ def _number_home(size: int, k: int, dim: int, extra: list[str]):
             x = _vectors(rows["v"], dim)
             near, d = block_neighbours(x, k)
             lengths = np.full(len(x), near.shape[1])
-            out = pa.table({"pos": pos, **{c: rows[c] for c in ("h1", "h2", "v", *extra)}, "norm": np.linalg.norm(x, axis=1).astype(np.float32), "nb": _list_array(pos[near].ravel(), lengths, pa.int64()), "nd": _list_array(d.ravel(), lengths, pa.float32())})
+            out = pa.table({"pos": pos, **{c: rows[c] for c in ("vec_id", "h1", "h2", "v", *extra)}, "norm": np.linalg.norm(x, axis=1).astype(np.float32), "nb": _list_array(pos[near].ravel(), lengths, pa.int64()), "nd": _list_array(d.ravel(), lengths, pa.float32())})
             yield from out.to_batches()
 
     return run
@@ -247,59 +248,64 @@ def _merge(k: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _local_join(k: int, dim: int) -> Callable[[pa.Table], pa.Table]:
+def _local_join(k: int, reverse: int, dim: int) -> Callable[[pa.Table], pa.Table]:
     """Compare the neighbours of each own vector with each other.
 
-    kind 0: own vector, 1: foreign vector (both with the distance it must
-    beat), 2: own list, 3: links that others have to an own vector.
+    kind 0: own vector, 1: visitor, a vector of another block that has an own
+    one as neighbour (both with the distance that a new neighbour must beat),
+    2: own list, 3: the visitors of an own vector.  Pairs of one block are
+    known from the start and left out.
     """
     empty = pa.table({"pos": pa.array([], pa.int64()), "nb": pa.array([], pa.list_(pa.int64())), "nd": pa.array([], pa.list_(pa.float32()))})
 
     def run(rows: pa.Table) -> pa.Table:
         kind = rows["kind"].to_numpy()
         vec = rows.filter(pa.array(kind < 2)).sort_by("pos")
-        ids, limit, x = vec["pos"].to_numpy(), vec["far"].to_numpy(), _vectors(vec["v"], dim)
-        links = rows.filter(pa.array(kind >= 2))
-        u, v, _ = _flat(links)
-        if not len(u):
-            return empty
+        ids, x = vec["pos"].to_numpy(), _vectors(vec["v"], dim)
+        limit = vec["far"].to_numpy(zero_copy_only=False).astype(np.float32)
+        lists = rows.filter(pa.array(kind == 2))
+        limit[np.searchsorted(ids, lists["pos"].to_numpy())] = lists["far"].to_numpy()
         home = ids >> PLACE_BITS
-        iu, iv = np.searchsorted(ids, u), np.searchsorted(ids, v)
-        o = np.lexsort((iv, iu))
-        iu, iv = iu[o], iv[o]
-        keep = np.ones(len(iu), bool)
-        keep[1:] = (iu[1:] != iu[:-1]) | (iv[1:] != iv[:-1])
-        iu, iv = iu[keep], iv[keep]
+        vu, vv, _ = _flat(rows.filter(pa.array(kind == 3)))
+        if not len(vu):
+            return empty
+        u, v, d = _flat(lists)
+        known_u, known_v = u, v
+        inside = (u >> PLACE_BITS) == (v >> PLACE_BITS)
+        u, v, d = u[inside], v[inside], d[inside]
+        # The same links seen from the other end, the nearest ``reverse`` of each.
+        o = np.lexsort((u, d, v))
+        ru, rv = v[o], u[o]
+        _, first, counts = np.unique(ru, return_index=True, return_counts=True)
+        near = np.arange(len(ru)) - np.repeat(first, counts) < reverse
+        u, v = np.concatenate([u, ru[near], vu]), np.concatenate([v, rv[near], vv])
+        busy = np.isin(u, np.unique(vu))
+        iu, iv = np.searchsorted(ids, u[busy]), np.searchsorted(ids, v[busy])
+        key = np.unique(iu * len(ids) + iv)
+        iu, iv = key // len(ids), key % len(ids)
         owners, first, counts = np.unique(iu, return_index=True, return_counts=True)
-        abroad = np.add.reduceat((home[iv] != home[iu]).astype(np.int32), first) > 0
         width = counts.max() + 1
         lists = np.full((len(owners), width), -1, np.int64)
         lists[:, 0] = owners
         lists[np.repeat(np.arange(len(owners)), counts), np.arange(len(iu)) - np.repeat(first, counts) + 1] = iv
-        lists = lists[abroad]
-        out_a, out_b, out_d = [], [], []
-        step = max(1, 4_000_000 // (width * max(width, dim)))
+        out_a, out_b = [], []
+        step = max(1, 2_000_000 // (width * max(width, dim)))
         for at in range(0, len(lists), step):
             m = lists[at : at + step]
-            near = x[m] - x[m[:, :1]]
-            s = np.einsum("ijk,ijk->ij", near, near)
-            d = s[:, :, None] + s[:, None, :] - 2 * (near @ near.transpose(0, 2, 1))
+            off = x[m] - x[m[:, :1]]
+            s = np.einsum("ijk,ijk->ij", off, off)
+            d = s[:, :, None] + s[:, None, :] - 2 * (off @ off.transpose(0, 2, 1))
             there = m >= 0
             site = np.where(there, home[m], -1)
             better = (d < limit[m][:, :, None] * 1.0001) & there[:, :, None] & there[:, None, :] & (site[:, :, None] != site[:, None, :])
             i, p, q = np.nonzero(better)
             out_a.append(m[i, p])
             out_b.append(m[i, q])
-            out_d.append(d[i, p, q])
-        if not out_a:
-            return empty
-        a, b, d = np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_d)
-        key = a * len(ids) + b
-        _, at = np.unique(key, return_index=True)
-        a, b = a[at], b[at]
-        known = iu * len(ids) + iv  # of own vectors both directions are linked here
-        fresh = ~np.isin(a * len(ids) + b, known) | (home[a] != home[owners[0]])
-        a, b = a[fresh], b[fresh]
+        key = np.unique(np.concatenate(out_a) * len(ids) + np.concatenate(out_b))
+        known = np.searchsorted(ids, known_v)
+        held = ids[np.minimum(known, len(ids) - 1)] == known_v
+        key = key[~np.isin(key, np.searchsorted(ids, known_u[held]) * len(ids) + known[held])]
+        a, b = key // len(ids), key % len(ids)
         e = x[a] - x[b]
         d = np.einsum("ij,ij->i", e, e)
         better = d < limit[a]
@@ -314,26 +320,43 @@ def _local_join(k: int, dim: int) -> Callable[[pa.Table], pa.Table]:
 
 @dataclass
 class VectorGraph:
-    """nodes: pos, h1, h2, v, norm.  lists: pos, nb, nd (squared distances), nearest first.  members: vec_id, h1, h2."""
+    """The nodes are the distinct vectors.
+
+    nodes: pos, vec_id (NULL where several ids, or rows, have the vector), h1,
+    h2, v, norm.  lists: pos, nb, nd (squared distances), nearest first.
+    shared: vec_id, h1, h2 of the ids without a node of their own.
+    """
 
     nodes: DataFrame
     lists: DataFrame
-    members: DataFrame
+    shared: DataFrame
     source: DataFrame
     dim: int
     k: int
     scratch: Scratch
 
+    def placed(self) -> DataFrame:
+        """(vec_id, pos) of every id."""
+        some = self.nodes.where("vec_id IS NULL").select("h1", "h2", "pos")
+        return self.nodes.where("vec_id IS NOT NULL").select("vec_id", "pos").unionByName(self.shared.join(some, ["h1", "h2"]).select("vec_id", "pos"))
+
+    def named(self, most: int) -> DataFrame:
+        """(pos, norm, ids): the ``most`` smallest ids of each node."""
+        small = Window.partitionBy("h1", "h2").orderBy("vec_id")
+        firsts = self.shared.withColumn("r", F.row_number().over(small)).where(F.col("r") <= most).groupBy("h1", "h2").agg(F.sort_array(F.collect_list("vec_id")).alias("several"))
+        ids = F.when(F.col("vec_id").isNotNull(), F.array("vec_id")).otherwise(F.col("several"))
+        return self.nodes.select("pos", "vec_id", "h1", "h2", "norm").join(firsts, ["h1", "h2"], "left").select("pos", "norm", ids.alias("ids")).where("ids IS NOT NULL")
+
 
 def build_graph(
     features: DataFrame,
     dim: int = 50,
-    k: int = 10,
+    k: int = 8,
     orders: int = 3,
-    block: int = 2048,
-    reverse: int = 10,
-    max_rounds: int = 4,
-    settle: float = 0.002,
+    block: int = 3584,
+    reverse: int = 8,
+    max_rounds: int = 6,
+    settle: float = 0.01,
     sample: int = 32768,
     seed: int = 5,
     id_col: str = "vec_id",
@@ -347,8 +370,9 @@ def build_graph(
     orders are fitted on, never what is indexed.  Rounds end when less than
     ``settle`` of the list entries changed, or after ``max_rounds``.  A round
     joins a vector's own ``k`` neighbours and, of the vectors that have it as
-    neighbour, the nearest ``reverse`` (NN-descent's bounded reverse list, so
-    a hub's group stays bounded); recall is measured in the tests.
+    neighbour, the nearest ``reverse`` of its own block and of the others
+    (NN-descent's bounded reverse list, so a hub's group stays bounded); recall
+    is measured in the tests.
     """
     if block * 3 // 2 >= 1 << PLACE_BITS:
         raise ValueError("block is too large")
@@ -360,16 +384,22 @@ def build_graph(
     pick = F.shiftrightunsigned(F.xxhash64("vec_id", F.lit(seed)), 12) < F.lit(int(share * (1 << 52)))
     drawn = [r.x for r in usable.where(pick).select("x").limit(2 * sample).collect()]
     fitted = np.array(drawn, np.float64).reshape(-1, dim)
-    fits = [fit_order(fitted, max(1, n // block), seed + i) for i in range(orders)]
+    fits = [fit_order(fitted, max(1, 2 * n // block), seed + i) for i in range(orders)]
     extra = [c for i in range(1, orders) for c in (f"code{i}", f"along{i}")]
     keys = "".join(f", code{i} bigint, along{i} double" for i in range(orders))
     coded = scratch.save(usable.mapInArrow(_coder(fits, dim), f"vec_id bigint, h1 bigint, h2 bigint, v binary{keys}"))
-    members = scratch.save(coded.groupBy("vec_id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("vec_id", "h.h1", "h.h2"))
+    ids = coded.groupBy("vec_id").agg(F.min(F.struct("h1", "h2")).alias("h"), F.count("*").alias("c")).select("vec_id", "h.h1", "h.h2", "c")
+    ids = scratch.save(ids)
+    families = ids.groupBy("h1", "h2").agg(F.count("*").alias("m")).where("m > 1").select("h1", "h2")
+    shared = ids.where("c > 1").select("vec_id", "h1", "h2").union(ids.join(families, ["h1", "h2"], "left_semi").select("vec_id", "h1", "h2")).distinct()
+    shared = scratch.save(shared)
     parts = max(1, math.ceil(n / (4 * block)))
-    distinct = coded.drop("vec_id").dropDuplicates(["h1", "h2"])
-    ordered = distinct.repartitionByRange(parts, "code0", "along0", "h1", "h2").sortWithinPartitions("code0", "along0", "h1", "h2")
+    # Only ids that share a vector or are given more than once need the wide de-duplication.
+    alone = coded.join(shared.select("vec_id"), "vec_id", "left_anti")
+    once = coded.join(shared.select("vec_id"), "vec_id", "left_semi").dropDuplicates(["h1", "h2"]).withColumn("vec_id", F.lit(None).cast("bigint"))
+    ordered = alone.unionByName(once).repartitionByRange(parts, "code0", "along0", "h1", "h2").sortWithinPartitions("code0", "along0", "h1", "h2")
     more = "".join(f", code{i} bigint, along{i} double" for i in range(1, orders))
-    nodes = scratch.save(ordered.mapInArrow(_number_home(block, k, dim, extra), f"pos bigint, h1 bigint, h2 bigint, v binary{more}, norm float, nb array<bigint>, nd array<float>"))
+    nodes = scratch.save(ordered.mapInArrow(_number_home(block, k, dim, extra), f"pos bigint, vec_id bigint, h1 bigint, h2 bigint, v binary{more}, norm float, nb array<bigint>, nd array<float>"))
     scratch.drop(coded)
     scratch.release()
     found = nodes.select("pos", "nb", "nd")
@@ -387,7 +417,7 @@ def build_graph(
         scratch.release()
         if (lists.agg(F.sum("n_new")).first()[0] or 0) <= settle * n * k:
             break
-    return VectorGraph(nodes.select("pos", "h1", "h2", "v", "norm"), lists.select("pos", "nb", "nd"), members, usable, dim, k, scratch)
+    return VectorGraph(nodes.select("pos", "vec_id", "h1", "h2", "v", "norm"), lists.select("pos", "nb", "nd"), shared, usable, dim, k, scratch)
 
 
 def _merged(old: DataFrame, new: DataFrame, k: int, scratch: Scratch) -> DataFrame:
@@ -401,19 +431,18 @@ def _round(nodes: DataFrame, lists: DataFrame, k: int, reverse: int, dim: int) -
     none = lambda kind: F.lit(None).cast(kind)
     site = lambda c: F.shiftright(c, PLACE_BITS)
     far = F.when(F.size("nd") >= k, F.element_at("nd", -1)).otherwise(F.lit(float("inf"))).cast("float")
-    links = lists.select(F.col("pos").alias("u"), F.explode(F.arrays_zip("nb", "nd")).alias("l")).select("u", F.col("l.nb").alias("v"), F.col("l.nd").alias("d"))
+    links = lists.select(F.col("pos").alias("u"), far.alias("far"), F.explode(F.arrays_zip("nb", "nd")).alias("l")).select("u", "far", F.col("l.nb").alias("v"), F.col("l.nd").alias("d"))
     nearest = Window.partitionBy("v").orderBy("d", "u")
-    back = links.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= reverse).select(F.col("v").alias("u"), F.col("u").alias("v"))
-    needs = links.select("u", "v").unionByName(back).where(site("u") != site("v")).select(site("u").alias("site"), F.col("v").alias("pos")).distinct()
-    vectors = nodes.select("pos", "v").join(lists.select("pos", far.alias("far")), "pos")
-    foreign = vectors.join(needs, "pos").select("site", F.lit(1).alias("kind"), "pos", "v", "far", none("array<bigint>").alias("nb"), none("array<float>").alias("nd"))
-    own = vectors.select(site("pos").alias("site"), F.lit(0).alias("kind"), "pos", "v", "far", none("array<bigint>").alias("nb"), none("array<float>").alias("nd"))
-    ahead = lists.select(site("pos").alias("site"), F.lit(2).alias("kind"), "pos", none("binary").alias("v"), none("float").alias("far"), "nb", "nd")
-    behind = back.groupBy("u").agg(F.collect_list("v").alias("nb")).select(
-        site("u").alias("site"), F.lit(3).alias("kind"), F.col("u").alias("pos"), none("binary").alias("v"), none("float").alias("far"), "nb", F.transform("nb", lambda _: F.lit(0.0).cast("float")).alias("nd")
+    abroad = links.where(site("u") != site("v")).withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= reverse)
+    needs = abroad.select(site("v").alias("site"), F.col("u").alias("pos"), "far").distinct()
+    visitors = nodes.select("pos", "v").join(needs, "pos").select("site", F.lit(1).alias("kind"), "pos", "v", "far", none("array<bigint>").alias("nb"), none("array<float>").alias("nd"))
+    own = nodes.select(site("pos").alias("site"), F.lit(0).alias("kind"), "pos", "v", none("float").alias("far"), none("array<bigint>").alias("nb"), none("array<float>").alias("nd"))
+    ahead = lists.select(site("pos").alias("site"), F.lit(2).alias("kind"), "pos", none("binary").alias("v"), far.alias("far"), "nb", "nd")
+    visits = abroad.groupBy("v").agg(F.collect_list("u").alias("nb"), F.collect_list("d").alias("nd")).select(
+        site("v").alias("site"), F.lit(3).alias("kind"), F.col("v").alias("pos"), none("binary").alias("v"), none("float").alias("far"), "nb", "nd"
     )
-    rows = own.unionByName(foreign).unionByName(ahead).unionByName(behind)
-    return rows.groupBy("site").applyInArrow(_local_join(k, dim), LISTS)
+    rows = own.unionByName(visitors).unionByName(ahead).unionByName(visits)
+    return rows.groupBy("site").applyInArrow(_local_join(k, reverse, dim), LISTS)
 
 
 # ---------------------------------------------------------------- results
@@ -431,27 +460,27 @@ def nearest(graph: VectorGraph, top: int = 5) -> DataFrame:
     if graph.k < top:
         raise ValueError("the graph keeps fewer neighbours than asked for")
     scratch = graph.scratch
-    small = Window.partitionBy("h1", "h2").orderBy("vec_id")
-    firsts = graph.members.withColumn("r", F.row_number().over(small)).where(F.col("r") <= top + 1).groupBy("h1", "h2").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    named = scratch.save(graph.nodes.select("pos", "h1", "h2", "norm").join(firsts, ["h1", "h2"]))
-    links = graph.lists.select("pos", F.explode(F.arrays_zip("nb", "nd")).alias("l")).select("pos", F.col("l.nb").alias("v"), F.sqrt(F.col("l.nd").cast("double")).alias("d"))
+    named = scratch.save(graph.named(top + 1))
+    reach = F.arrays_zip(F.slice("nb", 1, top + 3).alias("nb"), F.slice("nd", 1, top + 3).alias("nd"))
+    links = graph.lists.select("pos", F.explode(reach).alias("l")).select("pos", F.col("l.nb").alias("v"), F.sqrt(F.col("l.nd").cast("double")).alias("d"))
     there = named.select(F.col("pos").alias("v"), "ids", "norm")
     spread = links.join(there, "v").select("pos", "d", "norm", F.explode("ids").alias("id"))
     own = named.select("pos", F.lit(0.0).alias("d"), "norm", F.explode("ids").alias("id"))
     entry = F.struct("d", "id", "norm")
     ranked = spread.unionByName(own).groupBy("pos").agg(F.sort_array(F.collect_list(entry)).alias("all"))
     # One entry is the vector itself, so places top and top + 1 (from 0) are the last kept and the first left out.
-    last, after = F.col("all")[top], F.get("all", F.lit(top + 1))
+    last, after = F.get("all", F.lit(top)), F.get("all", F.lit(top + 1))
     blur = (last["norm"] + 8 * last["d"]) * 2.0**-21
     ranked = scratch.save(ranked.withColumn("open", F.coalesce((after["d"] - last["d"] <= blur) & (after["d"] > 0), F.lit(False))))
     sure = ranked.where("NOT open").select("pos", F.slice("all", 1, top + 1).alias("all"))
-    base = graph.source.join(graph.members.select("vec_id"), "vec_id", "left_semi").groupBy("vec_id").agg(F.min("x").alias("x"))
-    doubt = scratch.save(ranked.where("open").join(named.select("pos", F.col("ids")[0].alias("me")), "pos").select("pos", "me", F.explode("all").alias("e")).select("pos", "me", F.col("e.id").alias("id")))
+    doubt = scratch.save(ranked.where("open").join(named.select("pos", F.get("ids", F.lit(0)).alias("me")), "pos").select("pos", "me", F.explode("all").alias("e")).select("pos", "me", F.col("e.id").alias("id")))
+    asked = doubt.select(F.col("me").alias("vec_id")).union(doubt.select("id")).distinct()
+    base = graph.source.join(asked, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("x").alias("x"))
     exact = doubt.join(base.select(F.col("vec_id").alias("me"), F.col("x").alias("a")), "me").join(base.select(F.col("vec_id").alias("id"), F.col("x").alias("b")), "id")
     gap = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
     again = exact.select("pos", F.struct(gap.alias("d"), F.col("id"), F.lit(0.0).cast("float").alias("norm")).alias("e")).groupBy("pos").agg(F.slice(F.sort_array(F.collect_list("e")), 1, top + 1).alias("all"))
-    best = sure.unionByName(again) if doubt.count() else sure
-    placed = graph.members.join(graph.nodes.select("pos", "h1", "h2"), ["h1", "h2"]).select("vec_id", "pos").join(best, "pos")
+    best = sure if doubt.isEmpty() else sure.unionByName(again)
+    placed = graph.placed().join(best, "pos")
     mine = F.slice(F.filter("all", lambda e: e["id"] != F.col("vec_id")), 1, top)
     return placed.select("vec_id", F.explode(mine).alias("e")).select("vec_id", F.col("e.id").alias("near_id"), F.col("e.d").alias("distance"))
 
@@ -486,10 +515,9 @@ def greedy_search(graph: VectorGraph, queries: DataFrame, top: int = 5, beam: in
     each node's smallest id.
     """
     scratch, dim = graph.scratch, graph.dim
-    asked = graph.members.join(queries.select("vec_id").distinct(), "vec_id", "left_semi")
-    by_node = asked.groupBy("h1", "h2").agg(F.min("vec_id").alias("q"))
+    by_node = graph.placed().join(queries.select("vec_id").distinct(), "vec_id", "left_semi").groupBy("pos").agg(F.min("vec_id").alias("q"))
     site = lambda c: F.shiftright(c, PLACE_BITS)
-    homes = graph.nodes.join(by_node, ["h1", "h2"], "left").select(site("pos").alias("site"), "pos", "v", "q")
+    homes = graph.nodes.join(by_node, "pos", "left").select(site("pos").alias("site"), "pos", "v", "q")
     ask = homes.groupBy("site").applyInArrow(_entries(starts, dim), "q bigint, me bigint, qv binary, pos bigint")
     back = Window.partitionBy("v").orderBy("d", "u")
     links = graph.lists.select(F.col("pos").alias("u"), F.explode(F.arrays_zip("nb", "nd")).alias("l")).select("u", F.col("l.nb").alias("v"), F.col("l.nd").alias("d"))
@@ -518,6 +546,6 @@ def greedy_search(graph: VectorGraph, queries: DataFrame, top: int = 5, beam: in
         state = kept.withColumn("done", F.col("done") | F.col("look")).drop("look")
         ahead = kept.where("look").join(walk, "pos").select("q", "qv", "me", F.explode("nb").alias("pos")).where("pos != me").dropDuplicates(["q", "pos"])
         ask = ahead.join(state.select("q", "pos"), ["q", "pos"], "left_anti")
-    first = graph.members.groupBy("h1", "h2").agg(F.min("vec_id").alias("near_id")).join(graph.nodes.select("pos", "h1", "h2"), ["h1", "h2"]).select("pos", "near_id")
+    first = graph.named(1).select("pos", F.get("ids", F.lit(0)).alias("near_id"))
     best = F.row_number().over(Window.partitionBy("q").orderBy("d", "near_id"))
     return state.join(first, "pos").withColumn("r", best).where(F.col("r") <= top).select(F.col("q").alias("vec_id"), "near_id", F.sqrt(F.col("d").cast("double")).alias("distance"))
