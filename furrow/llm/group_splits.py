@@ -26,13 +26,13 @@ from furrow.session import Scratch
 
 
 def scene_groups(records: DataFrame, k: int, scratch: Scratch | None = None) -> DataFrame:
-    """records with ``scene``: records within k bits of each other, or joined by a chain of such steps, share it.
+    """path, final_class, split, hash and ``scene``: records within k bits of each other, or joined by a chain of such steps, share it.
 
     Works on distinct hashes: copies cost nothing.  Records without hash get
     a scene of their own, named by the path.
     """
     scratch = scratch or Scratch(records.sparkSession)
-    rows = scratch.save(records)
+    rows = scratch.save(records.select("path", "final_class", "split", "hash"))
     edges = near_hashes(rows, None, k).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     found = connected_components(edges, scratch=scratch)
     near = F.coalesce("component", "hash")
@@ -132,6 +132,7 @@ def balance_report(assigned: DataFrame, targets: DataFrame) -> DataFrame:
     """Per class and split: records given, their share of the class, the target and the gap."""
     n = assigned.groupBy("final_class", "new_split").agg(F.count("*").alias("n"))
     share = n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("final_class")))
+    targets = targets.select("split", "target_share")
     return share.join(F.broadcast(targets), share.new_split == targets.split).select(
         "final_class", "new_split", "n", F.round("share", 6).alias("share"), "target_share", F.round(F.col("share") - F.col("target_share"), 6).alias("gap")
     )

@@ -188,6 +188,6 @@ def _searcher(sent, passage: int):
 def leak_report(found: DataFrame, items: DataFrame) -> DataFrame:
     """Per item set and split: items, items leaked, documents hit."""
     hits = found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"))
-    return items.join(hits, "item_id", "left").groupBy("item_set", "split").agg(
+    return items.select("item_id", "item_set", "split").join(hits, "item_id", "left").groupBy("item_set", "split").agg(
         F.count("*").alias("n_items"), F.count("n_docs").alias("n_leaked"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_pairs")
     )

@@ -66,8 +66,13 @@ def hash_blocks(k: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
+def _bits(mask: int) -> Column:
+    """A 64-bit mask as the signed number Spark knows it by."""
+    return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("bigint")
+
+
 def block_value(col: Column, low: int, width: int) -> Column:
-    return F.shiftrightunsigned(col, low).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+    return F.shiftrightunsigned(col, low).bitwiseAND(_bits((1 << width) - 1))
 
 
 def _flipper(own: Column):
@@ -84,9 +89,9 @@ def hash_keys(hashes: DataFrame, k: int, spellings: bool) -> DataFrame:
     h = F.col("hash")
     keys = []
     for i, (low, width) in enumerate(hash_blocks(k)):
-        own = block_value(h, low, width).bitwiseOR(F.lit(i << 56).cast("bigint"))
+        own = block_value(h, low, width).bitwiseOR(_bits(i << 56))
         if spellings and k > 0:
-            flips = F.array(*[F.lit(m).cast("bigint") for m in [0, *(1 << b for b in range(width))]])
+            flips = F.array(*[_bits(m) for m in [0, *(1 << b for b in range(width))]])
             keys.append(F.transform(flips, _flipper(own)))
         else:
             keys.append(F.array(own))

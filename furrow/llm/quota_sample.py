@@ -121,6 +121,7 @@ def plan_needs(sources: DataFrame, plans: DataFrame) -> DataFrame:
     total = sources.agg(F.count("*").alias("n_all"))
     decimal = lambda c: F.coalesce(F.col(c), F.lit(0.0)).cast("decimal(12,8)")
     size = F.floor(decimal("sample_fraction") * F.col("n_all").cast("decimal(18,0)"))
+    plans = plans.select("plan_id", "final_class", "target_share", "sample_fraction", "min_rows")
     out = plans.where("plan_id IS NOT NULL AND final_class IS NOT NULL").crossJoin(F.broadcast(total)).join(F.broadcast(counts), "final_class", "left")
     out = out.withColumn("n_available", F.coalesce("n_available", F.lit(0))).withColumn("sample_size", size.cast("decimal(18,0)"))
     out = out.withColumn("wanted", F.col("sample_size") * decimal("target_share")).withColumn("min_rows", F.coalesce("min_rows", F.lit(0)))

@@ -26,16 +26,19 @@ SMALL_WORDS = {
 }
 # Abbreviations whose dot ends no sentence.
 ABBREVIATIONS = set(
-    "tab tabs app para mr mrs ms dr prof st sr jr no nos nr fig figs vol vols ed eds pp p al etc vs cf ca approx dept est inc ltd co corp temp max min avg ave hr hrs min mins sec secs lb lbs oz ft cm mm kg ml ha jan feb mar apr jun jul aug sep sept oct nov dec mon tue tues wed thu thur thurs fri sat sun e.g i.e a.m p.m u.s viz resp spp sp var cv subsp incl excl ref refs ch sect eq".split()
+    "mr mrs ms dr prof st sr jr nos figs tabs vol vols ed eds pp etc vs cf ca approx dept inc ltd corp temp avg hrs secs lbs oz ft cm mm kg ml jan feb apr aug sept oct nov tues thu thur thurs e.g i.e a.m p.m u.s esp viz resp spp sp var cv subsp incl excl ref refs ch eq".split()
 )
+# Abbreviations that are words as well; a number must follow.
+BEFORE_NUMBERS = set("no fig tab sec min max dec mar jun jul sep sat sun mon tue wed fri est p art app".split())
 NAME = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 END = re.compile(r"[.!?…]+(?=[\"'”’)\]]*(?:\s|$))")
-LAST = re.compile(r"(\S+)$")
 
 VOWELS = "aeiouy"
 GROUPS = re.compile(r"[aeiouy]+")
 #: Two vowels that hyphenation separates, and endings that sound as one syllable less.
-HIATUS = re.compile(r"i[ao](?!u)(?<![cstgx]i[ao])|iu|eo(?!u)(?<![g]eo)|ua(?<![qg]ua)|uou|ying|oa[^lbdtkstr]|[^aeiouq]ue[lnst]t?$")
+HIATUS = re.compile(
+    r"i[ao](?!u)(?<![cstgx]io(?=n))(?<![ctg]ia(?=[ln]))|iu|(?<![gp])eo(?!u)|(?<=cr)ea(?=t)|(?<=id)ea$|(?<=ar)ea$|(?<![qg])ua|uou|ying|oa[^lbdtkstr]|[^aeiouq]ue[lnst]t?$"
+)
 SILENT = re.compile(r"(?<=[^aeiouy])e$|(?<=[^aeiouytd])ed$|(?<=[^aeiouysxzcg])es$|(?<=[^aeiouy])e(?=ly$|ment|ful|less|ness)")
 LE_END = re.compile(r"[^aeiouyl]les?$")
 
@@ -70,9 +73,10 @@ def sentences(text: str) -> list[str]:
         start = 0
         for m in END.finditer(line):
             if m.group() == ".":
-                before = LAST.search(line, start, m.start())
-                token = before.group(1).lower().strip("(\"'[“‘") if before else ""
-                if token in ABBREVIATIONS and m.end() < len(line.rstrip()) or len(token) == 1 and token.isalpha() and token != "i":
+                before = line[start : m.start()].rsplit(None, 1)
+                token = before[-1].lower().strip("(\"'[“‘") if before and not line[m.start() - 1].isspace() else ""
+                after = line[m.end() : m.end() + 3].lstrip()
+                if token in ABBREVIATIONS and after or token in BEFORE_NUMBERS and after[:1].isdigit() or len(token) == 1 and token.isalpha() and token != "i" and after:
                     continue
             out.append(line[start : m.end()])
             start = m.end()

@@ -7,12 +7,21 @@ import unicodedata
 
 import regex
 
-TAG = regex.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", regex.S)
+TAG = regex.compile(r"</?[A-Za-z][^<>]*>")
 BLOCK = regex.compile(r"<\s*(?:br|/p|p|/div|div|/li|li|/h[1-6]|h[1-6]|tr|/tr)\b[^<>]*>", regex.I)
 INVISIBLE = regex.compile(r"[\p{Cf}­]+")
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
 
+def without_comments(text: str) -> str:
+    """Text without closed HTML comments, in one pass however many are left open."""
+    out, at = [], 0
+    while (start := text.find("<!--", at)) >= 0 and (end := text.find("-->", start + 4)) >= 0:
+        out += [text[at:start], " "]
+        at = end + 3
+    return "".join([*out, text[at:]])
+
+
 def plain(text: str, breaks: bool = False) -> str:
     """Text without markup, entities and invisible characters, accents composed.
 
@@ -20,6 +29,7 @@ def plain(text: str, breaks: bool = False) -> str:
     become line breaks.
     """
     if "<" in text:
+        text = without_comments(text)
         if breaks:
             text = BLOCK.sub("\n", text)
         text = TAG.sub(" ", text)
