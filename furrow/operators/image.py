@@ -162,6 +162,15 @@ def hsv_columns(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column
     return hue, F.when(top > 0, span / top).otherwise(0.0), top / 255
 
 
+def rgb_columns(h: Column, s: Column, v: Column) -> tuple[Column, Column, Column]:
+    """IMG05 as expressions: red, green and blue in [0, 1]; a hue of a whole turn lies in no sector."""
+    six, chroma = h * 6, v * s
+    near = chroma * (1 - F.abs(F.pmod(six, F.lit(2.0)) - 1))
+    k = F.floor(six)
+    pick = lambda full, part: F.when(k.isin(*full), chroma).when(k.isin(*part), near).otherwise(0.0) + v - chroma
+    return pick((0, 5), (1, 4)), pick((1, 2), (0, 3)), pick((3, 4), (2, 5))
+
+
 def cooccurrence(px: DataFrame, key: str, levels: int = 64) -> DataFrame:
     """IMG15: texture values of each image from (key, row, col, v); the four offsets by one equi-join on places."""
     top = F.max("v").over(Window.partitionBy(key))

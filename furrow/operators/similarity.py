@@ -1,8 +1,9 @@
 """Exact k nearest neighbours of a stated query set, and votes (ML01-ML05, ML09).
 
-Queries and items are packed into blocks, query blocks are dealt to every item
-block by an equi-join, and a pair of blocks is one matrix product that leaves
-k rows a query; those are merged by a grouped top-k.  A task holds two blocks.
+Queries and items are packed into blocks, the query blocks, in passes of
+bounded size, are broadcast to the item blocks, and a pair of blocks is one
+matrix product that leaves k rows a query; those are merged by a grouped
+top-k.  Items are never shuffled.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from furrow.operators import stats
 
 BLOCK = 4096
+#: Bytes of query vectors that one pass over the items broadcasts.
+PASS_BYTES = 64 << 20
 
 
 def _packer(dim: int, size: int):
@@ -77,20 +80,21 @@ def nearest(queries: DataFrame, items: DataFrame, dim: int, k: int, metric: str
     """
     packed = "ids binary, labels array<string>, m binary"
     cols = lambda df: df.select(F.col("id").cast("bigint").alias("id"), "label", F.col("x").cast("array<double>").alias("x"))
-    q = cols(queries).coalesce(max(1, queries.rdd.getNumPartitions() // 8)).mapInArrow(_packer(dim, block), packed)
-    q = q.select(F.col("ids").alias("q_ids"), F.col("labels").alias("q_labels"), F.col("m").alias("q_m"), F.lit(0).alias("on"))
     t = cols(items).mapInArrow(_packer(dim, block), packed).withColumn("on", F.lit(0))
-    # Every query block meets every item block; the item side, the larger, stays where it is.
-    met = t.join(q.hint("broadcast") if _fits(queries, dim) else q, "on").drop("on")
-    found = met.mapInArrow(_matcher(dim, k, metric), "id bigint, label string, near_id bigint, near_label string, dist double")
+    passes = max(1, -(-queries.count() * dim * 8 // PASS_BYTES))
+    found = None
+    for i in range(passes):
+        q = cols(queries)
+        if passes > 1:
+            q = q.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == i)
+        q = q.coalesce(4).mapInArrow(_packer(dim, block), packed).select(F.col("ids").alias("q_ids"), F.col("labels").alias("q_labels"), F.col("m").alias("q_m"), F.lit(0).alias("on"))
+        # The query blocks of this pass, of bounded size, meet every item block where that lies.
+        got = t.join(F.broadcast(q), "on").drop("on").mapInArrow(_matcher(dim, k, metric), "id bigint, label string, near_id bigint, near_label string, dist double")
+        found = got if found is None else found.unionByName(got)
     w = Window.partitionBy("id").orderBy("dist", "near_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _fits(queries: DataFrame, dim: int, most_bytes: int = 64 << 20) -> bool:
-    return queries.count() * dim * 8 <= most_bytes
-
-
 def scaled(df: DataFrame, fit: DataFrame, vec: str = "x") -> DataFrame:
     """Vectors with each entry's mean taken off, in units of its std; ``fit`` is a row a dimension."""
     line = fit.agg(F.sort_array(F.collect_list(F.struct("dim", "mean", "std"))).alias("_f"))

@@ -111,7 +111,8 @@ def test_greedy_cluster_split_matches_the_fold(spark):
 
 
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
-def test_nearest_is_exact_over_blocks(spark, metric):
+def test_nearest_is_exact_over_blocks(spark, metric, monkeypatch):
+    monkeypatch.setattr(similarity, "PASS_BYTES", 200)  # several passes
     rng = np.random.default_rng(3)
     x = np.round(rng.normal(size=(90, 6)), 1)
     x[20:30] = x[5]
