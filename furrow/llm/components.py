@@ -54,13 +54,18 @@ def connected_components(
     labels = None
     for round_no in range(max_rounds):
         links = graph.where("src != dst")
-        shift = exponential_shift(F.col("vertex"), beta, seed + round_no)
-        state = graph.select(F.col("src").alias("vertex")).distinct().select("vertex", F.struct((-shift).alias("at"), F.col("vertex").alias("center")).alias("best"))
-        for _ in range(growth_steps):
-            arrived = links.join(state, links.src == state.vertex).select(
-                F.col("dst").alias("vertex"), F.struct((F.col("best.at") + 1).alias("at"), F.col("best.center").alias("center")).alias("best")
+        # A loop without cost lets a vertex keep what it has, so a step reads the state once and the plan stays a chain.
+        loops = graph.select("src").distinct().select("src", F.col("src").alias("dst"), F.lit(0.0).alias("hop"))
+        hops = links.select("src", "dst", F.lit(1.0).alias("hop")).unionByName(loops)
+        start = -exponential_shift(F.col("src"), beta, seed + round_no)
+        # In the first step every vertex is its own centre, which needs no join.
+        first = hops.select(F.col("dst").alias("vertex"), F.struct((start + F.col("hop")).alias("at"), F.col("src").alias("center")).alias("best"))
+        state = first.groupBy("vertex").agg(F.min("best").alias("best"))
+        for _ in range(growth_steps - 1):
+            arrived = hops.join(state, hops.src == state.vertex).select(
+                F.col("dst").alias("vertex"), F.struct((F.col("best.at") + F.col("hop")).alias("at"), F.col("best.center").alias("center")).alias("best")
             )
-            state = state.unionByName(arrived).groupBy("vertex").agg(F.min("best").alias("best"))
+            state = arrived.groupBy("vertex").agg(F.min("best").alias("best"))
         cluster = scratch.save(state.select("vertex", F.col("best.center").alias("center")))
         ends = cluster.withColumnsRenamed({"vertex": "v", "center": "c"})
         contracted = (
