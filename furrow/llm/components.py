@@ -26,8 +26,8 @@ def connected_components(
     edges: DataFrame,
     src: str = "src",
     dst: str = "dst",
-    beta: float = 0.5,
-    growth_steps: int = 3,
+    beta: float = 0.1,
+    growth_steps: int = 4,
     max_rounds: int = 60,
     seed: int = 17,
     scratch: Scratch | None = None,
@@ -41,7 +41,9 @@ def connected_components(
 
     However far the clusters have grown, a cluster only holds vertices that
     are joined by edges, so contraction is exact; ``growth_steps`` and
-    ``beta`` set only how fast the graph shrinks.  Each step is one join on
+    ``beta`` set only how fast the graph shrinks.  The rounds' assignments
+    shrink with it and compose from the last to the first, so all vertices are
+    joined once, not once a round.  Each step is one join on
     the edge's source and one partially aggregated minimum, so a hub with any
     number of edges is split by the adaptive skew join and pre-aggregated
     before the shuffle.
@@ -51,7 +53,7 @@ def connected_components(
     named = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
     both = named.union(named.select("dst", "src")).distinct()
     graph = scratch.save(both)
-    labels = None
+    rounds: list[DataFrame] = []
     for round_no in range(max_rounds):
         links = graph.where("src != dst")
         # A loop without cost lets a vertex keep what it has, so a step reads the state once and the plan stays a chain.
@@ -77,22 +79,27 @@ def connected_components(
             .distinct()
         )
         smaller = scratch.save(contracted)
-        if labels is None:
-            labels, after = cluster.withColumnRenamed("center", "component"), None
-        else:
-            step = ends
-            after = labels.join(step, labels.component == step.v, "left").select("vertex", F.coalesce("c", "component").alias("component"))
-        if after is not None:
-            old, labels = labels, scratch.save(after)
-            scratch.drop(old, cluster)
+        rounds.append(cluster)
         scratch.drop(graph)
         graph = smaller
         if graph.isEmpty():
             scratch.drop(graph)
-            return labels
+            return _composed(rounds, scratch)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def _composed(rounds: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """(vertex, component) of the first round's vertices, from each round's (vertex, center)."""
+    out = rounds[-1].withColumnRenamed("center", "component")
+    for earlier in reversed(rounds[:-1]):
+        # A centre without inter-cluster edges is no vertex of the next round and stays.
+        later = out.withColumnRenamed("vertex", "v")
+        out = earlier.join(later, earlier.center == later.v, "left").select("vertex", F.coalesce("component", "center").alias("component"))
+    out = scratch.save(out)
+    scratch.drop(*rounds)
+    return out
+
+
 # The verdicts that accept a match.
 ACCEPTING = ["match", "same"]
 
