@@ -27,7 +27,7 @@ from furrow.llm.text import words
 from furrow.session import Scratch
 
 #: Items of one index shard and words of one passage.  A shard's index is what a task holds.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 250_000
 PASSAGE_WORDS = 48
 NO_MORE = 1 << 62
 
@@ -130,9 +130,10 @@ class Index:
             terms = list(set(w[start:end]))
             if sum(top[t] for t in terms) < 1.0:
                 continue
+            runs = [" ".join(w[i : i + self.run]) for i in range(start, end - self.run + 1)]
             for place in self.retrieve(terms):
                 grams = self.grams[place]
-                shared = sum(" ".join(w[i : i + self.run]) in grams for i in range(start, end - self.run + 1))
+                shared = sum(r in grams for r in runs)
                 if shared:
                     verified[place] = verified.get(place, 0) + shared
         return list(verified.items())
