@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from furrow.functions import clean
 from furrow.operators import filters
 from furrow.plans.registry import query
-from furrow.plans.sql import FS, M, P, base, cls, stem, word
+from furrow.plans.sql import FS, M, P, base, stem, word
 from furrow.sources.tables import disease_info, filter_scores, manifest, predictions, table
 
 _SPLIT = f"CASE WHEN {word('split')} IN ('train','training') THEN 'train' WHEN {word('split')} IN ('val','valid','validation') THEN 'val' WHEN {word('split')} IN ('test','testing') THEN 'test' END"
