@@ -8,7 +8,9 @@ the grades they give.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from statistics import median
 
 import pyarrow as pa
@@ -31,6 +33,7 @@ ABBREVIATIONS = set(
 # Abbreviations that are words as well; a number must follow.
 BEFORE_NUMBERS = set("no fig tab sec min max dec mar jun jul sep sat sun mon tue wed fri est p art app".split())
 NAME = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+JOINTS = re.compile(r"['’-]")
 END = re.compile(r"[.!?…]+(?=[\"'”’)\]]*(?:\s|$))")
 
 VOWELS = "aeiouy"
@@ -53,17 +56,26 @@ def syllables(word: str) -> int:
     return max(1, n)
 
 
-def language(tokens: list[str]) -> str | None:
-    """The language whose small words are most of the text's; None without any."""
-    best, most = None, 0
-    for lang, small in _SMALL.items():
-        n = sum(t in small for t in tokens)
-        if n > most:
-            best, most = lang, n
-    return best
+def language(counts: dict[str, int]) -> str | None:
+    """The language whose small words are most of the text's; None without any (ties: the first listed)."""
+    found = dict.fromkeys(SMALL_WORDS, 0)
+    for word in counts.keys() & _SMALL.keys():
+        for lang in _SMALL[word]:
+            found[lang] += counts[word]
+    best = max(found, key=found.__getitem__)
+    return best if found[best] else None
 
 
-_SMALL = {k: frozenset(v) for k, v in SMALL_WORDS.items()}
+_SMALL: dict[str, list[str]] = {}
+for _lang, _words in SMALL_WORDS.items():
+    for _word in set(_words):
+        _SMALL.setdefault(_word, []).append(_lang)
+
+
+@lru_cache(maxsize=1 << 17)
+def measures(word: str) -> tuple[int, int]:
+    """(syllables, letters) of a word; the parts of a compound count each."""
+    return sum(syllables(x) for x in JOINTS.split(word) if x), sum(map(str.isalpha, word))
 
 
 def sentences(text: str) -> list[str]:
@@ -88,19 +100,16 @@ def grades(text: str) -> tuple[str | None, int, int, float | None, list[float]]:
     """(language, sentences, words, median grade, each grade) of a raw text."""
     clear = plain(text, breaks=True)
     parts = sentences(clear)
-    tokens = [w.lower() for w in NAME.findall(clear)]
-    n_sent, n_words = len(parts), len(tokens)
-    lang = language(tokens)
+    counts = Counter(NAME.findall(clear.lower()))
+    n_sent, n_words = len(parts), counts.total()
+    lang = language(counts)
     if not n_words or not n_sent:
         return lang, n_sent, n_words, None, []
-    counts: dict[str, int] = {}
-    for w in tokens:
-        counts[w] = counts.get(w, 0) + 1
     syl = hard = letters = 0
     for w, n in counts.items():
-        s = sum(syllables(x) for x in re.split(r"['’-]", w) if x)
+        s, size = measures(w)
         syl += s * n
-        letters += n * sum(c.isalpha() for c in w)
+        letters += n * size
         hard += n * (s >= 3)
     per_sentence = n_words / n_sent
     flesch = 0.39 * per_sentence + 11.8 * syl / n_words - 15.59
