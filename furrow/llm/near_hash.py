@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from furrow.functions import clean
+
 HASH_BITS = 64
 
 
@@ -80,18 +82,24 @@ def _flipper(own: Column):
     return lambda mask: own.bitwiseXOR(mask)
 
 
+def _free_in(own: Column):
+    return lambda mask: own.bitwiseAND(mask) == 0
+
+
 def _piece(i: int, n: Column):
     return lambda at: F.struct(F.lit(i).alias("i"), F.substr("train_text", at + 1, n).alias("seg"))
 
 
-def hash_keys(hashes: DataFrame, k: int, spellings: bool) -> DataFrame:
-    """(hash, key): one key a block, or with ``spellings`` also each with one bit replaced."""
+def hash_keys(hashes: DataFrame, k: int, spellings: str | None = None) -> DataFrame:
+    """(hash, key): one key a block; with ``spellings`` "all" also each with one bit replaced, with "raised" only bits from 0 to 1."""
     h = F.col("hash")
     keys = []
     for i, (low, width) in enumerate(hash_blocks(k)):
         own = block_value(h, low, width).bitwiseOR(_bits(i << 56))
         if spellings and k > 0:
             flips = F.array(*[_bits(m) for m in [0, *(1 << b for b in range(width))]])
+            if spellings == "raised":
+                flips = F.filter(flips, _free_in(own))
             keys.append(F.transform(flips, _flipper(own)))
         else:
             keys.append(F.array(own))
@@ -103,16 +111,18 @@ def near_hashes(evaluation: DataFrame, training: DataFrame | None, k: int) -> Da
 
     Both sides are reduced to distinct numbers in ``hash``; without
     ``training`` the join is of one side with itself, of pairs a < b.  Only
-    the evaluation side is multiplied by spellings.  Exact for every k.
+    the evaluation side is multiplied by spellings.  In a self-join it is
+    enough to raise bits: of two blocks that differ in one bit, one has 0
+    there.  Exact for every k.
     """
     left = evaluation.select("hash").where("hash IS NOT NULL").distinct()
     right = left if training is None else training.select("hash").where("hash IS NOT NULL").distinct()
-    probes = hash_keys(left, k, True).withColumnRenamed("hash", "a")
-    pieces = hash_keys(right, k, False).withColumnRenamed("hash", "b")
+    probes = hash_keys(left, k, "all" if training is not None else "raised").withColumnRenamed("hash", "a")
+    pieces = hash_keys(right, k).withColumnRenamed("hash", "b")
     bits = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     close = probes.join(pieces, "key").where(bits <= k)
     if training is None:
-        close = close.where("a < b")
+        close = close.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return close.select("a", "b", bits.alias("bits")).distinct()
 
 
@@ -123,8 +133,6 @@ def split_overlaps(records: DataFrame, k: int) -> DataFrame:
     record), bits (NULL for pairs found by file name only).  Records
     without hash can only match by name, records without folder only by hash.
     """
-    from furrow.functions import clean
-
     usable = records.select("path", "source_folder", "split", "hash", clean.photo_key("path").alias("photo"))
     evaluation = usable.where("split IN ('val', 'test')").select(F.col("path").alias("eval_path"), "split", "source_folder", "hash", "photo")
     training = usable.where("split = 'train'").select(F.col("path").alias("train_path"), F.col("source_folder").alias("folder"), F.col("hash").alias("t_hash"), F.col("photo").alias("t_photo"))
