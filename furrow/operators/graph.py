@@ -6,25 +6,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.functions import clean
+from furrow.functions import bits, clean
 from furrow.session import Scratch
 
 
 def hamming_pairs(hashes: DataFrame, most: int, col: str = "hash") -> DataFrame:
     """JOI09: pairs (a, b, dist), a < b, of distinct hashes at most ``most`` bits apart.
 
-    Exact: of ``most`` + 1 bands one is equal in both, so bands are
-    equi-joined and the distance verified; no pair of all is ever formed.
+    Exact: close hashes share the key of one of ``most`` // 2 + 1 blocks with
+    at most one bit raised (``functions.bits``), keys are equi-joined and the
+    distance verified; no pair of all is ever formed.
     """
-    h = hashes.select(F.col(col).alias("h")).where("h IS NOT NULL").distinct()
-    edges = [64 * i // (most + 1) for i in range(most + 2)]
-    bands = F.array(*[
-        F.shiftrightunsigned("h", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 63 else -1).cast("bigint")) for lo, hi in zip(edges, edges[1:])
-    ])
-    keyed = h.select("h", F.posexplode(bands).alias("band", "value"))
-    a, b = keyed.withColumnRenamed("h", "a"), keyed.withColumnRenamed("h", "b")
-    dist = clean.hamming64("a", "b")
-    return a.join(b, ["band", "value"]).where((F.col("a") < F.col("b")) & (dist <= most)).select("a", "b", dist.alias("dist")).distinct()
+    h = hashes.select(F.col(col).alias("hash")).where("hash IS NOT NULL").distinct()
+    a, b = bits.keyed(h, most, "raised").withColumnRenamed("hash", "x"), bits.keyed(h, most).withColumnRenamed("hash", "y")
+    dist = clean.hamming64("x", "y")
+    close = a.join(b, "key").where((F.col("x") != F.col("y")) & (dist <= most))
+    return close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), dist.alias("dist")).distinct()
 
 
 def components(edges: DataFrame, src: str = "a", dst: str = "b", scratch: Scratch | None = None, max_rounds: int = 100) -> DataFrame:
