@@ -20,9 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furrow.functions import clean
-
-HASH_BITS = 64
+from furrow.functions import bits, clean
 
 
 def segment_bounds(length: Column, k: int) -> list[tuple[Column, Column]]:
@@ -34,6 +32,10 @@ def segment_bounds(length: Column, k: int) -> list[tuple[Column, Column]]:
     return out
 
 
+def _piece(i: int, n: Column):
+    return lambda at: F.struct(F.lit(i).alias("i"), F.substr("train_text", at + 1, n).alias("seg"))
+
+
 def edit_segment_join(evaluation: DataFrame, training: DataFrame, text: str, k: int) -> DataFrame:
     """Pairs of different strings (eval_text, train_text, edits) at most k edits apart.
 
@@ -61,51 +63,6 @@ def edit_segment_join(evaluation: DataFrame, training: DataFrame, text: str, k:
     return probes.join(pieces, ["len", "i", "seg"]).select("eval_text", "train_text", edits.alias("edits")).where("edits >= 0").distinct()
 
 
-def hash_blocks(k: int) -> list[tuple[int, int]]:
-    """(lowest bit, width) of the pairs of segments; for even k one segment stays single."""
-    n = k // 2 + 1
-    edges = [HASH_BITS * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
-
-
-def _bits(mask: int) -> Column:
-    """A 64-bit mask as the signed number Spark knows it by."""
-    return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("bigint")
-
-
-def block_value(col: Column, low: int, width: int) -> Column:
-    return F.shiftrightunsigned(col, low).bitwiseAND(_bits((1 << width) - 1))
-
-
-def _flipper(own: Column):
-    # Spark counts a lambda's parameters, so what it closes over can't be a default.
-    return lambda mask: own.bitwiseXOR(mask)
-
-
-def _free_in(own: Column):
-    return lambda mask: own.bitwiseAND(mask) == 0
-
-
-def _piece(i: int, n: Column):
-    return lambda at: F.struct(F.lit(i).alias("i"), F.substr("train_text", at + 1, n).alias("seg"))
-
-
-def hash_keys(hashes: DataFrame, k: int, spellings: str | None = None) -> DataFrame:
-    """(hash, key): one key a block; with ``spellings`` "all" also each with one bit replaced, with "raised" only bits from 0 to 1."""
-    h = F.col("hash")
-    keys = []
-    for i, (low, width) in enumerate(hash_blocks(k)):
-        own = block_value(h, low, width).bitwiseOR(_bits(i << 56))
-        if spellings and k > 0:
-            flips = F.array(*[_bits(m) for m in [0, *(1 << b for b in range(width))]])
-            if spellings == "raised":
-                flips = F.filter(flips, _free_in(own))
-            keys.append(F.transform(flips, _flipper(own)))
-        else:
-            keys.append(F.array(own))
-    return hashes.select("hash", F.explode(F.concat(*keys)).alias("key"))
-
-
 def near_hashes(evaluation: DataFrame, training: DataFrame | None, k: int) -> DataFrame:
     """Pairs (a, b, bits) of 64-bit numbers at most k bits apart, equal ones included.
 
@@ -117,13 +74,13 @@ def near_hashes(evaluation: DataFrame, training: DataFrame | None, k: int) -> Da
     """
     left = evaluation.select("hash").where("hash IS NOT NULL").distinct()
     right = left if training is None else training.select("hash").where("hash IS NOT NULL").distinct()
-    probes = hash_keys(left, k, "all" if training is not None else "raised").withColumnRenamed("hash", "a")
-    pieces = hash_keys(right, k).withColumnRenamed("hash", "b")
-    bits = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    close = probes.join(pieces, "key").where(bits <= k)
+    probes = bits.keyed(left, k, "all" if training is not None else "raised").withColumnRenamed("hash", "a")
+    pieces = bits.keyed(right, k).withColumnRenamed("hash", "b")
+    apart = clean.hamming64("a", "b")
+    close = probes.join(pieces, "key").where(apart <= k)
     if training is None:
         close = close.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return close.select("a", "b", bits.alias("bits")).distinct()
+    return close.select("a", "b", apart.alias("bits")).distinct()
 
 
 def split_overlaps(records: DataFrame, k: int) -> DataFrame:
