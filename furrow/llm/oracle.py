@@ -30,6 +30,19 @@ needs AS (
 
 _ITEM_WORDS = r"regexp_extract_all(regexp_replace(nfc_normalize(lower(replace(regexp_replace(text, '<[^<>]*>', ' ', 'g'), '&amp;', ' '))), '[\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{00AD}]', '', 'g'), '[\p{L}\p{M}\p{N}]+')"
 
+_P5 = rf"""WITH RECURSIVE {MANIFEST},
+spelt AS (SELECT regexp_replace(replace(regexp_replace(path_a, '^{_BLANK}+|{_BLANK}+$', '', 'g'), '\', '/'), '^(\./+)+', '') AS a,
+                 regexp_replace(replace(regexp_replace(path_b, '^{_BLANK}+|{_BLANK}+$', '', 'g'), '\', '/'), '^(\./+)+', '') AS b
+          FROM match_pairs WHERE {_word("verdict")} IN ('match','same')),
+good AS (SELECT a, b FROM spelt WHERE a <> b AND a IN (SELECT path FROM m) AND b IN (SELECT path FROM m)),
+edges AS (SELECT a, b FROM good UNION SELECT b, a FROM good UNION SELECT x.path, y.path FROM m x JOIN m y ON x.hash = y.hash AND x.path <> y.path), {_COMPONENTS}"""
+
+_P7 = rf"""WITH i AS (SELECT item_id, {_ITEM_WORDS} AS w FROM eval_items),
+d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i)),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+found AS (SELECT DISTINCT item_id, doc_id FROM ig JOIN dg USING (g))"""
+
 ORACLE: dict[str, str] = {
     "p1_found": """
 WITH v AS (SELECT DISTINCT vec_id, x FROM features WHERE len(x) = 50 AND len(list_filter(x, lambda z: isfinite(z))) = 50 AND len(list_filter(x, lambda z: z <> 0)) > 0),
@@ -44,16 +57,11 @@ FROM pairs GROUP BY split, source_folder""",
 edges AS (SELECT a.path AS a, b.path AS b FROM m a JOIN m b ON a.path <> b.path AND bit_count(xor(a.hash, b.hash)::BIT) <= 5), {_COMPONENTS},
 torn AS (SELECT root FROM comp JOIN m USING (path) GROUP BY root HAVING count(DISTINCT split) > 1)
 SELECT path FROM comp WHERE root IN (SELECT root FROM torn)""",
-    "p5_found": rf"""WITH RECURSIVE {MANIFEST},
-spelt AS (SELECT regexp_replace(replace(regexp_replace(path_a, '^{_BLANK}+|{_BLANK}+$', '', 'g'), '\', '/'), '^(\./+)+', '') AS a,
-                 regexp_replace(replace(regexp_replace(path_b, '^{_BLANK}+|{_BLANK}+$', '', 'g'), '\', '/'), '^(\./+)+', '') AS b
-          FROM match_pairs WHERE {_word("verdict")} IN ('match','same')),
-good AS (SELECT a, b FROM spelt WHERE a <> b AND a IN (SELECT path FROM m) AND b IN (SELECT path FROM m)),
-edges AS (SELECT a, b FROM good UNION SELECT b, a FROM good UNION SELECT x.path, y.path FROM m x JOIN m y ON x.hash = y.hash AND x.path <> y.path), {_COMPONENTS}
-SELECT root AS group_path, path FROM comp WHERE root <> path""",
-    "p7_found": rf"""WITH i AS (SELECT item_id, {_ITEM_WORDS} AS w FROM eval_items),
-d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents WHERE text IS NOT NULL),
-ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i)),
-dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d))
-SELECT DISTINCT item_id, doc_id FROM ig JOIN dg USING (g)""",
+    "p5_found": f"{_P5} SELECT root AS group_path, path FROM comp WHERE root <> path",
+    "p5_groups": f"{_P5} SELECT m.path, coalesce(root, m.path) AS group_path FROM m LEFT JOIN comp ON comp.path = m.path",
+    "p5_sizes": f"""{_P5}, g AS (SELECT coalesce(root, m.path) AS g, count(*) AS size FROM m LEFT JOIN comp ON comp.path = m.path GROUP BY 1)
+SELECT size, count(*) AS n_groups FROM g GROUP BY size""",
+    "p7_found": f"{_P7} SELECT item_id, doc_id FROM found",
+    "p7_report": f"""{_P7}, h AS (SELECT item_id, count(*) AS n FROM found GROUP BY 1)
+SELECT item_set, split, count(*) AS n_items, count(n) AS n_leaked, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_pairs FROM eval_items LEFT JOIN h USING (item_id) GROUP BY 1, 2""",
 }
