@@ -32,6 +32,16 @@ def p1_search(spark: SparkSession, d: str) -> DataFrame:
     return near.select("vec_id", "near_id", F.round("distance", 4).alias("distance"))
 
 
+def p1_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of the graph and of the walk, against every vector in blocks."""
+    features = table(spark, d, "features")
+    graph = vector_graph.build_graph(features, VECTOR_SIZE)
+    lists = vector_graph.nearest(graph, NEIGHBOURS)
+    walk = vector_graph.greedy_search(graph, features.where("vec_id % 50 = 0").select("vec_id"), NEIGHBOURS)
+    named = lambda found, name: vector_graph.recall(graph, found).select(F.lit(name).alias("way"), "n_queries", "n_pairs", "recall")
+    return named(lists, "graph").unionByName(named(walk, "walk"))
+
+
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
     return near_hash.split_overlaps(manifest(spark, d), HASH_EDITS)
 
@@ -124,5 +134,5 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_search, p2_found, p2_report, p3_found, p3_report, p3_sample, p4_found, p4_splits, p4_balance, p5_found, p5_groups, p5_sizes, p6_found, p6_containers, p6_fill, p7_found, p7_report, p8_found, p8_levels, p8_profile)
+    for f in (p1_found, p1_search, p1_recall, p2_found, p2_report, p3_found, p3_report, p3_sample, p4_found, p4_splits, p4_balance, p5_found, p5_groups, p5_sizes, p6_found, p6_containers, p6_fill, p7_found, p7_report, p8_found, p8_levels, p8_profile)
 }

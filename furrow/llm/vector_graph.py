@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.operators import similarity
 from furrow.session import Scratch
 
 #: Low bits of a vector's number that count within its block.
@@ -549,3 +550,21 @@ def greedy_search(graph: VectorGraph, queries: DataFrame, top: int = 5, beam: in
     first = graph.named(1).select("pos", F.get("ids", F.lit(0)).alias("near_id"))
     best = F.row_number().over(Window.partitionBy("q").orderBy("d", "near_id"))
     return state.join(first, "pos").withColumn("r", best).where(F.col("r") <= top).select(F.col("q").alias("vec_id"), "near_id", F.sqrt(F.col("d").cast("double")).alias("distance"))
+
+
+def recall(graph: VectorGraph, found: DataFrame, every: int = 50, top: int = 5) -> DataFrame:
+    """(n_queries, n_pairs, recall): share of the exact nearest neighbours of the ids divisible by ``every`` that ``found`` holds.
+
+    The exact ones are those of every query against all vectors, in blocks.
+    A neighbour at the distance of the last exact one counts as found, so
+    copies that answer for each other do.
+    """
+    rows = graph.source.groupBy("vec_id").agg(F.min("x").alias("x")).select(F.col("vec_id").alias("id"), F.lit("").alias("label"), "x")
+    exact = similarity.nearest(rows.where(F.col("id") % every == 0), rows, graph.dim, top + 1).where("id != near_id")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("dist", "near_id"))
+    exact = exact.withColumn("place", place).where(F.col("place") <= top)
+    last = exact.groupBy("id").agg(F.sqrt(F.max("dist")).alias("far"), F.count("*").alias("n"))
+    near = found.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("id"), "near_id", "distance").distinct()
+    hits = near.join(last, "id").where(F.col("distance") <= F.col("far") * (1 + 1e-5) + 1e-9).groupBy("id").agg(F.count("*").alias("hit"))
+    both = last.join(hits, "id", "left")
+    return both.agg(F.count("*").alias("n_queries"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"), F.round(F.sum(F.least("n", F.coalesce("hit", F.lit(0)))) / F.sum("n"), 4).alias("recall"))
