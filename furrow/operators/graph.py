@@ -18,7 +18,8 @@ def hamming_pairs(hashes: DataFrame, most: int, col: str = "hash") -> DataFrame:
     distance verified; no pair of all is ever formed.
     """
     h = hashes.select(F.col(col).alias("hash")).where("hash IS NOT NULL").distinct()
-    a, b = bits.keyed(h, most, "raised").withColumnRenamed("hash", "x"), bits.keyed(h, most).withColumnRenamed("hash", "y")
+    a = bits.keyed(h, most, "raised").withColumnRenamed("hash", "x")
+    b = bits.keyed(h, most).withColumnRenamed("hash", "y").hint("shuffle_hash")  # the smaller side by far; neither is sorted
     dist = clean.hamming64("x", "y")
     close = a.join(b, "key").where((F.col("x") != F.col("y")) & (dist <= most))
     return close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), dist.alias("dist")).distinct()
