@@ -75,7 +75,8 @@ def near_hashes(evaluation: DataFrame, training: DataFrame | None, k: int) -> Da
     left = evaluation.select("hash").where("hash IS NOT NULL").distinct()
     right = left if training is None else training.select("hash").where("hash IS NOT NULL").distinct()
     probes = bits.keyed(left, k, "all" if training is not None else "raised").withColumnRenamed("hash", "a")
-    pieces = bits.keyed(right, k).withColumnRenamed("hash", "b")
+    # The spelled side is many times larger: hash the other, three short rows a number, and sort neither.
+    pieces = bits.keyed(right, k).withColumnRenamed("hash", "b").hint("shuffle_hash")
     apart = clean.hamming64("a", "b")
     close = probes.join(pieces, "key").where(apart <= k)
     if training is None:
