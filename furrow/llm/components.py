@@ -43,7 +43,8 @@ def connected_components(
     are joined by edges, so contraction is exact; ``growth_steps`` and
     ``beta`` set only how fast the graph shrinks.  The rounds' assignments
     shrink with it and compose from the last to the first, so all vertices are
-    joined once, not once a round.  Each step is one join on
+    joined once, not once a round.  Shifts widen from round to round, so that
+    stubborn neighbours, whose shifts differ by less than a hop, soon merge.  Each step is one join on
     the edge's source and one partially aggregated minimum, so a hub with any
     number of edges is split by the adaptive skew join and pre-aggregated
     before the shuffle.
@@ -59,7 +60,7 @@ def connected_components(
         # A loop without cost lets a vertex keep what it has, so a step reads the state once and the plan stays a chain.
         loops = graph.select("src").distinct().select("src", F.col("src").alias("dst"), F.lit(0.0).alias("hop"))
         hops = links.select("src", "dst", F.lit(1.0).alias("hop")).unionByName(loops)
-        start = -exponential_shift(F.col("src"), beta, seed + round_no)
+        start = -exponential_shift(F.col("src"), beta / (round_no + 1), seed + round_no)
         # In the first step every vertex is its own centre, which needs no join.
         first = hops.select(F.col("dst").alias("vertex"), F.struct((start + F.col("hop")).alias("at"), F.col("src").alias("center")).alias("best"))
         state = first.groupBy("vertex").agg(F.min("best").alias("best"))
