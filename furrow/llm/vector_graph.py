@@ -506,17 +506,19 @@ def _entries(starts: int, dim: int) -> Callable[[pa.Table], pa.Table]:
 def greedy_search(graph: VectorGraph, queries: DataFrame, top: int = 5, beam: int = 24, widen: int = 4, starts: int = 12, max_steps: int = 12) -> DataFrame:
     """(vec_id, near_id, distance) by greedy walks over the graph.
 
-    ``queries`` holds vec_ids of the collection; their own nodes are hidden
-    from the walk; queries with one vector are one (the smallest id answers).
+    ``queries`` holds vec_ids of the collection.  Queries with one vector walk
+    once, past their own node, and each of them gets a result.
     A query enters at the ``starts`` nodes of its home block nearest to it,
     and in each step looks at the links (either way) of the ``widen`` nearest
     nodes it has not looked at yet, keeping the ``beam`` nearest, until none
     of the beam is left to look at or ``max_steps`` are done.  Steps are joins
-    on node numbers; the number of queries is not bounded.  Result rows name
-    each node's smallest id.
+    on node numbers; the number of queries is not bounded.  Copies are expanded
+    as in ``nearest``: from the ``top + 1`` smallest ids of the own node, at
+    distance 0, and of each node found; ties to the smaller id.
     """
     scratch, dim = graph.scratch, graph.dim
-    by_node = graph.placed().join(queries.select("vec_id").distinct(), "vec_id", "left_semi").groupBy("pos").agg(F.min("vec_id").alias("q"))
+    asked = scratch.save(graph.placed().join(queries.select("vec_id").distinct(), "vec_id", "left_semi"))
+    by_node = asked.groupBy("pos").agg(F.min("vec_id").alias("q"))
     site = lambda c: F.shiftright(c, PLACE_BITS)
     homes = graph.nodes.join(by_node, "pos", "left").select(site("pos").alias("site"), "pos", "v", "q")
     ask = homes.groupBy("site").applyInArrow(_entries(starts, dim), "q bigint, me bigint, qv binary, pos bigint")
@@ -547,9 +549,13 @@ def greedy_search(graph: VectorGraph, queries: DataFrame, top: int = 5, beam: in
         state = kept.withColumn("done", F.col("done") | F.col("look")).drop("look")
         ahead = kept.where("look").join(walk, "pos").select("q", "qv", "me", F.explode("nb").alias("pos")).where("pos != me").dropDuplicates(["q", "pos"])
         ask = ahead.join(state.select("q", "pos"), ["q", "pos"], "left_anti")
-    first = graph.named(1).select("pos", F.get("ids", F.lit(0)).alias("near_id"))
-    best = F.row_number().over(Window.partitionBy("q").orderBy("d", "near_id"))
-    return state.join(first, "pos").withColumn("r", best).where(F.col("r") <= top).select(F.col("q").alias("vec_id"), "near_id", F.sqrt(F.col("d").cast("double")).alias("distance"))
+    own = asked.select(F.col("pos").alias("me"), "pos", F.lit(0.0).alias("d")).distinct()
+    reached = own if state is None else own.unionByName(state.select("me", "pos", F.sqrt(F.col("d").cast("double")).alias("d")))
+    spread = reached.join(graph.named(top + 1).select("pos", "ids"), "pos").select("me", "d", F.explode("ids").alias("id"))
+    best = spread.groupBy("me").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "id"))), 1, top + 1).alias("all"))
+    mine = F.slice(F.filter("all", lambda e: e["id"] != F.col("vec_id")), 1, top)
+    found = asked.join(best, asked.pos == best.me).select("vec_id", F.explode(mine).alias("e"))
+    return found.select("vec_id", F.col("e.id").alias("near_id"), F.col("e.d").alias("distance"))
 
 
 def recall(graph: VectorGraph, found: DataFrame, every: int = 50, top: int = 5) -> DataFrame:

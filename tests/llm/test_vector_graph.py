@@ -88,3 +88,27 @@ def test_greedy_search(spark):
         hits += len(true & {r.near_id for r in found if r.vec_id == q})
     assert len(found) == 40 * 5
     assert hits / 200 >= 0.9
+
+
+def test_greedy_search_answers_every_id_and_names_copies(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(300, 6))
+    x[:100] = x[0]  # a third of all rows share one vector
+    x[100:103] = x[100]
+    x[110] = x[111]
+    ids = rng.permutation(3000)[:300]
+    graph = V.build_graph(frame(spark, ids, x), dim=6)
+    asked = [*range(0, 100, 3), 100, 102, 110, 111, *range(150, 300, 10)]
+    found = V.greedy_search(graph, spark.createDataFrame([(int(ids[i]),) for i in asked], "vec_id bigint"), 5).collect()
+    for i in asked:
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        want = [ids[j] for j in np.lexsort((ids, d)) if j != i][:5]
+        rows = sorted((r.distance, r.near_id) for r in found if r.vec_id == ids[i])
+        assert [n for _, n in rows] == want, i
+    assert len(found) == 5 * len(asked)
+
+
+def test_greedy_search_where_all_rows_are_copies(spark):
+    graph = V.build_graph(frame(spark, range(4), [[1.0, 2.0]] * 4), dim=2)
+    found = V.greedy_search(graph, spark.createDataFrame([(0,), (3,)], "vec_id bigint"), 2).collect()
+    assert {(r.vec_id, r.near_id, r.distance) for r in found} == {(0, 1, 0.0), (0, 2, 0.0), (3, 0, 0.0), (3, 1, 0.0)}
