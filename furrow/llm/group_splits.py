@@ -7,14 +7,15 @@ bins are then allocated to splits by target proportion.
 
 Differencing is sequential, so it runs on shards: within a class the
 components are dealt to shards of bounded size, each shard differences its own
-components, and the shards' bins (a number that only the parameters bound per
-shard) are allocated.  A component belongs to the class most of its records
-have.
+components, and the bins of all shards are allocated against the totals of
+the whole class, as a histogram of bin weights.  A component belongs to the
+class most of its records have.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -84,25 +85,52 @@ def _bins_of_shard(bins: int):
     return run
 
 
-def allocate(weights: list[int], targets: dict[str, float]) -> list[str]:
-    """Each bin, heaviest first, to the split furthest behind its target (ties: larger share, then name)."""
-    total, got, out = sum(weights), dict.fromkeys(targets, 0), [""] * len(weights)
+def allocate_runs(histogram: dict[int, int], targets: dict[str, float]) -> list[tuple[int, int, int, str]]:
+    """(weight, low, high, split): of the bins of a weight, in any order, those from place low to below high go to the split.
+
+    Heaviest weight first, each bin to the split furthest behind its target
+    of the total.  The steps of one weight are counted together, so the work
+    grows with the distinct weights (their sum bounds them by a square root).
+    """
+    total, out = sum(w * n for w, n in histogram.items()), []
     scale = sum(targets.values()) or 1.0
-    for i in sorted(range(len(weights)), key=lambda i: (-weights[i], i)):
-        best = min(targets, key=lambda s: (-(targets[s] / scale * total - got[s]), -targets[s], s))
-        got[best] += weights[i]
-        out[i] = best
+    behind = {s: targets[s] / scale * total for s in targets}
+    for w in sorted(histogram, reverse=True):
+        n, given = histogram[w], dict.fromkeys(targets, 0)
+        if w > 0 and n > len(targets):
+            # Splits fall to a common level; the highest level that needs no more than n steps leaves at most one a split.
+            high = max(behind.values())
+            low = high - w * (n + 1.0)
+            for _ in range(60):
+                level = (low + high) / 2
+                steps = {s: max(0, math.ceil((b - level) / w)) for s, b in behind.items()}
+                if sum(steps.values()) <= n:
+                    high, given = level, steps
+                else:
+                    low = level
+        for s, k in given.items():
+            behind[s] -= k * w
+        for _ in range(n - sum(given.values())):
+            best = min(targets, key=lambda s: (-behind[s], -targets[s], s))
+            behind[best] -= w
+            given[best] += 1
+        at = 0
+        for s, k in given.items():
+            if k:
+                out.append((w, at, at + k, s))
+                at += k
     return out
 
 
-def assign_splits(grouped: DataFrame, targets: DataFrame, bins: int = 40, shard_rows: int = 2000, scratch: Scratch | None = None) -> DataFrame:
+def assign_splits(grouped: DataFrame, targets: DataFrame, bins: int = 40, shard_rows: int = 2000, lanes: int = 256, scratch: Scratch | None = None) -> DataFrame:
     """(path, final_class, scene, new_split) for every record.
 
     ``targets`` (split, target_share) is a handful of rows; shares are scaled
     to add up to one.  Shards hold about ``shard_rows`` components whatever
-    the table's size; all shards are balanced alike, so the whole is.  A scene
-    heavier than a split's whole target stays whole.  Records without class
-    form a class of their own (NULL).
+    the table's size; the bins of all shards of a class are allocated together,
+    so a heavy scene in one is made up for by the others.  A scene heavier than
+    a split's whole target stays whole.  Records without class form a class of
+    their own (NULL).
     """
     spark = grouped.sparkSession
     scratch = scratch or Scratch(spark)
@@ -118,12 +146,19 @@ def assign_splits(grouped: DataFrame, targets: DataFrame, bins: int = 40, shard_
         return rows.withColumn("new_split", F.lit(None).cast("string"))
 
     def allot(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf.sort_values("bin").reset_index(drop=True)
-        out["new_split"] = allocate(out.weight.tolist(), goals)
-        return out[["cls", "shard", "bin", "new_split"]]
-
-    sums = binned.groupBy("cls", "shard", "bin").agg(F.sum("weight").alias("weight"))
-    placed = sums.groupBy("cls", "shard").applyInPandas(allot, "cls string, shard int, bin int, new_split string")
+        cls = pdf.cls.iloc[0]
+        runs = allocate_runs(dict(zip(pdf.weight.tolist(), pdf.n.tolist())), goals)
+        return pd.DataFrame([(cls, *r) for r in runs], columns=["cls", "weight", "low", "high", "new_split"])
+
+    sums = scratch.save(binned.groupBy("cls", "shard", "bin").agg(F.sum("weight").alias("weight")))
+    by_lane = sums.withColumn("lane", F.pmod(F.xxhash64("shard", "bin"), F.lit(lanes)))
+    counts = by_lane.groupBy("cls", "weight", "lane").agg(F.count("*").alias("n"))
+    runs = counts.groupBy("cls", "weight").agg(F.sum("n").alias("n")).groupBy("cls").applyInPandas(allot, "cls string, weight long, low long, high long, new_split string")
+    # The place of a bin within its weight: ranked per lane, offset by the lanes before.
+    offsets = counts.withColumn("before", F.sum("n").over(Window.partitionBy("cls", "weight").orderBy("lane")) - F.col("n")).drop("n")
+    inside = Window.partitionBy("cls", "weight", "lane").orderBy("shard", "bin")
+    ranked = by_lane.withColumn("r", F.row_number().over(inside) - 1).join(offsets, ["cls", "weight", "lane"]).withColumn("place", F.col("r") + F.col("before"))
+    placed = ranked.join(runs, ["cls", "weight"]).where("place >= low AND place < high").select("cls", "shard", "bin", "new_split")
     scenes = binned.join(placed, ["cls", "shard", "bin"]).select("scene", "new_split")
     return rows.join(scenes, "scene").select("path", "final_class", "scene", "new_split")
 

@@ -176,3 +176,33 @@ def test_assigned_splits_keep_scenes_whole(spark):
     assert all(abs(g) < 0.06 for (c, _), g in report.items() if c == "a")
     assert group_splits.assign_splits(group_splits.scene_groups(records(spark, []), 5), targets).count() == 0
     assert {r.new_split for r in group_splits.assign_splits(scenes, targets.limit(0)).collect()} == {None}
+
+
+def one_by_one(weights, targets):
+    behind = {s: t * sum(weights) / sum(targets.values()) for s, t in targets.items()}
+    for w in sorted(weights, reverse=True):
+        behind[min(targets, key=lambda s: (-behind[s], -targets[s], s))] -= w
+    return behind
+
+
+def test_runs_of_equal_bins_are_the_steps_one_by_one():
+    rng = random.Random(8)
+    for _ in range(200):
+        weights = [rng.choice([1, 2, 50, 51, 52, 700]) for _ in range(rng.randint(1, 300))]
+        targets = {"train": 0.7, "val": 0.2, "test": 0.1}
+        histogram = {w: weights.count(w) for w in set(weights)}
+        runs = group_splits.allocate_runs(histogram, targets)
+        assert {w: sum(b - a for x, a, b, _ in runs if x == w) for w in histogram} == histogram
+        left = {s: t * sum(weights) - sum(w * (b - a) for w, a, b, x in runs if x == s) for s, t in targets.items()}
+        want = one_by_one(weights, targets)
+        assert sorted(left.values()) == pytest.approx(sorted(want.values()), abs=1e-6)
+
+
+def test_a_heavy_scene_is_made_up_for_by_other_shards(spark):
+    n = 4000
+    rows = [(f"p{i}", "a", "/%d" % i) for i in range(n)] + [(f"h{i}", "a", "#hot") for i in range(n // 2)]
+    grouped = spark.createDataFrame(rows, "path string, final_class string, scene string")
+    targets = spark.createDataFrame([("train", 0.7), ("val", 0.2), ("test", 0.1)], "split string, target_share double")
+    out = group_splits.assign_splits(grouped, targets, bins=40, shard_rows=200)
+    gaps = {r.new_split: r.gap for r in group_splits.balance_report(out, targets).collect()}
+    assert len(gaps) == 3 and all(abs(g) < 0.01 for g in gaps.values()), gaps
