@@ -1,9 +1,10 @@
 """Problem 6: filling fixed-capacity containers.
 
-Method: bin completion.  The largest remaining item opens a container; the
-undominated fillings around it are enumerated depth first, branches are pruned
-by what the remaining sizes can still add, and the best-fit filling is the
-incumbent.  Equal sizes are interchangeable, so the search works on the
+Method: bin completion.  The largest remaining item opens a container, filled
+around it as well as can be; that packing is the incumbent.  Branch and bound
+then branches over the undominated fillings of each largest size and is pruned
+by the total waste, until the least number is proven or a stated budget of
+nodes is used up.  Equal sizes are interchangeable, so the search works on the
 histogram of sizes, which the capacity bounds whatever the number of items: a
 filling found once is used as often as its sizes last.  Items then find their
 container by their rank within their size, which is counted without ever
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import base64
 import os
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -99,8 +100,124 @@ def best_completion(sizes: list[int], counts: dict[int, int], room: int, effort:
     return best[1]
 
 
-def fill(histogram: dict[int, int], capacity: int) -> list[Filling]:
-    """Fillings that use every item of the histogram (size: number) once."""
+def least_containers(histogram: dict[int, int], capacity: int) -> int:
+    """A number of containers that no packing can do without."""
+    total = sum(s * n for s, n in histogram.items())
+    return max(-(-total // capacity), sum(n for s, n in histogram.items() if 2 * s > capacity))
+
+
+def completions(sizes: list[int], counts: dict[int, int], room: int, width: int = 12, effort: int = 4000) -> tuple[list[dict[int, int]], int, bool]:
+    """The ``width`` undominated fillings of ``room`` that waste least, the nodes used, and whether no others exist.
+
+    A filling is dominated, and left out, if a free size fits into its waste,
+    could replace a smaller one of its sizes, or two of them together.
+    """
+    found: list[tuple[int, int, dict[int, int]]] = []
+    left, whole = [effort], [True]
+
+    def dominated(space: int, taken: dict[int, int]) -> bool:
+        free = [s for s in sizes if counts[s] > taken.get(s, 0)]
+        mine = list(taken)
+        pairs = [a + b for i, a in enumerate(mine) for b in mine[i:] if a != b or taken[a] > 1]
+        # The least free size above (for the rest of the room and one size) or not under (for two) what it replaces.
+        for base, at in [(0, bisect_right(free, 0)), *((a, bisect_right(free, a)) for a in mine), *((p, bisect_left(free, p)) for p in pairs)]:
+            if at < len(free) and free[at] <= base + space:
+                return True
+        return False
+
+    def go(upto: int, space: int, taken: dict[int, int]) -> None:
+        left[0] -= 1
+        if left[0] < 0:
+            whole[0] = False
+            return
+        upto = bisect_right(sizes, space, 0, upto)
+        if not dominated(space, taken):
+            found.append((space, sum(taken.values()), dict(taken)))
+        for i in range(upto, 0, -1):
+            s = sizes[i - 1]
+            for k in range(min(counts[s], space // s), 0, -1):
+                taken[s] = k
+                go(i - 1, space - k * s, taken)
+                if left[0] < 0:
+                    break
+            taken.pop(s, None)
+            if left[0] < 0:
+                return
+
+    go(len(sizes), room, {})
+    found.sort(key=lambda f: f[:2])
+    return [f[2] for f in found[:width]], effort - max(0, left[0]), whole[0] and len(found) <= width
+
+
+def fill(histogram: dict[int, int], capacity: int, budget: int = 400_000) -> list[Filling]:
+    """Fillings that use every item of the histogram (size: number) once.
+
+    The incumbent is ``best_fillings``; where it holds more than
+    ``least_containers``, branch and bound looks for a smaller packing.  A
+    branch is a filling of the largest size, as often as its sizes last or
+    once.  Branches are taken in waves: at most 0, 1, 3, 7, ... departures
+    from the best filling in all, so early choices are revisited as well.
+    ``budget`` bounds the nodes of all waves; the best packing stands then.
+    """
+    best = best_fillings(histogram, capacity)
+    start = {s: n for s, n in histogram.items() if n > 0 and s > 0}
+    least, n_best = least_containers(start, capacity), sum(f.times for f in best)
+    slack = 0
+    while n_best > least and budget > 0:
+        counts, used, mass, cut = dict(start), 0, sum(s * n for s, n in start.items()), False
+        path: list[tuple[Filling, int]] = []
+
+        def branches(allowed: int) -> Iterator[tuple[Filling, int]]:
+            nonlocal budget, cut
+            sizes = sorted(s for s in counts if counts[s])
+            large = sizes[-1]
+            counts[large] -= 1
+            options, nodes, whole = completions([s for s in sizes if counts[s]], counts, capacity - large)
+            counts[large] += 1
+            budget -= nodes + len(sizes)
+            cut = cut or not whole
+            cost = 0
+            for parts in options:
+                parts = {**parts, large: parts.get(large, 0) + 1}
+                most = min(counts[s] // k for s, k in parts.items())
+                for times in (most, 1) if most > 1 else (1,):
+                    if cost > allowed:
+                        cut = True
+                        return
+                    yield Filling(parts, times), allowed - cost
+                    cost += 1
+
+        frames = [branches(slack)]
+        while frames and budget > 0 and n_best > least:
+            step = next(frames[-1], None)
+            if step is None:
+                frames.pop()
+                if path:
+                    f, _ = path.pop()
+                    used -= f.times
+                    for s, k in f.parts.items():
+                        counts[s] += k * f.times
+                        mass += s * k * f.times
+                continue
+            f, allowed = step
+            path.append(step)
+            used += f.times
+            for s, k in f.parts.items():
+                counts[s] -= k * f.times
+                mass -= s * k * f.times
+            if mass == 0 and used < n_best:
+                best, n_best = [g for g, _ in path], used
+            # Total waste: what is left needs so many containers even if none of their room is lost.
+            hopeless = mass == 0 or used - (-mass // capacity) >= n_best
+            frames.append(iter(()) if hopeless else branches(allowed))
+        if not cut:
+            break
+        slack = 2 * slack + 1
+    return best
+
+
+def best_fillings(histogram: dict[int, int], capacity: int) -> list[Filling]:
+    """The packing that gives each largest size its best filling, as often as the sizes last."""
     counts = {s: n for s, n in histogram.items() if n > 0 and s > 0}
     sizes = sorted(counts)
     out = []
@@ -128,7 +245,7 @@ def pack(sized: DataFrame, capacity: int = 2048, lanes: int = 64, scratch: Scrat
     space and get no row; ids given twice are two items.
 
     The driver holds the histogram (at most ``capacity`` entries) and the
-    fillings (each uses up a size, so no more fillings than sizes).  Ranks
+    fillings (bounded by the sizes and by the budget of the search).  Ranks
     within a size are per lane (a hash), offset by the lanes' counts, so a
     size that a third of all items have is still ranked in many tasks.
     """

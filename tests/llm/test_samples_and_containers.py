@@ -121,3 +121,46 @@ def test_token_counts(spark):
     other = Tokenizer.from_file(f"{packing.VOCABULARIES}/byte_bpe_50k.json")
     other.encode_special_tokens = True
     assert got[5] == len(other.encode(docs[4][1], add_special_tokens=False).ids)
+
+
+TIGHT = [1139, 948, 900, 900, 600, 600, 500, 408]
+
+
+@pytest.mark.parametrize("copies", [1, 1000])
+def test_fill_branches_over_fillings(copies):
+    fillings = packing.fill({s: n * copies for s, n in Counter(TIGHT).items()}, 2048)
+    assert sum(f.times for f in fillings) <= 3 * copies
+    used = Counter()
+    for f in fillings:
+        assert sum(s * k for s, k in f.parts.items()) <= 2048
+        used.update({s: k * f.times for s, k in f.parts.items()})
+    assert used == {s: n * copies for s, n in Counter(TIGHT).items()}
+
+
+def fewest(sizes, capacity):
+    best, loads = [len(sizes)], []
+
+    def go(i):
+        if len(loads) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(loads)
+            return
+        for j in range(len(loads)):
+            if loads[j] + sizes[i] <= capacity:
+                loads[j] += sizes[i]
+                go(i + 1)
+                loads[j] -= sizes[i]
+        loads.append(sizes[i])
+        go(i + 1)
+        loads.pop()
+
+    go(0)
+    return best[0]
+
+
+def test_fill_needs_the_fewest_containers():
+    rng = random.Random(6)
+    for _ in range(150):
+        sizes = sorted((rng.randint(10, 70) for _ in range(rng.randint(1, 10))), reverse=True)
+        assert sum(f.times for f in packing.fill(Counter(sizes), 100)) == fewest(sizes, 100)
