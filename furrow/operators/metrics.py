@@ -119,6 +119,12 @@ def low_confidence_rate(df: DataFrame, keys: list[str], below: float = 0.6) -> D
     return df.where("true_class IS NOT NULL AND confidence IS NOT NULL").groupBy(*keys, "true_class").agg(F.count("*").alias("n"), F.avg(low).alias("low_rate"))
 
 
+def observed_classes(conf: DataFrame) -> list[str]:
+    """The class names on either side of the confusion counts, sorted."""
+    names = conf.select("true_class").union(conf.select("pred")).where("true_class IS NOT NULL").distinct()
+    return sorted(r[0] for r in names.collect())
+
+
 def wide_confusion(conf: DataFrame, keys: list[str], classes: list[str]) -> DataFrame:
     """SNK02: one row a true class, one column a predicted class of ``classes``, in that order."""
     return conf.groupBy(*keys, "true_class").pivot("pred", classes).agg(F.sum("n")).fillna(0, classes)

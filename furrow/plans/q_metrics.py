@@ -257,3 +257,9 @@ def snk02_wide_confusion(spark, d):
 @query(f"WITH {P} SELECT run_tag, path, pred, confidence < 0.6 AS low FROM p WHERE confidence IS NOT NULL")
 def flt08_low_rule(spark, d):
     return predictions(spark, d).where("confidence IS NOT NULL").select("run_tag", "path", "pred", filters.low_confidence(F.col("confidence"), F.lit(0.0)).alias("low"))
+
+
+@query()
+def snk02_wide_confusion_whole(spark, d):
+    conf = _conf(spark, d)
+    return metrics.wide_confusion(conf, R, metrics.observed_classes(conf))

@@ -34,6 +34,14 @@ def src13_snk02_matrix(spark, d):
     return files.read_matrix(spark, f"{at}/part-*.csv", names)
 
 
+@query(f"WITH {CONF}, k AS (SELECT true_class AS c FROM c WHERE true_class IS NOT NULL UNION SELECT pred FROM c WHERE pred IS NOT NULL) SELECT a.c AS true_class, b.c AS pred, coalesce(sum(n), 0)::BIGINT AS n FROM k a CROSS JOIN k b LEFT JOIN c ON c.true_class = a.c AND c.pred = b.c GROUP BY 1, 2")
+def src13_snk02_matrix_whole(spark, d):
+    conf, at = metrics.confusion(predictions(spark, d), []), _at(spark, "confusion.csv")
+    names = metrics.observed_classes(conf)
+    sinks.write_matrix(conf, at, names)
+    return files.read_matrix(spark, f"{at}/part-*.csv", names)
+
+
 @query(f"WITH {CONF} SELECT run_tag AS tag, sum(n)::INT AS n_test, round(sum(n) FILTER (true_class = pred) / sum(n), 6) AS overall_top1 FROM c GROUP BY 1")
 def src14_snk03_document(spark, d):
     acc = metrics.accuracy(metrics.confusion(predictions(spark, d), ["run_tag"]), ["run_tag"])
