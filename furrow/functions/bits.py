@@ -1,18 +1,33 @@
-"""Keys under which 64-bit numbers few bits apart meet in an equi-join.
+"""Segment join of 64-bit numbers few bits apart.
 
-k errors leave one of k // 2 + 1 blocks with at most one error.  If one side
-has a key for each block and the other also a key for each spelling of a block
-with one bit replaced, close numbers share a key: exact for every k, and with
-blocks twice as wide as those of a plain k + 1 partition, so far fewer others
-do.
+A number is a string of 64 letters, cut into k + s segments.  k replaced
+letters leave at least s segments as they are, so two numbers within k bits
+share the key of one choice of s segments: an equi-join, exact for every k and
+s.  A larger s makes keys more numerous and more selective; ``plan`` takes the
+one of the least cost for the sides' sizes.  Letters are only replaced, never
+inserted, so a segment has one allowed position and the band of the verifying
+dynamic programming is the diagonal: the number of differing bits.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from furrow.functions import clean
+from furrow.session import Scratch
+
 WIDTH = 64
+#: What a shuffled and sorted key costs, in verified pairs.
+ROW_COST = 40
+#: Keys that one task spells out, and numbers from which a key is cut further.
+TASK_KEYS = 400_000
+HOT = 4096
+#: One number of so many is looked at to find such keys.
+LOOK = 64
 
 
 def mask64(value: int) -> Column:
@@ -20,37 +35,86 @@ def mask64(value: int) -> Column:
     return F.lit(value - (1 << 64) if value >> 63 else value).cast("bigint")
 
 
-def blocks(k: int) -> list[tuple[int, int]]:
-    """(lowest bit, width) of each of the k // 2 + 1 blocks."""
-    n = k // 2 + 1
-    edges = [WIDTH * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+def segments(positions: list[int], n: int) -> list[int]:
+    """Masks of ``n`` near-equal runs of the bit positions."""
+    edges = [len(positions) * i // n for i in range(n + 1)]
+    return [sum(1 << p for p in positions[a:b]) for a, b in zip(edges, edges[1:])]
+
+
+def choices(k: int, s: int) -> list[int]:
+    """Masks of every choice of ``s`` of k + s segments of a whole number."""
+    return [sum(c) for c in combinations(segments(list(range(WIDTH)), k + s), s)]
+
+
+def plan(left: int, right: int, k: int, most: int = 4) -> int:
+    """The number s of unchanged segments with the least cost of keys and verified pairs."""
+
+    def cost(s: int) -> float:
+        n = math.comb(k + s, s)
+        return n * (left + right) * ROW_COST + n * left * right / 2.0 ** (WIDTH * s / (k + s))
+
+    return min(range(1, min(most, WIDTH - k) + 1), key=cost)
 
 
-def _flipper(own: Column):
+def _of(h: Column):
     # Spark counts a lambda's parameters, so what it closes over can't be a default.
-    return lambda mask: own.bitwiseXOR(mask)
+    return lambda m, i: F.xxhash64(i, h.bitwiseAND(m))
+
+
+def _within(h: Column, key: Column):
+    return lambda m, i: F.xxhash64(key, i, h.bitwiseAND(m))
+
+
+def keyed(hashes: DataFrame, masks: list[int]) -> DataFrame:
+    """(hash, key), a key a mask; equal keys of different numbers only cost a check."""
+    keys = F.transform(F.array(*map(mask64, masks)), _of(F.col("hash")))
+    return hashes.select("hash", F.explode(keys).alias("key"))
+
+
+def _further(hashes: DataFrame, masks: list[int], k: int, hot: DataFrame) -> DataFrame:
+    """Keys of the numbers under a hot key: that key with one of k + 1 segments of the remaining bits."""
+    rest = [segments([p for p in range(WIDTH) if not m >> p & 1], k + 1) for m in masks]
+    at = F.transform(F.array(*map(mask64, masks)), lambda m, i: F.struct(i.alias("i"), F.xxhash64(i, F.col("hash").bitwiseAND(m)).alias("key")))
+    rows = hashes.select("hash", F.explode(at).alias("c")).select("hash", "c.i", "c.key").join(hot, "key", "left_semi")
+    below = F.get(F.array(*[F.array(*map(mask64, r)) for r in rest]), F.col("i"))
+    return rows.select("hash", F.explode(F.transform(below, _within(F.col("hash"), F.col("key")))).alias("key"))
+
 
+def _spread(hashes: DataFrame, rows: int, keys: int) -> DataFrame:
+    """The numbers in as many tasks as their keys ask for."""
+    return hashes.repartition(max(1, math.ceil(rows * keys / TASK_KEYS)))
 
-def _free_in(own: Column):
-    return lambda mask: own.bitwiseAND(mask) == 0
 
+def close_pairs(left: DataFrame, right: DataFrame | None, k: int, scratch: Scratch, s: int | None = None) -> DataFrame:
+    """Pairs (a, b, bits) of the numbers ``hash`` at most ``k`` bits apart, equal ones included.
 
-def keyed(hashes: DataFrame, k: int, spellings: str | None = None) -> DataFrame:
-    """(hash, key) of the column ``hash``, a key a block.
+    Both sides are reduced to distinct numbers; NULL matches nothing.  Without
+    ``right`` the join is of one side with itself, of pairs a < b.
 
-    With ``spellings`` "all" also a key for each block with one bit replaced,
-    with "raised" only for bits replaced from 0 to 1: enough in a self-join,
-    where of two blocks that differ in one bit one has 0 there.
+    A key under which very many numbers lie (flat images share whole segments)
+    is cut further by the segments of the remaining bits, so its pairs do not
+    grow with the square of its numbers; which keys those are is seen from one
+    number in ``LOOK``, and decides only what the join costs, never its result.
     """
-    keys = []
-    for i, (low, width) in enumerate(blocks(k)):
-        own = F.shiftrightunsigned("hash", low).bitwiseAND(mask64((1 << width) - 1)).bitwiseOR(mask64(i << 56))
-        if spellings and k > 0:
-            flips = F.array(*[mask64(m) for m in [0, *(1 << b for b in range(width))]])
-            if spellings == "raised":
-                flips = F.filter(flips, _free_in(own))
-            keys.append(F.transform(flips, _flipper(own)))
-        else:
-            keys.append(F.array(own))
-    return hashes.select("hash", F.explode(F.concat(*keys)).alias("key"))
+    alone = right is None
+    sides = [scratch.save(d.select("hash").where("hash IS NOT NULL").distinct()) for d in ([left] if alone else [left, right])]
+    sizes = [d.count() for d in sides]
+    s = s or plan(sizes[0], sizes[-1], k)
+    masks = choices(k, s)
+    wide = [_spread(d, n, len(masks)) for d, n in zip(sides, sizes)]
+    parts = [[keyed(d, masks) for d in wide]]
+    if max(sizes) >= LOOK * HOT // 8:
+        seen = None
+        for d in sides:
+            some = keyed(d.where(F.pmod(F.xxhash64("hash"), F.lit(LOOK)) == 0), masks)
+            seen = some if seen is None else seen.unionByName(some)
+        hot = scratch.save(seen.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * LOOK >= HOT).select("key"))
+        if not hot.isEmpty():
+            parts = [[p.join(hot, "key", "left_anti") for p in parts[0]], [_further(d, masks, k, hot) for d in wide]]
+    out = None
+    for p in parts:
+        x, y = p[0].withColumnRenamed("hash", "x"), p[-1].withColumnRenamed("hash", "y")
+        close = x.join(y, "key").where(clean.hamming64("x", "y") <= k)
+        close = close.where("x < y") if alone else close
+        out = close if out is None else out.unionByName(close)
+    return out.select(F.col("x").alias("a"), F.col("y").alias("b"), clean.hamming64("x", "y").alias("bits")).distinct()

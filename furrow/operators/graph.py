@@ -2,27 +2,21 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.functions import bits, clean
+from furrow.functions import bits
 from furrow.session import Scratch
 
 
-def hamming_pairs(hashes: DataFrame, most: int, col: str = "hash") -> DataFrame:
+def hamming_pairs(hashes: DataFrame, most: int, col: str = "hash", scratch: Scratch | None = None) -> DataFrame:
     """JOI09: pairs (a, b, dist), a < b, of distinct hashes at most ``most`` bits apart.
 
-    Exact: close hashes share the key of one of ``most`` // 2 + 1 blocks with
-    at most one bit raised (``functions.bits``), keys are equi-joined and the
-    distance verified; no pair of all is ever formed.
+    Exact for every bound (``functions.bits``): an equi-join on the segments
+    that stay as they are, verified by the number of differing bits.
     """
-    h = hashes.select(F.col(col).alias("hash")).where("hash IS NOT NULL").distinct()
-    a = bits.keyed(h, most, "raised").withColumnRenamed("hash", "x")
-    b = bits.keyed(h, most).withColumnRenamed("hash", "y").hint("shuffle_hash")  # the smaller side by far; neither is sorted
-    dist = clean.hamming64("x", "y")
-    close = a.join(b, "key").where((F.col("x") != F.col("y")) & (dist <= most))
-    return close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), dist.alias("dist")).distinct()
+    scratch = scratch or Scratch(hashes.sparkSession)
+    return bits.close_pairs(hashes.select(F.col(col).alias("hash")), None, most, scratch).withColumnRenamed("bits", "dist")
 
 
 def components(edges: DataFrame, src: str = "a", dst: str = "b", scratch: Scratch | None = None, max_rounds: int = 100) -> DataFrame:
@@ -56,7 +50,7 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", scratch: Scratc
 def clustered(rows: DataFrame, most: int, scratch: Scratch | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """rows with ``cluster``: the smallest hash of the near-duplicate component; NULL without hash."""
     scratch = scratch or Scratch(rows.sparkSession)
-    found = components(hamming_pairs(rows, most) if pairs is None else pairs, scratch=scratch)
+    found = components(hamming_pairs(rows, most, scratch=scratch) if pairs is None else pairs, scratch=scratch)
     return rows.join(found, rows.hash == found.vertex, "left").select(*[rows[c] for c in rows.columns], F.coalesce("component", "hash").alias("cluster"))
 
 
@@ -75,7 +69,7 @@ def cluster_stats(members: DataFrame) -> DataFrame:
 def threshold_sweep(rows: DataFrame, bounds: list[int], scratch: Scratch | None = None) -> DataFrame:
     """GRF02: ``cluster_stats`` and number of pairs of distinct hashes at each bound; the pairs are joined once."""
     scratch = scratch or Scratch(rows.sparkSession)
-    pairs = scratch.save(hamming_pairs(rows, max(bounds)))
+    pairs = scratch.save(hamming_pairs(rows, max(bounds), scratch=scratch))
     out = None
     for t in bounds:
         close = pairs.where(F.col("dist") <= t)
@@ -86,46 +80,48 @@ def threshold_sweep(rows: DataFrame, bounds: list[int], scratch: Scratch | None
 
 
 def greedy_dedupe(rows: DataFrame, most: int = 5, scratch: Scratch | None = None) -> DataFrame:
-    """GRF03: rows with their fate when they are taken in (final_class, path) order.
+    """GRF03: path, fate, rival, cross when rows are taken in (final_class, path) order.
 
     A row is dropped when its hash lies within ``most`` bits of a row kept
-    before.  Its fate rests only on rows of its own component.  Equal hashes
-    share a fate but for their first, so only the first row of each hash takes
-    part in the fold and the others follow from it; a component's fold then
-    grows with its distinct hashes alone.  fate: keep, exact, near; rival: the
-    path of the nearest kept row (ties: the earlier); cross: its class differs.
+    before.  fate: keep, exact (an equal hash was kept), near; rival: the path
+    of the nearest row kept before it (ties: the earlier); cross: whether the
+    rival's class differs (FALSE for kept rows; a missing class is one of its
+    own).  Rows without hash are kept; paths are unique.
+
+    Equal hashes share a fate but for their first, so only the first row of
+    each hash is decided.  The order gives every link a direction, and fates
+    follow in rounds: a row is kept once all its earlier neighbours are
+    dropped, and dropped once one is kept.  A round is one join on the links
+    still open and a partial aggregate; no component is ever brought together.
+    Rounds are as many as the longest chain of earlier neighbours, which the
+    order of paths, unrelated to hashes, keeps short.
     """
     scratch = scratch or Scratch(rows.sparkSession)
-    named = rows.select("path", F.coalesce("final_class", F.lit("")).alias("cls"), "hash")
-    firsts = scratch.save(named.where("hash IS NOT NULL").groupBy("hash").agg(F.min(F.struct("cls", "path")).alias("f")).select("hash", "f.cls", "f.path"))
-    pairs = scratch.save(hamming_pairs(firsts, most))
-    comp = scratch.save(components(pairs, scratch=scratch))
-    seq = firsts.select(F.col("hash").alias("h"), "cls", "path")
-    links = pairs.select(F.col("a").alias("h"), F.col("b").alias("o"), "dist").unionByName(pairs.select(F.col("b").alias("h"), F.col("a").alias("o"), "dist"))
-    other = firsts.select(F.col("hash").alias("o"), F.col("cls").alias("o_cls"), F.col("path").alias("o_path"))
-    earlier = links.join(seq, "h").join(other, "o").where(F.struct("o_cls", "o_path") < F.struct("cls", "path"))
-    work = comp.select(F.col("vertex").alias("h"), "component").join(seq, "h").join(
-        earlier.groupBy("h").agg(F.collect_list(F.struct("dist", "o_cls", "o_path", "o")).alias("before")), "h", "left"
-    )
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, out = set(), []
-        for r in pdf.sort_values(["cls", "path"]).itertuples():
-            near = sorted((b["dist"], b["o_cls"], b["o_path"]) for b in (r.before if r.before is not None else []) if b["o"] in kept)
-            if near:
-                out.append((r.h, "near", near[0][2], near[0][1] != r.cls))
-            else:
-                kept.add(r.h)
-                out.append((r.h, "keep", None, False))
-        return pd.DataFrame(out, columns=["h", "fate", "rival", "cross"])
-
-    decided = scratch.save(work.groupBy("component").applyInPandas(fold, "h bigint, fate string, rival string, cross boolean"))
-    lead = firsts.join(decided, firsts.hash == decided.h, "left").select("hash", F.col("path").alias("first_path"), F.col("cls").alias("first_cls"), F.coalesce("fate", F.lit("keep")).alias("first_fate"), F.col("rival").alias("first_rival"))
-    out = named.join(lead, "hash", "left")
-    first = F.col("path") == F.col("first_path")
-    fate = F.when(F.col("hash").isNull() | first, F.coalesce("first_fate", F.lit("keep"))).when(F.col("first_fate") == "keep", "exact").otherwise("near")
-    rival = F.when(F.col("hash").isNull() | first, F.col("first_rival")).when(F.col("first_fate") == "keep", F.col("first_path")).otherwise(F.col("first_rival"))
-    return out.select("path", fate.alias("fate"), rival.alias("rival"))
+    named = scratch.save(rows.select("path", F.coalesce("final_class", F.lit("")).alias("cls"), "hash"))
+    firsts = scratch.save(named.where("hash IS NOT NULL").groupBy("hash").agg(F.min(F.struct("cls", "path")).alias("lead")))
+    pairs = hamming_pairs(firsts, most, scratch=scratch)
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist")).select(F.col("a").alias("h"), F.col("b").alias("o"), "dist")
+    mine, theirs = firsts.select(F.col("hash").alias("h"), F.col("lead").alias("me")), firsts.select(F.col("hash").alias("o"), F.col("lead").alias("rival"))
+    links = scratch.save(both.join(mine, "h").join(theirs, "o").select("h", "o", "dist", "rival", (F.col("rival") < F.col("me")).alias("earlier")))
+    left = links.where("earlier").select("h", "o")
+    kept = scratch.save(left.select(F.col("o").alias("h")).join(left.select("h"), "h", "left_anti").distinct())
+    all_kept = kept
+    while not kept.isEmpty():
+        dropped = scratch.save(left.join(kept.select(F.col("h").alias("o")), "o", "left_semi").select("h").distinct())
+        # Links to what is dropped bind no more; a row whose last link goes is kept.
+        still = left.join(dropped, "h", "left_anti")
+        rest = scratch.save(still.join(dropped.select(F.col("h").alias("o")), "o", "left_anti").select("h", "o"))
+        kept = scratch.save(still.select("h").distinct().join(rest.select("h"), "h", "left_anti"))
+        all_kept = all_kept.unionByName(kept)
+        left = rest
+    all_kept = scratch.save(all_kept)
+    lost = links.join(all_kept.select(F.col("h").alias("o")), "o", "left_semi").join(all_kept, "h", "left_anti").select(F.col("h").alias("hash"), "dist", F.col("rival").alias("k"))
+    near = named.join(lost, "hash").where(F.col("k") < F.struct("cls", "path")).groupBy("path").agg(F.min(F.struct("dist", "k")).alias("best")).select("path", F.col("best.k").alias("by"))
+    out = named.join(firsts, "hash", "left").join(near, "path", "left")
+    first = F.col("hash").isNull() | (F.col("path") == F.col("lead.path"))
+    fate = F.when(F.col("by").isNotNull(), "near").when(first, "keep").otherwise("exact")
+    rival = F.when(F.col("by").isNotNull(), F.col("by")).when(~first, F.col("lead"))
+    return out.select("path", fate.alias("fate"), rival["path"].alias("rival"), F.coalesce(rival["cls"] != F.col("cls"), F.lit(False)).alias("cross"))
 
 
 def leakage(members: DataFrame) -> DataFrame:

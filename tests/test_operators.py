@@ -5,8 +5,9 @@ import random
 import numpy as np
 import pytest
 
-from furrow.functions import pixels
+from furrow.functions import bits, pixels
 from furrow.operators import audit, decision, filters, graph, image, joins, metrics, sampling, similarity, stats
+from furrow.session import Scratch
 from furrow.sources import files, sinks
 
 
@@ -14,7 +15,7 @@ def signed(h):
     return h - (1 << 64) if h >> 63 else h
 
 
-@pytest.mark.parametrize("most", [0, 1, 5, 10])
+@pytest.mark.parametrize("most", [0, 1, 5, 10, 18])
 def test_hamming_pairs(spark, most):
     rng = random.Random(most)
     pool = [rng.getrandbits(64) for _ in range(5)]
@@ -56,14 +57,33 @@ def test_greedy_dedupe_folds_in_order(spark):
         for b in rng.sample(range(24), rng.randint(0, 5)):
             h ^= 1 << b
         rows.append((f"p{rng.randrange(10**6):06d}_{i}", rng.choice("ab"), signed(h) if i % 17 else None))
-    kept, fate = [], {}
-    for p, _, h in sorted(rows, key=lambda r: (r[1], r[0])):
-        d = min((((h ^ k) & ((1 << 64) - 1)).bit_count() for k in kept), default=99) if h is not None else 99
-        fate[p] = "keep" if d > 5 else "exact" if d == 0 else "near"
+    kept, want = [], {}
+    for p, c, h in sorted(rows, key=lambda r: (r[1], r[0])):
+        d, kc, kp = min(((((h ^ k) & ((1 << 64) - 1)).bit_count(), kc, kp) for k, kc, kp in kept), default=(99, None, None)) if h is not None else (99, None, None)
+        want[p] = ("keep", None, False) if d > 5 else ("exact" if d == 0 else "near", kp, kc != c)
         if d > 5 and h is not None:
-            kept.append(h)
-    got = {r.path: r.fate for r in graph.greedy_dedupe(spark.createDataFrame(rows, "path string, final_class string, hash bigint")).collect()}
-    assert got == fate
+            kept.append((h, c, p))
+    table = spark.createDataFrame(rows, "path string, final_class string, hash bigint")
+    got = {r.path: (r.fate, r.rival, r.cross) for r in graph.greedy_dedupe(table).collect()}
+    assert got == want
+    assert graph.greedy_dedupe(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("s", [1, 2, 3])
+def test_crowded_keys_are_cut_further(spark, s, monkeypatch):
+    """Flat images: a third of the hashes share their upper bits."""
+    monkeypatch.setattr(bits, "HOT", 40)
+    monkeypatch.setattr(bits, "LOOK", 4)
+    rng = random.Random(s)
+    pool = [rng.getrandbits(22) for _ in range(300)] + [rng.getrandbits(64) for _ in range(300)]
+    pool += [h ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for h in pool]
+    frame = lambda hs: spark.createDataFrame([(signed(h),) for h in hs] + [(None,)], "hash bigint")
+    near = lambda a, b: (a ^ b).bit_count() <= 5
+    got = [(r.a, r.b) for r in bits.close_pairs(frame(pool), None, 5, Scratch(spark), s).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(signed(a), signed(b)) for a in pool for b in pool if signed(a) < signed(b) and near(a, b)}
+    left, right = pool[:500], pool[400:]
+    got = {(r.a, r.b) for r in bits.close_pairs(frame(left), frame(right), 5, Scratch(spark), s).collect()}
+    assert got == {(signed(a), signed(b)) for a in left for b in right if near(a, b)}
 
 
 def test_ranked_lanes_are_whole_and_stable(spark):
