@@ -34,7 +34,7 @@ def scene_groups(records: DataFrame, k: int, scratch: Scratch | None = None) ->
     """
     scratch = scratch or Scratch(records.sparkSession)
     rows = scratch.save(records.select("path", "final_class", "split", "hash"))
-    edges = near_hashes(rows, None, k).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    edges = near_hashes(rows, None, k, scratch).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     found = connected_components(edges, scratch=scratch)
     near = F.coalesce("component", "hash")
     scene = F.when(near.isNotNull(), F.concat(F.lit("#"), F.hex(near))).otherwise(F.concat(F.lit("/"), F.col("path")))

@@ -1,110 +1,55 @@
 """Problem 2: same or near-same records across splits.
 
 Method: edit-distance segment join.  A string within k edits of another leaves
-at least one of its k+1 segments unchanged, so evaluation strings are cut into
-k+1 segments, training strings give their substrings at the positions where
-such a segment can lie, equal segments make candidates, and banded dynamic
-programming (the bounded ``levenshtein``) verifies them.
-
-64-bit hashes are strings of 64 binary letters in which letters are only
-replaced, so a segment's one allowed position is its own and the band is the
-diagonal, which ``bit_count`` of the difference evaluates.  Segments of ten or
-eleven letters would be too common to select anything, so the k+1 segments are
-taken in pairs: of (k+1)/2 pairs one holds at most one of k errors.  In that
-pair one segment is unchanged and the other has at most one letter replaced,
-and the key is the unchanged segment with each such spelling of its partner.
+at least s of its k + s segments unchanged, so evaluation strings and training
+strings are cut, equal segments make candidates, and the candidates are
+verified.  64-bit hashes are strings of 64 letters that are only replaced,
+never inserted: a segment's one allowed position is its own, and the band of
+the dynamic programming is the diagonal, which is the number of differing
+bits (``functions.bits``).  With s = 1 these are the k + 1 segments of the
+textbook; as segments of ten letters select too little on large tables, s
+grows with the sizes of the sides.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions import bits, clean
+from furrow.session import Scratch
 
 
-def segment_bounds(length: Column, k: int) -> list[tuple[Column, Column]]:
-    """Start (0-based) and length of each of k+1 near-equal segments."""
-    out = []
-    for i in range(k + 1):
-        start = F.floor(length * i / (k + 1)).cast("int")
-        out.append((start, F.floor(length * (i + 1) / (k + 1)).cast("int") - start))
-    return out
-
-
-def _piece(i: int, n: Column):
-    return lambda at: F.struct(F.lit(i).alias("i"), F.substr("train_text", at + 1, n).alias("seg"))
-
-
-def edit_segment_join(evaluation: DataFrame, training: DataFrame, text: str, k: int) -> DataFrame:
-    """Pairs of different strings (eval_text, train_text, edits) at most k edits apart.
-
-    Both sides are reduced to distinct strings; NULL matches nothing.  Strings
-    of at most k letters have empty segments, which match every string of
-    allowed length, so no pair is lost.
-    """
-    col = F.col(text)
-    left = evaluation.where(col.isNotNull()).select(col.alias("eval_text")).distinct()
-    right = training.where(col.isNotNull()).select(col.alias("train_text")).distinct()
-    e_len, t_len = F.length("eval_text"), F.length("train_text")
-    cuts = F.array(*[F.struct(F.lit(i).alias("i"), F.substr("eval_text", s + 1, n).alias("seg")) for i, (s, n) in enumerate(segment_bounds(e_len, k))])
-    probes = left.select("eval_text", e_len.alias("len"), F.explode(cuts).alias("cut")).select("eval_text", "len", "cut.i", "cut.seg")
-    sized = right.select("train_text", F.explode(F.sequence(F.greatest(F.lit(0), t_len - k), t_len + k)).alias("len"))
-    windows = []
-    for i, (s, n) in enumerate(segment_bounds(F.col("len"), k)):
-        # Before segment i at most i edits are left to shift it, after it at most k - i.
-        gap = F.length("train_text") - F.col("len")
-        low = F.greatest(F.lit(0), s - i, s + gap - (k - i))
-        high = F.least(F.length("train_text") - n, s + i, s + gap + (k - i))
-        starts = F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-        windows.append(F.transform(starts, _piece(i, n)))
-    pieces = sized.select("train_text", "len", F.explode(F.array_distinct(F.concat(*windows))).alias("cut")).select("train_text", "len", "cut.i", "cut.seg")
-    edits = F.levenshtein("eval_text", "train_text", k)
-    return probes.join(pieces, ["len", "i", "seg"]).select("eval_text", "train_text", edits.alias("edits")).where("edits >= 0").distinct()
-
-
-def near_hashes(evaluation: DataFrame, training: DataFrame | None, k: int) -> DataFrame:
+def near_hashes(evaluation: DataFrame, training: DataFrame | None, k: int, scratch: Scratch | None = None) -> DataFrame:
     """Pairs (a, b, bits) of 64-bit numbers at most k bits apart, equal ones included.
 
     Both sides are reduced to distinct numbers in ``hash``; without
-    ``training`` the join is of one side with itself, of pairs a < b.  Only
-    the evaluation side is multiplied by spellings.  In a self-join it is
-    enough to raise bits: of two blocks that differ in one bit, one has 0
-    there.  Exact for every k.
+    ``training`` the join is of one side with itself, of pairs a < b.  Exact
+    for every k.
     """
-    left = evaluation.select("hash").where("hash IS NOT NULL").distinct()
-    right = left if training is None else training.select("hash").where("hash IS NOT NULL").distinct()
-    probes = bits.keyed(left, k, "all" if training is not None else "raised").withColumnRenamed("hash", "a")
-    # The spelled side is many times larger: hash the other, three short rows a number, and sort neither.
-    pieces = bits.keyed(right, k).withColumnRenamed("hash", "b").hint("shuffle_hash")
-    apart = clean.hamming64("a", "b")
-    close = probes.join(pieces, "key").where(apart <= k)
-    if training is None:
-        close = close.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return close.select("a", "b", apart.alias("bits")).distinct()
+    return bits.close_pairs(evaluation, training, k, scratch or Scratch(evaluation.sparkSession))
 
 
-def split_overlaps(records: DataFrame, k: int) -> DataFrame:
+def split_overlaps(records: DataFrame, k: int, scratch: Scratch | None = None) -> DataFrame:
     """Pairs of a training and an evaluation record that show the same photograph.
 
     Columns train_path, eval_path, split, source_folder (of the evaluation
     record), bits (NULL for pairs found by file name only).  Records
     without hash can only match by name, records without folder only by hash.
+    Paths are unique, and so are the pairs.
     """
-    usable = records.select("path", "source_folder", "split", "hash", clean.photo_key("path").alias("photo"))
-    evaluation = usable.where("split IN ('val', 'test')").select(F.col("path").alias("eval_path"), "split", "source_folder", "hash", "photo")
+    scratch = scratch or Scratch(records.sparkSession)
+    usable = scratch.save(records.where("split IS NOT NULL").select("path", "source_folder", "split", "hash", clean.photo_key("path").alias("photo")))
+    evaluation = usable.where("split != 'train'").select(F.col("path").alias("eval_path"), "split", "source_folder", "hash", "photo")
     training = usable.where("split = 'train'").select(F.col("path").alias("train_path"), F.col("source_folder").alias("folder"), F.col("hash").alias("t_hash"), F.col("photo").alias("t_photo"))
-    close = near_hashes(evaluation, training.select(F.col("t_hash").alias("hash")), k)
-    by_hash = (
-        close.join(evaluation, F.col("a") == F.col("hash"))
-        .join(training, F.col("b") == F.col("t_hash"))
-        .select("train_path", "eval_path", "split", "source_folder", "bits")
-    )
-    # The same file name in the same folder: the join with k = 0, whose one segment is the whole string.
-    by_name = evaluation.join(training, (F.col("source_folder") == F.col("folder")) & (F.col("photo") == F.col("t_photo"))).select(
-        "train_path", "eval_path", "split", "source_folder", F.when(clean.hamming64("hash", "t_hash") <= k, clean.hamming64("hash", "t_hash")).alias("bits")
-    )
-    return by_hash.union(by_name).distinct()
+    close = near_hashes(evaluation, training.select(F.col("t_hash").alias("hash")), k, scratch)
+    by_hash = close.join(evaluation, F.col("a") == F.col("hash")).join(training, F.col("b") == F.col("t_hash"))
+    # The same file name in the same folder: the join with k = 0, whose one segment is the whole string; what the hashes gave is left out.
+    same = (F.col("source_folder") == F.col("folder")) & (F.col("photo") == F.col("t_photo"))
+    near = F.coalesce(clean.hamming64("hash", "t_hash") <= k, F.lit(False))
+    by_name = evaluation.join(training, same).where(~near).withColumn("bits", F.lit(None).cast("int"))
+    columns = ["train_path", "eval_path", "split", "source_folder", "bits"]
+    return by_hash.select(columns).unionByName(by_name.select(columns))
 
 
 def overlap_report(pairs: DataFrame) -> DataFrame:

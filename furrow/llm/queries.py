@@ -48,7 +48,7 @@ def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = p2_pairs(spark, d)
-    return pairs.select(F.least("train_path", "eval_path").alias("path_a"), F.greatest("train_path", "eval_path").alias("path_b")).distinct()
+    return pairs.select(F.least("train_path", "eval_path").alias("path_a"), F.greatest("train_path", "eval_path").alias("path_b"))
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:

@@ -38,36 +38,6 @@ def test_near_hashes_are_exact(spark, k):
     assert got == {tuple(sorted((signed(a), signed(b)))) for a, b in combinations(set(pool), 2) if (a ^ b).bit_count() <= k}
 
 
-def edits(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row, old = [i], row
-        for j, y in enumerate(b, 1):
-            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
-    return row[-1]
-
-
-@pytest.mark.parametrize("k", [0, 1, 2, 3])
-def test_edit_segment_join_is_exact(spark, k):
-    rng = random.Random(k)
-    base = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 12))) for _ in range(12)] + ["", "a"]
-
-    def change(s):
-        s = list(s)
-        for _ in range(rng.randint(0, 4)):
-            at, what = rng.randint(0, len(s)), rng.randint(0, 2)
-            if what == 0:
-                s.insert(at, rng.choice("abc"))
-            elif s and at < len(s):
-                s[at : at + 1] = [] if what == 1 else [rng.choice("abc")]
-        return "".join(s)
-
-    left, right = [change(s) for s in base * 2], [change(s) for s in base * 3]
-    frame = lambda xs: spark.createDataFrame([(x, 1) for x in xs] + [(None, 1)], "t string, seg int")
-    got = {(r.eval_text, r.train_text, r.edits) for r in near_hash.edit_segment_join(frame(left), frame(right), "t", k).collect()}
-    assert got == {(a, b, edits(a, b)) for a in set(left) for b in set(right) if edits(a, b) <= k}
-
-
 def test_split_overlaps_with_nulls_ties_and_names(spark):
     h = 0xF0F0F0F0F0F0F0F0
     rows = [
