@@ -22,9 +22,11 @@ from furrow.session import Scratch
 
 WIDTH = 64
 #: What a shuffled and sorted key costs, in verified pairs.
-ROW_COST = 40
-#: Keys that one task spells out, and numbers from which a key is cut further.
+ROW_COST = 30
+#: Keys that one task spells out, keys and pairs of one partition of the join, and numbers from which a key is cut further.
 TASK_KEYS = 400_000
+JOIN_KEYS = 1_000_000
+JOIN_PAIRS = 20_000_000
 HOT = 4096
 #: One number of so many is looked at to find such keys.
 LOOK = 64
@@ -49,13 +51,15 @@ def choices(k: int, s: int) -> list[int]:
 def plan(left: int, right: int, k: int, most: int = 4) -> int:
     """The number s of unchanged segments with the least cost of keys and verified pairs."""
 
-    def cost(s: int) -> float:
-        n = math.comb(k + s, s)
-        return n * (left + right) * ROW_COST + n * left * right / 2.0 ** (WIDTH * s / (k + s))
-
+    cost = lambda s: math.comb(k + s, s) * (left + right) * ROW_COST + pairs_met(left, right, k, s)
     return min(range(1, min(most, WIDTH - k) + 1), key=cost)
 
 
+def pairs_met(left: int, right: int, k: int, s: int) -> float:
+    """Pairs that share a key where bits are even."""
+    return math.comb(k + s, s) * left * right / 2.0 ** (WIDTH * s / (k + s))
+
+
 def _of(h: Column):
     # Spark counts a lambda's parameters, so what it closes over can't be a default.
     return lambda m, i: F.xxhash64(i, h.bitwiseAND(m))
@@ -111,9 +115,14 @@ def close_pairs(left: DataFrame, right: DataFrame | None, k: int, scratch: Scrat
         hot = scratch.save(seen.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * LOOK >= HOT).select("key"))
         if not hot.isEmpty():
             parts = [[p.join(hot, "key", "left_anti") for p in parts[0]], [_further(d, masks, k, hot) for d in wide]]
+    # The smaller side is hashed in partitions of about JOIN_KEYS short rows whatever the table's size; crowded keys are sorted.
+    n = math.ceil(max(1, sum(sizes) * len(masks) / JOIN_KEYS, pairs_met(sizes[0], sizes[-1], k, s) / JOIN_PAIRS))
     out = None
-    for p in parts:
+    for i, p in enumerate(parts):
         x, y = p[0].withColumnRenamed("hash", "x"), p[-1].withColumnRenamed("hash", "y")
+        if i == 0:
+            x, y = x.repartition(n, "key"), y.repartition(n, "key")
+            x, y = (x.hint("shuffle_hash"), y) if sizes[0] < sizes[-1] else (x, y.hint("shuffle_hash"))
         close = x.join(y, "key").where(clean.hamming64("x", "y") <= k)
         close = close.where("x < y") if alone else close
         out = close if out is None else out.unionByName(close)
