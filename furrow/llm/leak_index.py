@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from furrow.llm.text import words
 from furrow.session import Scratch
 
-#: Items of one index shard and words of one passage.  A shard's index is what a task holds.
+#: Item words of one index shard, shards of one pass over the corpus, and words of one passage.
 SHARD_WORDS = 250_000
+PASS_SHARDS = 8
 PASSAGE_WORDS = 48
 NO_MORE = 1 << 62
 
@@ -152,35 +153,44 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = 12, passage: int =
     a run starts.  Items with fewer words than ``run`` cannot leak; NULL texts
     hold nothing; an item id given twice counts as both texts.
 
-    The index is built per shard of about ``shard_words`` item words and
-    broadcast shard by shard, so what a task holds is bounded however many
-    items there are; the corpus is passed once a shard, never shuffled.  A
-    document is searched whole.
+    The index is built per shard of about ``shard_words`` item words;
+    ``PASS_SHARDS`` of them are broadcast at a time and a task holds one, so
+    both are bounded however many items there are.  A pass reads the corpus
+    once and cuts each text into words once for all its shards; documents are
+    searched whole and never shuffled.
     """
     spark = documents.sparkSession
+    scratch = scratch or Scratch(spark)
     named = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
     sharded, n = _shards(named, run, shard_words)
     corpus = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     out = None
-    for k in range(n):
-        rows = sharded.where(F.col("shard") == k).select("item_id", "text").collect()
-        index = Index([(r.item_id, words(r.text)) for r in rows], run)
-        sent = spark.sparkContext.broadcast(pickle.dumps(index))
-        found = corpus.mapInArrow(_searcher(sent, passage), "item_id bigint, doc_id bigint, n_runs int")
+    for first in range(0, n, PASS_SHARDS):
+        sent = []
+        for k in range(first, min(n, first + PASS_SHARDS)):
+            rows = sharded.where(F.col("shard") == k).select("item_id", "text").collect()
+            sent.append(spark.sparkContext.broadcast(pickle.dumps(Index([(r.item_id, words(r.text)) for r in rows], run))))
+        found = scratch.save(corpus.mapInArrow(_searcher(sent, passage), "item_id bigint, doc_id bigint, n_runs int"))
+        for b in sent:
+            b.destroy()
         out = found if out is None else out.union(found)
     return out.groupBy("item_id", "doc_id").agg(F.max("n_runs").alias("n_runs"))
 
 
-def _searcher(sent, passage: int):
+def _searcher(sent: list, passage: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = pickle.loads(sent.value)
+        index = pickle.loads(sent[0].value)
         for batch in batches:
             item, doc, runs = [], [], []
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for place, n in index.search(words(text), passage):
-                    item.append(index.ids[place])
-                    doc.append(d)
-                    runs.append(n)
+            texts = [words(t) for t in batch.column(1).to_pylist()]
+            for shard in sent:
+                if len(sent) > 1:
+                    index = pickle.loads(shard.value)
+                for d, w in zip(batch.column(0).to_pylist(), texts):
+                    for place, n in index.search(w, passage):
+                        item.append(index.ids[place])
+                        doc.append(d)
+                        runs.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(doc, pa.int64()), pa.array(runs, pa.int32())], names=["item_id", "doc_id", "n_runs"])
 
     return run

@@ -14,9 +14,31 @@ def test_words_ignore_spelling():
     assert plain("x<br/>y", breaks=True) == "x\ny"
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("x &a\u200bmp; y", "x y"),  # invisible characters inside entities and tags
+        ("x <\u200bp> y</\u00adp>", "x y"),
+        ("x &lt;p&gt; y &amp;lt;br/&amp;gt; z", "x y z"),  # escaped markup, once and twice
+        ("x &amp;amp; y &amp;amp;amp; z", "x y z"),
+        ("&#x26;amp;eacute;t&eacute;", "été"),
+        ("st<b>raw</b>ber<wbr>ry<br>red</p><p>ripe", "strawberry red ripe"),  # inline tags join, others part
+        ("l\u00b4été, l\u2019été", "l été l été"),
+        ("a\u034fb c\ufe0fd e\u2060f g\u00adh", "ab cd ef gh"),
+        ("e\u200b\u0301te\u0301", "été"),
+        ("\u0301 x", "x"),
+        ("a < b, c > d; 1 &lt; 2 &gt; 0", "a b c d 1 2 0"),
+        ("<?xml?><!DOCTYPE html><x:y z='1'>w", "w"),
+        ("", ""),
+    ],
+)
+def test_words_of_each_spelling(text, want):
+    assert " ".join(words(text)) == want
+
+
 def test_open_markup_takes_no_time():
     began = time.time()
-    for bad in ("<!--" * 100_000, "<a" * 100_000, "&" * 100_000, "x." * 200_000, "." * 200_000, "a" * 400_000):
+    for bad in ("&" + "amp;" * 100_000, "&#38;" * 100_000, "<b" * 100_000, "<!--" * 100_000, "<a" * 100_000, "&" * 100_000, "x." * 200_000, "." * 200_000, "a" * 400_000):
         plain(bad)
         readability.grades(bad)
     assert time.time() - began < 30
