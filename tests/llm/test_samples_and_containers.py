@@ -89,7 +89,7 @@ def test_pack(spark):
     rng = random.Random(3)
     sizes = [rng.choice([0, 5, 40, 40, 40, 61, 99, 100, 101, 350]) for _ in range(600)]
     df = spark.createDataFrame([(i, n, 1, 1) for i, n in enumerate(sizes)] + [(7, sizes[7], 1, 1)], "doc_id bigint, n_tokens bigint, size int, container int")
-    rows = packing.pack(df, 100, lanes=4).collect()
+    rows = packing.pack(df, 100, lane_rows=3).collect()
     want = Counter()
     for i, n in [*enumerate(sizes), (7, sizes[7])]:
         while n > 0:
@@ -164,3 +164,31 @@ def test_fill_needs_the_fewest_containers():
     for _ in range(150):
         sizes = sorted((rng.randint(10, 70) for _ in range(rng.randint(1, 10))), reverse=True)
         assert sum(f.times for f in packing.fill(Counter(sizes), 100)) == fewest(sizes, 100)
+
+
+def decreasing(sizes, capacity):
+    """Best-fit decreasing, item by item."""
+    rooms = []
+    for s in sorted(sizes, reverse=True):
+        fits = [r for r in rooms if r >= s]
+        if fits:
+            rooms.remove(min(fits))
+        rooms.append((min(fits) if fits else capacity) - s)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_fill_never_takes_more_than_best_fit(seed):
+    rng = random.Random(seed)
+    sizes = [rng.randint(1, rng.choice([2048, 1100, 700])) for _ in range(rng.choice([7, 120]))]
+    histogram = dict(Counter(sizes))
+    one_by_one = decreasing(sizes, 2048)
+    assert sum(f.times for f in packing.best_fit(histogram, 2048)) == one_by_one
+    found = packing.fill(histogram, 2048, budget=20_000)
+    used = Counter()
+    for f in found:
+        assert sum(s * k for s, k in f.parts.items()) <= 2048
+        for s, k in f.parts.items():
+            used[s] += k * f.times
+    assert used == Counter(sizes)
+    assert packing.least_containers(histogram, 2048) <= sum(f.times for f in found) <= one_by_one
