@@ -25,10 +25,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return vector_graph.unordered_pairs(vector_graph.nearest(graph, NEIGHBOURS))
 
 
+def _queried(features: DataFrame) -> DataFrame:
+    return features.where("vec_id % 50 = 0").select("vec_id", "x")
+
+
 def p1_search(spark: SparkSession, d: str) -> DataFrame:
     features = table(spark, d, "features")
     graph = vector_graph.build_graph(features, VECTOR_SIZE)
-    near = vector_graph.greedy_search(graph, features.where("vec_id % 50 = 0").select("vec_id"), NEIGHBOURS)
+    near = vector_graph.greedy_search(graph, _queried(features), NEIGHBOURS)
     return near.select("vec_id", "near_id", F.round("distance", 4).alias("distance"))
 
 
@@ -37,11 +41,18 @@ def p1_recall(spark: SparkSession, d: str) -> DataFrame:
     features = table(spark, d, "features")
     graph = vector_graph.build_graph(features, VECTOR_SIZE)
     lists = vector_graph.nearest(graph, NEIGHBOURS)
-    walk = vector_graph.greedy_search(graph, features.where("vec_id % 50 = 0").select("vec_id"), NEIGHBOURS)
+    walk = vector_graph.greedy_search(graph, _queried(features), NEIGHBOURS)
     named = lambda found, name: vector_graph.recall(graph, found).select(F.lit(name).alias("way"), "n_queries", "n_pairs", "recall")
     return named(lists, "graph").unionByName(named(walk, "walk"))
 
 
+def p1_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of the start graph and after each round of the descent, from two orders of small blocks, so that the rounds have most to find."""
+    trace: list[vector_graph.VectorGraph] = []
+    vector_graph.build_graph(table(spark, d, "features"), VECTOR_SIZE, orders=2, block=256, trace=trace)
+    return vector_graph.recall_of_rounds(trace, NEIGHBOURS)
+
+
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
     return near_hash.split_overlaps(manifest(spark, d), HASH_EDITS)
 
@@ -145,5 +156,5 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_search, p1_recall, p2_found, p2_report, p3_found, p3_report, p3_sample, p3_rules, p4_found, p4_splits, p4_balance, p5_found, p5_groups, p5_sizes, p6_found, p6_containers, p6_fill, p6_rules, p7_found, p7_report, p8_found, p8_levels, p8_profile)
+    for f in (p1_found, p1_search, p1_recall, p1_rounds, p2_found, p2_report, p3_found, p3_report, p3_sample, p3_rules, p4_found, p4_splits, p4_balance, p5_found, p5_groups, p5_sizes, p6_found, p6_containers, p6_fill, p6_rules, p7_found, p7_report, p8_found, p8_levels, p8_profile)
 }

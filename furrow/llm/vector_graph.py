@@ -356,21 +356,23 @@ def build_graph(
     orders: int = 3,
     block: int = 3584,
     reverse: int = 8,
-    max_rounds: int = 6,
+    max_rounds: int = 30,
     settle: float = 0.01,
     sample: int = 32768,
     seed: int = 5,
     id_col: str = "vec_id",
     vec_col: str = "x",
     scratch: Scratch | None = None,
+    trace: list[VectorGraph] | None = None,
 ) -> VectorGraph:
     """NN-descent over all usable vectors.
 
     Equal vectors are one node.  A vector id given with different vectors
     takes the one of the smaller hash.  ``sample`` bounds the vectors the
     orders are fitted on, never what is indexed.  Rounds end when less than
-    ``settle`` of the list entries changed, or after ``max_rounds``.  A round
-    joins a vector's own ``k`` neighbours and, of the vectors that have it as
+    ``settle`` of the list entries changed; a graph that has not settled after
+    ``max_rounds`` is an error.  ``trace`` collects the graph of the start and
+    of each round.  A round joins a vector's own ``k`` neighbours and, of the vectors that have it as
     neighbour, the nearest ``reverse`` of its own block and of the others
     (NN-descent's bounded reverse list, so a hub's group stays bounded); recall
     is measured in the tests.
@@ -383,7 +385,7 @@ def build_graph(
     n = max(1, features.count())
     share = min(1.0, sample / n)
     pick = F.shiftrightunsigned(F.xxhash64("vec_id", F.lit(seed)), 12) < F.lit(int(share * (1 << 52)))
-    drawn = [r.x for r in usable.where(pick).select("x").limit(2 * sample).collect()]
+    drawn = [r.x for r in usable.where(pick).groupBy("vec_id").agg(F.min("x").alias("x")).select("x").collect()]  # about ``sample`` ids, however often each is given
     fitted = np.array(drawn, np.float64).reshape(-1, dim)
     fits = [fit_order(fitted, max(1, 2 * n // block), seed + i) for i in range(orders)]
     extra = [c for i in range(1, orders) for c in (f"code{i}", f"along{i}")]
@@ -411,14 +413,22 @@ def build_graph(
         cand = got if cand is None else cand.unionByName(got)
     lists = _merged(found, cand, k, scratch) if cand is not None else scratch.save(found.withColumn("n_new", F.lit(0)))
     scratch.release()
+    so_far = lambda: VectorGraph(nodes.select("pos", "vec_id", "h1", "h2", "v", "norm"), lists.select("pos", "nb", "nd"), shared, usable, dim, k, scratch)
     for _ in range(max_rounds):
+        if trace is not None:
+            trace.append(so_far())
         better = _round(nodes, lists, k, reverse, dim)
         old, lists = lists, _merged(lists.select("pos", "nb", "nd"), better, k, scratch)
-        scratch.drop(old)
+        if trace is None:
+            scratch.drop(old)
         scratch.release()
         if (lists.agg(F.sum("n_new")).first()[0] or 0) <= settle * n * k:
             break
-    return VectorGraph(nodes.select("pos", "vec_id", "h1", "h2", "v", "norm"), lists.select("pos", "nb", "nd"), shared, usable, dim, k, scratch)
+    else:
+        raise RuntimeError(f"the graph did not settle in {max_rounds} rounds")
+    if trace is not None:
+        trace.append(so_far())
+    return so_far()
 
 
 def _merged(old: DataFrame, new: DataFrame, k: int, scratch: Scratch) -> DataFrame:
@@ -491,86 +501,109 @@ def unordered_pairs(near: DataFrame) -> DataFrame:
     return near.select(F.least("vec_id", "near_id").alias("vec_a"), F.greatest("vec_id", "near_id").alias("vec_b")).distinct()
 
 
-def _entries(starts: int, dim: int) -> Callable[[pa.Table], pa.Table]:
-    def run(rows: pa.Table) -> pa.Table:
-        x, pos = _vectors(rows["v"], dim), rows["pos"].to_numpy()
-        who = np.flatnonzero(rows["q"].is_valid().to_numpy(zero_copy_only=False))
-        near, _ = block_neighbours(x, starts) if len(who) else (np.empty((len(x), 0), np.int64), None)
-        at = np.repeat(who, near.shape[1])
-        picked = rows.take(pa.array(at))
-        return pa.table({"q": picked["q"], "me": picked["pos"], "qv": picked["v"], "pos": pos[near[who].ravel()]})
+def _entries(points: list, starts: int, dim: int):
+    """(q, pos, d): of the sampled nodes the ``starts`` nearest to each query."""
+    pos = np.array([p.pos for p in points], np.int64)
+    x = np.frombuffer(b"".join(bytes(p.v) for p in points), np.float32).reshape(-1, dim)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = np.einsum("ij,ij->i", x, x)
+        m = min(starts, len(x))
+        for b in batches:
+            q = _vectors(b.column(1), dim)
+            near = np.concatenate([np.argpartition(s - 2 * (q[i : i + 256] @ x.T), m - 1, axis=1)[:, :m] for i in range(0, len(q), 256)])
+            e = x[near] - q[:, None]
+            d = np.einsum("ijk,ijk->ij", e, e).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), m)), pa.array(pos[near].ravel()), pa.array(d.ravel())], names=["q", "pos", "d"])
 
     return run
 
 
-def greedy_search(graph: VectorGraph, queries: DataFrame, top: int = 5, beam: int = 24, widen: int = 4, starts: int = 12, max_steps: int = 12) -> DataFrame:
+def greedy_search(graph: VectorGraph, queries: DataFrame, top: int = 5, beam: int = 24, widen: int = 4, starts: int = 12, points: int = 8192, id_col: str = "vec_id", vec_col: str = "x") -> DataFrame:
     """(vec_id, near_id, distance) by greedy walks over the graph.
 
-    ``queries`` holds vec_ids of the collection.  Queries with one vector walk
-    once, past their own node, and each of them gets a result.
-    A query enters at the ``starts`` nodes of its home block nearest to it,
-    and in each step looks at the links (either way) of the ``widen`` nearest
-    nodes it has not looked at yet, keeping the ``beam`` nearest, until none
-    of the beam is left to look at or ``max_steps`` are done.  Steps are joins
-    on node numbers; the number of queries is not bounded.  Copies are expanded
-    as in ``nearest``: from the ``top + 1`` smallest ids of the own node, at
-    distance 0, and of each node found; ties to the smaller id.
+    ``queries`` holds ids and vectors, of the collection or not; unusable
+    vectors get no row, an id given with different vectors takes the one of
+    the smaller hash, and an id is not its own neighbour.  Equal query vectors
+    walk once, and each of their ids gets a result.
+
+    A query enters at the ``starts`` nearest of about ``points`` sampled nodes
+    (broadcast: their number is fixed), and in each step looks at the links
+    (either way) of the ``widen`` nearest nodes it has not looked at yet,
+    keeping the ``beam`` nearest, until none of the beam is left to look at.
+    Steps are joins on node numbers that carry no vectors but the asked
+    nodes'; the number of queries is not bounded.  Copies are expanded as in
+    ``nearest``, from the ``top + 1`` smallest ids of each node found; ties to
+    the smaller id.
     """
     scratch, dim = graph.scratch, graph.dim
-    asked = scratch.save(graph.placed().join(queries.select("vec_id").distinct(), "vec_id", "left_semi"))
-    by_node = asked.groupBy("pos").agg(F.min("vec_id").alias("q"))
-    site = lambda c: F.shiftright(c, PLACE_BITS)
-    homes = graph.nodes.join(by_node, "pos", "left").select(site("pos").alias("site"), "pos", "v", "q")
-    ask = homes.groupBy("site").applyInArrow(_entries(starts, dim), "q bigint, me bigint, qv binary, pos bigint")
+    coded = usable_vectors(queries, dim, id_col, vec_col).mapInArrow(_coder([], dim), "vec_id bigint, h1 bigint, h2 bigint, v binary")
+    asked = scratch.save(coded.groupBy("vec_id").agg(F.min(F.struct("h1", "h2", "v")).alias("r")).select("vec_id", "r.*"))
+    by_vector = asked.groupBy("h1", "h2").agg(F.min("vec_id").alias("q"), F.first("v").alias("qv"))
+    by_vector = scratch.save(by_vector)
+    vectors = by_vector.select("q", "qv")
     back = Window.partitionBy("v").orderBy("d", "u")
     links = graph.lists.select(F.col("pos").alias("u"), F.explode(F.arrays_zip("nb", "nd")).alias("l")).select("u", F.col("l.nb").alias("v"), F.col("l.nd").alias("d"))
     behind = links.withColumn("r", F.row_number().over(back)).where(F.col("r") <= graph.k).groupBy(F.col("v").alias("pos")).agg(F.collect_list("u").alias("more"))
-    walk = graph.lists.join(behind, "pos", "left").select("pos", F.array_union("nb", F.coalesce("more", F.array().cast("array<bigint>"))).alias("nb"))
-    walk = scratch.save(walk)
-    state = None
-    schema = "q bigint, me bigint, qv binary, pos bigint, d float"
+    walk = scratch.save(graph.lists.join(behind, "pos", "left").select("pos", F.array_union("nb", F.coalesce("more", F.array().cast("array<bigint>"))).alias("nb")))
+    every = max(1, graph.nodes.count() // points)
+    sampled = graph.nodes.where(F.pmod(F.xxhash64("pos"), F.lit(every)) == 0).select("pos", "v").collect() or graph.nodes.select("pos", "v").orderBy("pos").limit(1).collect()
+    schema = "q bigint, pos bigint, d float"
+    if not sampled:
+        return asked.where("false").select("vec_id", F.col("vec_id").alias("near_id"), F.lit(0.0).alias("distance"))
+    found = vectors.mapInArrow(_entries(sampled, starts, dim), schema).withColumn("done", F.lit(False))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            e = _vectors(b.column(4), dim) - _vectors(b.column(2), dim)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(np.einsum("ij,ij->i", e, e).astype(np.float32))], names=["q", "me", "qv", "pos", "d"])
-
-    for _ in range(max_steps):
-        seen = ask.join(graph.nodes.select("pos", "v"), "pos").select("q", "me", "qv", "pos", "v").mapInArrow(measure, schema).withColumn("done", F.lit(False))
-        both = seen if state is None else state.unionByName(seen)
-        once = both.groupBy("q", "pos").agg(F.first("me").alias("me"), F.first("qv").alias("qv"), F.first("d").alias("d"), F.max("done").alias("done"))
-        rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "pos"))
-        kept = once.withColumn("r", rank).where(F.col("r") <= beam)
+            e = _vectors(b.column(2), dim) - _vectors(b.column(3), dim)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.einsum("ij,ij->i", e, e).astype(np.float32))], names=["q", "pos", "d"])
+
+    while True:
+        nearest_first = F.row_number().over(Window.partitionBy("q").orderBy("d", "pos"))
+        kept = found.withColumn("r", nearest_first).where(F.col("r") <= beam)
         turn = F.row_number().over(Window.partitionBy("q", "done").orderBy("r"))
         kept = scratch.save(kept.withColumn("look", ~F.col("done") & (turn <= widen)).drop("r"))
-        if kept.where("look").isEmpty():
-            state = kept
+        looks = kept.where("look").select("q", "pos")
+        state = kept.select("q", "pos", "d", (F.col("done") | F.col("look")).alias("done"))
+        if looks.isEmpty():
             break
-        state = kept.withColumn("done", F.col("done") | F.col("look")).drop("look")
-        ahead = kept.where("look").join(walk, "pos").select("q", "qv", "me", F.explode("nb").alias("pos")).where("pos != me").dropDuplicates(["q", "pos"])
-        ask = ahead.join(state.select("q", "pos"), ["q", "pos"], "left_anti")
-    own = asked.select(F.col("pos").alias("me"), "pos", F.lit(0.0).alias("d")).distinct()
-    reached = own if state is None else own.unionByName(state.select("me", "pos", F.sqrt(F.col("d").cast("double")).alias("d")))
-    spread = reached.join(graph.named(top + 1).select("pos", "ids"), "pos").select("me", "d", F.explode("ids").alias("id"))
-    best = spread.groupBy("me").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "id"))), 1, top + 1).alias("all"))
+        ahead = looks.join(walk, "pos").select("q", F.explode("nb").alias("pos")).distinct()
+        fresh = ahead.join(state.select("q", "pos"), ["q", "pos"], "left_anti")
+        met = fresh.join(graph.nodes.select("pos", "v"), "pos").join(vectors, "q").select("q", "pos", "v", "qv").mapInArrow(measure, schema)
+        found = state.unionByName(met.withColumn("done", F.lit(False)))
+    spread = state.join(graph.named(top + 1).select("pos", "ids"), "pos").select("q", F.sqrt(F.col("d").cast("double")).alias("d"), F.explode("ids").alias("id"))
+    best = spread.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "id"))), 1, top + 1).alias("all"))
     mine = F.slice(F.filter("all", lambda e: e["id"] != F.col("vec_id")), 1, top)
-    found = asked.join(best, asked.pos == best.me).select("vec_id", F.explode(mine).alias("e"))
-    return found.select("vec_id", F.col("e.id").alias("near_id"), F.col("e.d").alias("distance"))
+    each = asked.select("vec_id", "h1", "h2").join(by_vector.select("h1", "h2", "q"), ["h1", "h2"]).join(best, "q").select("vec_id", F.explode(mine).alias("e"))
+    return each.select("vec_id", F.col("e.id").alias("near_id"), F.col("e.d").alias("distance"))
 
 
-def recall(graph: VectorGraph, found: DataFrame, every: int = 50, top: int = 5) -> DataFrame:
-    """(n_queries, n_pairs, recall): share of the exact nearest neighbours of the ids divisible by ``every`` that ``found`` holds.
-
-    The exact ones are those of every query against all vectors, in blocks.
-    A neighbour at the distance of the last exact one counts as found, so
-    copies that answer for each other do.
-    """
+def nearest_of_all(graph: VectorGraph, every: int = 50, top: int = 5) -> DataFrame:
+    """(id, far, n): of the ids divisible by ``every`` the number of nearest neighbours and the distance of the last, against all vectors, in blocks."""
     rows = graph.source.groupBy("vec_id").agg(F.min("x").alias("x")).select(F.col("vec_id").alias("id"), F.lit("").alias("label"), "x")
     exact = similarity.nearest(rows.where(F.col("id") % every == 0), rows, graph.dim, top + 1).where("id != near_id")
     place = F.row_number().over(Window.partitionBy("id").orderBy("dist", "near_id"))
     exact = exact.withColumn("place", place).where(F.col("place") <= top)
-    last = exact.groupBy("id").agg(F.sqrt(F.max("dist")).alias("far"), F.count("*").alias("n"))
+    return graph.scratch.save(exact.groupBy("id").agg(F.sqrt(F.max("dist")).alias("far"), F.count("*").alias("n")))
+
+
+def recall(graph: VectorGraph, found: DataFrame, every: int = 50, top: int = 5, exact: DataFrame | None = None) -> DataFrame:
+    """(n_queries, n_pairs, recall): share of the exact nearest neighbours of the ids divisible by ``every`` that ``found`` holds.
+
+    A neighbour at the distance of the last exact one (``nearest_of_all``)
+    counts as found, so copies that answer for each other do.
+    """
+    last = nearest_of_all(graph, every, top) if exact is None else exact
     near = found.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("id"), "near_id", "distance").distinct()
     hits = near.join(last, "id").where(F.col("distance") <= F.col("far") * (1 + 1e-5) + 1e-9).groupBy("id").agg(F.count("*").alias("hit"))
     both = last.join(hits, "id", "left")
-    return both.agg(F.count("*").alias("n_queries"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"), F.round(F.sum(F.least("n", F.coalesce("hit", F.lit(0)))) / F.sum("n"), 4).alias("recall"))
+    return both.agg(F.count("*").alias("n_queries"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"), F.round(F.try_divide(F.sum(F.least("n", F.coalesce("hit", F.lit(0)))), F.sum("n")), 4).alias("recall"))
+
+
+def recall_of_rounds(trace: list[VectorGraph], top: int = 5) -> DataFrame:
+    """(round, n_queries, n_pairs, recall) of the graphs of a trace; round 0 is the start."""
+    exact, out = nearest_of_all(trace[0], top=top), None
+    for i, graph in enumerate(trace):
+        row = recall(graph, nearest(graph, top), top=top, exact=exact).select(F.lit(i).alias("round"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out

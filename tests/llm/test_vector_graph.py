@@ -71,15 +71,21 @@ def test_rounds_raise_recall(spark):
     ids = np.arange(2000)
     df = frame(spark, ids, x)
     want = brute(ids, x, 5)
-    recall = [len(pairs(V.unordered_pairs(V.nearest(V.build_graph(df, dim=12, block=150, orders=2, sample=500, max_rounds=r), 5))) & want) / len(want) for r in (0, 3)]
-    assert recall[1] > recall[0] and recall[1] >= 0.95
+    trace = []
+    V.build_graph(df, dim=12, block=150, orders=2, sample=500, trace=trace)
+    recall = [len(pairs(V.unordered_pairs(V.nearest(g, 5))) & want) / len(want) for g in trace]
+    assert len(recall) >= 3 and recall[1] > recall[0] and recall[-1] >= 0.95
+    told = {r["round"]: r.recall for r in V.recall_of_rounds(trace, 5).collect()}
+    assert sorted(told) == list(range(len(trace))) and told[len(trace) - 1] > told[0]
+    with pytest.raises(RuntimeError):
+        V.build_graph(df, dim=12, block=150, orders=2, sample=500, max_rounds=1, settle=0.0)
 
 
 def test_greedy_search(spark):
     x = clustered(2000, 12, 7, 20)
     ids = np.arange(2000)
     graph = V.build_graph(frame(spark, ids, x), dim=12, block=200, orders=2)
-    queries = spark.createDataFrame([(i,) for i in range(0, 2000, 50)] + [(99999,), (None,)], "vec_id bigint")
+    queries = frame(spark, [*range(0, 2000, 50), 99999], [*x[::50], [1.0] * 5]).union(frame(spark, [7], [None]))  # the last two are unusable
     found = V.greedy_search(graph, queries, 5).collect()
     hits = 0
     for q in range(0, 2000, 50):
@@ -99,7 +105,7 @@ def test_greedy_search_answers_every_id_and_names_copies(spark):
     ids = rng.permutation(3000)[:300]
     graph = V.build_graph(frame(spark, ids, x), dim=6)
     asked = [*range(0, 100, 3), 100, 102, 110, 111, *range(150, 300, 10)]
-    found = V.greedy_search(graph, spark.createDataFrame([(int(ids[i]),) for i in asked], "vec_id bigint"), 5).collect()
+    found = V.greedy_search(graph, frame(spark, [ids[i] for i in asked], x[asked]), 5).collect()
     for i in asked:
         d = np.sqrt(((x - x[i]) ** 2).sum(1))
         want = [ids[j] for j in np.lexsort((ids, d)) if j != i][:5]
@@ -110,5 +116,19 @@ def test_greedy_search_answers_every_id_and_names_copies(spark):
 
 def test_greedy_search_where_all_rows_are_copies(spark):
     graph = V.build_graph(frame(spark, range(4), [[1.0, 2.0]] * 4), dim=2)
-    found = V.greedy_search(graph, spark.createDataFrame([(0,), (3,)], "vec_id bigint"), 2).collect()
+    found = V.greedy_search(graph, frame(spark, [0, 3], [[1.0, 2.0]] * 2), 2).collect()
     assert {(r.vec_id, r.near_id, r.distance) for r in found} == {(0, 1, 0.0), (0, 2, 0.0), (3, 0, 0.0), (3, 1, 0.0)}
+
+
+def test_greedy_search_takes_vectors_from_elsewhere(spark):
+    x, new = clustered(1500, 8, 2, 15), clustered(40, 8, 3, 15)
+    graph = V.build_graph(frame(spark, range(1500), x), dim=8, block=200, orders=2)
+    new[1] = new[0]
+    found = V.greedy_search(graph, frame(spark, range(9000, 9040), new), 5, points=256).collect()
+    hits = 0
+    for q in range(40):
+        true = set(np.argsort(((x - new[q]) ** 2).sum(1))[:5].tolist())
+        hits += len(true & {r.near_id for r in found if r.vec_id == 9000 + q})
+    assert len(found) == 200 and hits >= 180
+    empty = V.build_graph(frame(spark, range(1), x[:1]).limit(0), dim=8)
+    assert V.greedy_search(empty, frame(spark, range(3), new[:3]), 5).count() == 0
