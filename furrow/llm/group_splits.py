@@ -126,7 +126,7 @@ def assign_splits(grouped: DataFrame, targets: DataFrame, bins: int = 40, shard_
     """(path, final_class, scene, new_split) for every record.
 
     ``targets`` (split, target_share) is a handful of rows; shares are scaled
-    to add up to one.  Shards hold about ``shard_rows`` components whatever
+    to add up to one, and of a split named twice the larger counts.  Shards hold about ``shard_rows`` components whatever
     the table's size; the bins of all shards of a class are allocated together,
     so a heavy scene in one is made up for by the others.  A scene heavier than
     a split's whole target stays whole.  Records without class form a class of
@@ -141,7 +141,7 @@ def assign_splits(grouped: DataFrame, targets: DataFrame, bins: int = 40, shard_
     shards = F.greatest(F.lit(1), F.floor(F.count("*") / shard_rows)).cast("int").alias("n_shards")
     sharded = lead.join(lead.groupBy("cls").agg(shards), "cls").withColumn("shard", F.pmod(F.xxhash64("scene"), F.col("n_shards")).cast("int"))
     binned = scratch.save(sharded.groupBy("cls", "shard").applyInPandas(_bins_of_shard(bins), "cls string, shard int, scene string, weight long, bin int"))
-    goals = {r.split: float(r.target_share) for r in targets.where("split IS NOT NULL AND target_share > 0").limit(1000).collect()}
+    goals = {r.split: float(r.target_share) for r in targets.where("split IS NOT NULL AND target_share > 0").groupBy("split").agg(F.max("target_share").alias("target_share")).collect()}
     if not goals:
         return rows.withColumn("new_split", F.lit(None).cast("string"))
 
@@ -171,3 +171,23 @@ def balance_report(assigned: DataFrame, targets: DataFrame) -> DataFrame:
     return share.join(F.broadcast(targets), share.new_split == targets.split).select(
         "final_class", "new_split", "n", F.round("share", 6).alias("share"), "target_share", F.round(F.col("share") - F.col("target_share"), 6).alias("gap")
     )
+
+
+def broken_rules(assigned: DataFrame, targets: DataFrame, bins: int = 40) -> DataFrame:
+    """One row: records, records without split or given twice, scenes in several splits, classes off their targets.
+
+    A class (that most of a scene's records have) is off where a split's
+    records are further from its target than the heaviest scene and an even
+    bin together: no allocation of whole bins needs more.
+    """
+    each = assigned.groupBy("path").agg(F.count("*").alias("n"), F.count("new_split").alias("n_split"))
+    records = each.agg(F.count("*").alias("n_records"), F.count_if(F.col("n_split") == 0).alias("n_unassigned"), F.count_if(F.col("n") > 1).alias("n_repeated"))
+    by_class = assigned.groupBy("scene", F.coalesce("final_class", F.lit("")).alias("cls")).agg(F.count("*").alias("n"), F.min("new_split").alias("a"), F.max("new_split").alias("b"))
+    scenes = by_class.groupBy("scene").agg(F.sum("n").alias("w"), F.max(F.struct("n", "cls"))["cls"].alias("cls"), F.min("a").alias("a"), F.max("b").alias("b"))
+    torn = scenes.agg(F.count_if(F.col("a") != F.col("b")).alias("n_torn"))
+    classes = scenes.groupBy("cls").agg(F.sum("w").alias("total"), F.max("w").alias("heaviest"))
+    given = scenes.groupBy("cls", F.col("a").alias("split")).agg(F.sum("w").alias("n"))
+    due = classes.crossJoin(F.broadcast(targets.where("split IS NOT NULL AND target_share > 0").select("split", F.col("target_share") / F.sum("target_share").over(Window.partitionBy(F.lit(1)))).toDF("split", "share")))
+    gap = F.abs(F.coalesce("n", F.lit(0)) - F.col("share") * F.col("total"))
+    off = due.join(given, ["cls", "split"], "left").agg(F.count_if(gap > F.col("heaviest") + F.col("total") / bins).alias("n_off"))
+    return records.join(torn).join(off)

