@@ -161,7 +161,12 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     return readability.level_profile(readability.reading_levels(table(spark, d, "documents")))
 
 
+def p8_rated(spark: SparkSession, d: str) -> DataFrame:
+    """Grades beside the levels that raters gave."""
+    return readability.rated(readability.reading_levels(table(spark, d, "documents")), table(spark, d, "level_labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_search, p1_recall, p1_rounds, p2_found, p2_report, p3_found, p3_report, p3_sample, p3_rules, p4_found, p4_splits, p4_balance, p4_rules, p5_found, p5_groups, p5_sizes, p6_found, p6_containers, p6_fill, p6_rules, p7_found, p7_report, p8_found, p8_levels, p8_profile)
+    for f in (p1_found, p1_search, p1_recall, p1_rounds, p2_found, p2_report, p3_found, p3_report, p3_sample, p3_rules, p4_found, p4_splits, p4_balance, p4_rules, p5_found, p5_groups, p5_sizes, p6_found, p6_containers, p6_fill, p6_rules, p7_found, p7_report, p8_found, p8_levels, p8_profile, p8_rated)
 }

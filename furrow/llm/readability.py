@@ -2,30 +2,28 @@
 
 Method: five classic formulas over sentence length, word length and syllables,
 the syllables counted by hyphenation-style rules, combined by the median of
-the grades they give.
+the grades they give.  The language, which the grades rest on, comes from a
+model of letter triples trained on the rows that name theirs.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from statistics import median
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.llm.text import plain
 
-# Frequent small words that tell the languages apart.
-SMALL_WORDS = {
-    "en": "the a an of and or to in on for with that which this these those was were is are be been has have had it not but by from as at we they you i so if no he she his her its their there after before near then than do does did will can could would should may might said ask put get keep look into up out all any each some".split(),
-    "fr": "le la les un une des du de et ou en dans sur pour avec qui que ce cette ces était sont est être il elle nous vous ne pas mais par au aux après près se sa son ses plus quand à a été d l".split(),
-    "de": "der die das den dem des ein eine einer eines einem einen und oder in im am an auf für mit von zu zum zur ist sind war waren wird nicht aber nach bei hinter wir sie es sich man unter sollte so besonders als wie dass".split(),
-    "es": "el la los las un una unos unas de del y o en con por para que se es son fue era no pero al después cuando su sus lo como más cerca muy este esta contamos desde".split(),
-}
+# Three-letter codes of languages and the two letters that say the same.
+CODES = {"eng": "en", "fra": "fr", "fre": "fr", "deu": "de", "ger": "de", "spa": "es", "ita": "it", "por": "pt", "nld": "nl", "dut": "nl"}
 # Abbreviations whose dot ends no sentence.
 ABBREVIATIONS = set(
     "mr mrs ms dr prof st sr jr nos figs tabs vol vols ed eds pp etc vs cf ca approx dept inc ltd corp temp avg hrs secs lbs oz ft cm mm kg ml jan feb apr aug sept oct nov tues thu thur thurs e.g i.e a.m p.m u.s esp viz resp spp sp var cv subsp incl excl ref refs ch eq".split()
@@ -56,20 +54,72 @@ def syllables(word: str) -> int:
     return max(1, n)
 
 
-def language(counts: dict[str, int]) -> str | None:
-    """The language whose small words are most of the text's; None without any (ties: the first listed)."""
-    found = dict.fromkeys(SMALL_WORDS, 0)
-    for word in counts.keys() & _SMALL.keys():
-        for lang in _SMALL[word]:
-            found[lang] += counts[word]
-    best = max(found, key=found.__getitem__)
-    return best if found[best] else None
+@dataclass
+class Languages:
+    """Log-likelihood of each letter triple in each language; ``unseen`` is that of a triple a language never had."""
 
+    names: list[str]
+    triples: dict[str, tuple[float, ...]]
+    unseen: tuple[float, ...]
+    known: float = 0.5  # least share of a text's triples that its language must have had
 
-_SMALL: dict[str, list[str]] = {}
-for _lang, _words in SMALL_WORDS.items():
-    for _word in set(_words):
-        _SMALL.setdefault(_word, []).append(_lang)
+    def scores(self, word: str) -> tuple[float, ...]:
+        """Per language the word's log-likelihood, then the triples it had there, then the word's triples."""
+        word = f" {word} "
+        found = [self.triples.get(word[i : i + 3], self.unseen) for i in range(len(word) - 2)]
+        each = range(len(self.names))
+        return (*(sum(f[i] for f in found) for i in each), *(sum(f[i] > self.unseen[i] for f in found) for i in each), len(found))
+
+    def of(self, words: Iterable[str], scores: Callable[[str], tuple]) -> str | None:
+        """The likeliest language of the different words (ties: the first by name); None without words or where most triples are foreign to it."""
+        n = len(self.names)
+        total = [sum(column) for column in zip(*map(scores, words))] if n else []
+        if not total:
+            return None
+        best = max(range(n), key=total.__getitem__)
+        return self.names[best] if total[n + best] >= self.known * total[-1] else None
+
+
+def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        seen: Counter = Counter()
+        for code, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for word, k in Counter(NAME.findall(plain(text).lower())).items():
+                word = f" {word} "
+                for i in range(len(word) - 2):
+                    seen[code, word[i : i + 3]] += k
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in seen], pa.string()), pa.array([t for _, t in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["code", "triple", "n"])
+
+
+def fit_languages(documents: DataFrame, lang: str = "lang", sample: int = 4000, least: int = 8, triples: int = 5000, known: float = 0.5, seed: int = 3) -> Languages:
+    """Model of the languages that ``lang`` names, in two- or three-letter codes with or without a region.
+
+    Fitted on whole texts of about ``sample`` of the labelled rows, drawn by
+    hash; a few wrong labels do no harm.  Languages with fewer than ``least``
+    drawn rows are left out, and each keeps its ``triples`` most frequent
+    letter triples.  Without the column, or without such rows, the model
+    knows no language.
+    """
+    if lang not in documents.columns:
+        return Languages([], {}, ())
+    code = F.regexp_extract(F.lower("lang"), "^[^a-z]*([a-z]{2,3})(?:[^a-z].*)?$", 1)
+    short = F.create_map(*(F.lit(x) for pair in CODES.items() for x in pair))
+    rows = documents.select(F.col(lang).cast("string").alias("lang"), "text").where("lang IS NOT NULL AND text IS NOT NULL").select(code.alias("code"), "text")
+    rows = rows.select(F.coalesce(F.try_element_at(short, "code"), "code").alias("code"), "text").where("length(code) = 2")
+    share = min(1.0, sample / max(1, rows.count()))
+    drawn = rows.where(F.shiftrightunsigned(F.xxhash64("text", F.lit(seed)), 12) < F.lit(int(share * (1 << 52))))
+    counted = drawn.groupBy("code").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") >= least)
+    names = sorted(r.code for r in counted.select("code").collect())
+    per = drawn.where(F.col("code").isin(names)).mapInArrow(_triples, "code string, triple string, n bigint").groupBy("code", "triple").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("n"), "triple"))
+    found = per.withColumn("place", place).where(F.col("place") <= triples).collect()
+    counts: dict[str, dict[str, int]] = {c: {} for c in names}
+    for r in found:
+        counts[r.code][r.triple] = r.n
+    every = {t for c in counts.values() for t in c}
+    total = {c: sum(counts[c].values()) + 0.5 * len(every) for c in names}
+    model = {t: tuple(math.log((counts[c].get(t, 0) + 0.5) / total[c]) for c in names) for t in every}
+    return Languages(names, model, tuple(math.log(0.5 / total[c]) for c in names), known)
 
 
 @lru_cache(maxsize=1 << 17)
@@ -96,13 +146,13 @@ def sentences(text: str) -> list[str]:
     return [s for s in out if NAME.search(s) or re.search(r"\d", s)]
 
 
-def grades(text: str) -> tuple[str | None, int, int, float | None, list[float]]:
+def grades(text: str, languages: Languages, scores=None) -> tuple[str | None, int, int, float | None, list[float]]:
     """(language, sentences, words, median grade, each grade) of a raw text."""
     clear = plain(text, breaks=True)
     parts = sentences(clear)
     counts = Counter(NAME.findall(clear.lower()))
     n_sent, n_words = len(parts), counts.total()
-    lang = language(counts)
+    lang = languages.of(counts, scores or languages.scores)
     if not n_words or not n_sent:
         return lang, n_sent, n_words, None, []
     syl = hard = letters = 0
@@ -125,24 +175,31 @@ FORMULAS = ["flesch_kincaid", "gunning_fog", "smog", "coleman_liau", "automated"
 SCHEMA = "doc_id bigint, language string, n_sentences int, n_words int, grade double, " + ", ".join(f"{f} double" for f in FORMULAS)
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [grades(t or "") for t in batch.column(1).to_pylist()]
-        each = [r[4] or [None] * len(FORMULAS) for r in rows]
-        columns = [batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.float64())]
-        columns += [pa.array([e[i] for e in each], pa.float64()) for i in range(len(FORMULAS))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "language", "n_sentences", "n_words", "grade", *FORMULAS])
+def _measurer(languages: Languages):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = lru_cache(maxsize=1 << 17)(languages.scores)
+        for batch in batches:
+            rows = [grades(t or "", languages, scores) for t in batch.column(1).to_pylist()]
+            each = [r[4] or [None] * len(FORMULAS) for r in rows]
+            columns = [batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.float64())]
+            columns += [pa.array([e[i] for e in each], pa.float64()) for i in range(len(FORMULAS))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "language", "n_sentences", "n_words", "grade", *FORMULAS])
 
+    return run
 
-def reading_levels(documents: DataFrame) -> DataFrame:
+
+def reading_levels(documents: DataFrame, languages: Languages | None = None) -> DataFrame:
     """One row a document: language, counts, the median grade and each formula's grade.
 
-    Grades are years of schooling and rest on English spelling; filter on
-    ``language`` before use.  NULL, blank and word-less texts get a NULL grade
-    and, where no small word is found, a NULL language.  Narrow: no shuffle,
-    one pass over whole texts in Arrow batches; repeated ids repeat.
+    ``languages`` is fitted on the documents' own ``lang`` column where none
+    is given.  Grades are years of schooling and rest on English spelling;
+    filter on ``language`` before use.  NULL, blank and word-less texts get a
+    NULL grade and language; so does the language of texts that resemble none
+    of the known ones.  Narrow: no shuffle, one pass over whole texts in Arrow
+    batches; repeated ids repeat.
     """
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_measure, SCHEMA)
+    languages = languages or fit_languages(documents)
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_measurer(languages), SCHEMA)
 
 
 def demanding(levels: DataFrame, least: float = 16.0) -> DataFrame:
@@ -154,3 +211,22 @@ def level_profile(levels: DataFrame, width: float = 2.0) -> DataFrame:
     """Documents and words by language and band of grades (floor of a multiple of ``width``)."""
     band = (F.floor(F.col("grade") / width) * width).alias("band")
     return levels.groupBy("language", band).agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"))
+
+
+def rated(levels: DataFrame, labels: DataFrame) -> DataFrame:
+    """(read_level, n_docs, mean_grade, mean_rank): the grades of English documents that raters put on each level.
+
+    A document's level is the median of its different ratings, rounded up.
+    ``mean_rank`` is the share of all rated documents with a lower grade
+    (equal ones half), from a histogram of grades to a tenth.
+    """
+    given = labels.where("doc_id IS NOT NULL AND read_level IS NOT NULL").select("doc_id", "rater", "read_level").distinct()
+    middle = given.groupBy("doc_id").agg(F.ceil(F.percentile("read_level", 0.5)).cast("int").alias("read_level"))
+    english = levels.where("language = 'en' AND grade IS NOT NULL").groupBy("doc_id").agg(F.max("grade").alias("grade"))
+    cells = english.join(middle, "doc_id").groupBy("read_level", F.round("grade", 1).alias("g")).agg(F.count("*").alias("n"), F.sum("grade").alias("s"))
+    at = cells.groupBy("g").agg(F.sum("n").alias("m"))
+    whole = Window.partitionBy(F.lit(1))
+    at = at.select("g", ((F.sum("m").over(whole.orderBy("g")) - F.col("m") / 2) / F.sum("m").over(whole)).alias("r"))
+    return cells.join(at, "g").groupBy("read_level").agg(
+        F.sum("n").alias("n_docs"), F.round(F.sum("s") / F.sum("n"), 4).alias("mean_grade"), F.round(F.sum(F.col("r") * F.col("n")) / F.sum("n"), 4).alias("mean_rank")
+    )

@@ -40,7 +40,7 @@ def test_open_markup_takes_no_time():
     began = time.time()
     for bad in ("&" + "amp;" * 100_000, "&#38;" * 100_000, "<b" * 100_000, "<!--" * 100_000, "<a" * 100_000, "&" * 100_000, "x." * 200_000, "." * 200_000, "a" * 400_000):
         plain(bad)
-        readability.grades(bad)
+        readability.grades(bad, readability.Languages([], {}, ()))
     assert time.time() - began < 30
 
 
@@ -117,12 +117,47 @@ def test_sentences():
     assert cut("  \n\n ") == []
 
 
+SPEECH = {
+    "en": "The children walked along the river until they found an old wooden bridge. Nobody knew who had built it. They sat down and watched the water while the evening light faded over the hills.",
+    "de": "Die Kinder gingen am Fluss entlang, bis sie eine alte Brücke aus Holz fanden. Niemand wusste, wer sie gebaut hatte. Sie setzten sich und sahen dem Wasser zu, während das Licht über den Hügeln verschwand.",
+    "fr": "Les enfants marchaient le long de la rivière jusqu'à ce qu'ils trouvent un vieux pont de bois. Personne ne savait qui l'avait construit. Ils se sont assis et ont regardé l'eau pendant que la lumière du soir disparaissait.",
+    "it": "I bambini camminavano lungo il fiume finché trovarono un vecchio ponte di legno. Nessuno sapeva chi lo avesse costruito. Si sedettero e guardarono l'acqua mentre la luce della sera svaniva sulle colline.",
+}
+
+
+def model(spark, known=0.2):
+    codes = {"en": ["en", "EN ", "en-GB", "eng"], "de": ["de", "ger", "DE", "deu"], "fr": ["fr", "fr_CA", "fra", "FR"], "it": ["it"] * 4}
+    rows = [(text, c) for k, text in SPEECH.items() for c in codes[k]] + [(SPEECH["en"], "de"), (SPEECH["it"], None), (None, "en"), (SPEECH["it"], "pt"), ("", "??")]
+    return readability.fit_languages(spark.createDataFrame(rows, "text string, lang string"), least=3, known=known)
+
+
+def test_languages(spark):
+    m = model(spark)
+    assert m.names == ["de", "en", "fr", "it"]
+    say = lambda t: readability.grades(t, m)[0]
+    assert say("The farmers found the old house near the water and they sat there.") == "en"
+    assert say("Niemand wusste, wer die alte Brücke am Wasser gebaut hatte, und sie gingen.") == "de"
+    assert say("Les enfants ont trouvé la maison et personne ne savait pendant la soirée.") == "fr"
+    assert say("Nessuno sapeva chi fosse il vecchio, e i bambini guardarono le colline.") == "it"
+    assert say("Дети шли вдоль реки") is None and say("") is None and say("12 34") is None
+    assert readability.fit_languages(spark.createDataFrame([], "text string, lang string")).names == []
+    assert readability.grades("The cat.", readability.Languages([], {}, ()))[0] is None
+
+
+def test_rated(spark):
+    levels = spark.createDataFrame([(i, "en", float(i)) for i in range(10)] + [(90, "de", 3.0), (91, "en", None)], "doc_id bigint, language string, grade double")
+    labels = [(i, r, 1 + i // 5) for i in range(10) for r in ("a", "b")] * 2 + [(0, "c", 5), (90, "a", 1), (91, "a", 1), (None, "a", 1), (3, "a", None)]
+    got = {r.read_level: (r.n_docs, r.mean_grade, r.mean_rank) for r in readability.rated(levels, spark.createDataFrame(labels, "doc_id bigint, rater string, read_level int")).collect()}
+    assert got == {1: (5, 2.0, 0.25), 2: (5, 7.0, 0.75)}
+
+
 def test_reading_levels(spark):
+    spoken = model(spark, 0.05)
     easy = "The cat sat. The dog ran. We saw it. It was fun. " * 5
     hard = "Notwithstanding considerable methodological heterogeneity, the multidisciplinary investigators substantiated that physiological deterioration of the reproductive structures necessitates comprehensive reconsideration of the agricultural recommendations that international organisations previously disseminated. " * 3
     rows = [(1, easy), (2, hard), (3, None), (4, ""), (5, "<p></p> &amp; 12 34"), (6, "Der Hund und die Katze sind im Haus, aber der Garten ist leer."), (7, hard.replace(" ", "\n")), (8, easy * 3000), (2, hard), (None, easy)]
     df = spark.createDataFrame([(i, t, 0.0, "x") for i, t in rows], "doc_id bigint, text string, grade double, language string")
-    levels = readability.reading_levels(df)
+    levels = readability.reading_levels(df, spoken)
     got = {r.doc_id: r for r in levels.collect()}
     assert len(levels.collect()) == len(rows)
     assert got[1].grade < 4 < 16 < got[2].grade and got[1].language == got[2].language == "en"
@@ -131,4 +166,4 @@ def test_reading_levels(spark):
     assert got[7].n_sentences > 50 > got[2].n_sentences and got[8].n_sentences == 60_000
     assert sorted(r.doc_id for r in readability.demanding(levels).collect()) == [2, 7]
     assert sum(r.n_docs for r in readability.level_profile(levels).collect()) == len(rows)
-    assert readability.reading_levels(df.limit(0)).count() == 0
+    assert readability.reading_levels(df.limit(0)).count() == 0 and readability.reading_levels(df).where("language IS NOT NULL").count() == 0
