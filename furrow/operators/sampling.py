@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.session import Scratch
+
 
 def shuffled(col: str | Column, seed: int) -> Column:
     c = F.col(col) if isinstance(col, str) else col
@@ -36,6 +38,26 @@ def ranked(df: DataFrame, keys: list[str], id_col: str, seed: int) -> DataFrame:
     return out.withColumn("rank", F.col("_r") + F.col("_before")).drop("_o", "_lane", "_r", "_before", *names)
 
 
+def placed(df: DataFrame, keys: list[str], order: list[str], scratch: Scratch | None = None) -> DataFrame:
+    """df with ``place`` (from 1) in its group by ``order``, ascending, NULL first; no task holds a whole group.
+
+    Rows are cut into ranges of (keys, order), of even size; they are ranked
+    within a range and offset by the counts of the group's ranges before.
+    ``order`` should tell all rows apart, else equal ones are ordered anyhow.
+    """
+    scratch = scratch or Scratch(df.sparkSession)
+    cut = scratch.save(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    safe = [F.struct(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    names = [f"_k{i}" for i in range(len(keys))]
+    cut = cut.select("*", *safe)
+    counts = cut.groupBy(*names, "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*names).orderBy("_part")) - F.col("_n")
+    offsets = counts.select(*names, "_part", before.alias("_before"))
+    inside = Window.partitionBy(*names, "_part").orderBy(*order)
+    out = cut.withColumn("_r", F.row_number().over(inside)).join(offsets, [*names, "_part"])
+    return out.withColumn("place", F.col("_r") + F.col("_before")).drop("_part", "_r", "_before", *names)
+
+
 def two_way(df: DataFrame, label: str, id_col: str, fraction: float, seed: int) -> DataFrame:
     """SPL01: stratified train and test; a class gives max(1, min(n - 1, floor(f n))) rows to train."""
     n = F.greatest(F.lit(1), F.least(F.col("size") - 1, F.floor(F.col("size") * fraction)))
@@ -84,8 +106,7 @@ def oversampled(df: DataFrame, label: str, id_col: str, least: int, seed: int) -
 
 def paged(df: DataFrame, keys: list[str], id_col: str, per_page: int = 64, columns: int = 8) -> DataFrame:
     """WIN08: page, row and column of each item on numbered sheets."""
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(id_col)) - 1
-    out = df.withColumn("_i", at)
+    out = placed(df, keys, [id_col]).withColumn("_i", F.col("place") - 1)
     return out.withColumn("page", F.floor(F.col("_i") / per_page)).withColumn("line", F.floor(F.col("_i") % per_page / columns)).withColumn("place", F.col("_i") % columns).drop("_i")
 
 

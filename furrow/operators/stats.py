@@ -38,9 +38,49 @@ def histogram(df: DataFrame, keys: list[str], value: Column, bins: int, low: flo
     return n.withColumn("share", F.col("n") / total)
 
 
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], bins: int = 4096) -> DataFrame:
+    """keys and a column a share: exact quantiles with linear interpolation; NULL and NaN are left out, so may be groups.
+
+    Values are counted by range first (``bins`` a group between its least and
+    its largest), which says in which range each quantile lies; only the
+    different values of those ranges are then counted and looked through.
+    Both counts are aggregated before they are shuffled, so no task holds a
+    group, however large.
+    """
+    v = F.col(value).cast("double")
+    safe = [F.struct(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(*safe, v.alias("_v"))
+    ends = rows.groupBy(*names).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    at = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * bins), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
+    binned = rows.join(ends, names).select(*names, at.alias("_bin"), "_v")
+    counts = binned.groupBy(*names, "_bin").agg(F.count("*").alias("_c"))
+    by_group = Window.partitionBy(*names)
+    counts = counts.withColumn("_before", F.sum("_c").over(by_group.orderBy("_bin")) - F.col("_c"))
+    # Places (from 0) that the quantiles lie on or between.
+    spots = F.array(*[F.struct(F.lit(name).alias("q"), (F.col("_n") - 1) * F.lit(share)).cast("struct<q:string,x:double>") for name, share in shares.items()])
+    wanted = ends.select(*names, F.explode(spots).alias("_s")).select(*names, F.col("_s.q").alias("_q"), F.col("_s.x").alias("_x"), F.explode(F.array(F.floor("_s.x"), F.ceil("_s.x"))).alias("_at")).distinct()
+    hit = counts.join(wanted, names).where("_at >= _before AND _at < _before + _c").select(*names, "_bin", "_before", "_q", "_x", "_at")
+    inside = binned.join(hit.select(*names, "_bin", "_before").distinct(), [*names, "_bin"]).groupBy(*names, "_bin", "_before", "_v").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*names, "_bin").orderBy("_v"))
+    inside = inside.select(*names, "_bin", "_v", (F.col("_before") + upto - F.col("_c")).alias("_low"), (F.col("_before") + upto).alias("_high"))
+    found = inside.join(hit.drop("_before"), [*names, "_bin"]).where("_at >= _low AND _at < _high")
+    part = F.when(F.col("_at") == F.col("_x"), 1.0).otherwise(1 - F.abs(F.col("_at") - F.col("_x")))
+    value_of = lambda q: F.sum(F.when(F.col("_q") == q, F.col("_v") * part)).alias(q)
+    out = found.groupBy(*names).agg(*map(value_of, shares))
+    return out.select(*[F.col(n)[k].alias(k) for n, k in zip(names, keys)], *shares)
+
+
 def quartiles(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """AGG16: exact quartiles with linear interpolation."""
-    return df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select(*keys, F.get("q", F.lit(0)).alias("q25"), F.get("q", F.lit(1)).alias("q75"))
+    return quantiles(df, keys, value, {"q25": 0.25, "q75": 0.75})
+
+
+def _with_median(summary: DataFrame, df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """The summary with its groups' medians; groups without values keep NULL."""
+    half = quantiles(df, keys, value, {name: 0.5}).withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [summary[k].eqNullSafe(half[f"_{k}"]) for k in keys]
+    return summary.join(half, same, "left").drop(*[f"_{k}" for k in keys])
 
 
 def separation(quarts: DataFrame, pairs: DataFrame, top: int = 3, least: float = 0.30) -> DataFrame:
@@ -65,17 +105,18 @@ def score_summary(df: DataFrame, keys: list[str], p: str = "p", viable: int = 15
     from furrow.operators.filters import bucket
 
     b = df.withColumn("_b", bucket(p))
-    return b.groupBy(*keys).agg(
+    out = b.groupBy(*keys).agg(
         F.count("*").alias("n"), F.count_if(F.col("_b").isNull()).alias("unreadable"),
         *[F.count_if(F.col("_b") == x).alias(x) for x in ("keep", "drop", "uncertain")],
         F.min(F.when(F.col("_b") == "uncertain", F.col(p))).alias("uncertain_low"), F.max(F.when(F.col("_b") == "uncertain", F.col(p))).alias("uncertain_high"),
-        F.percentile(p, 0.5).alias("median_p"), F.avg(p).alias("mean_p"),
-    ).withColumn("viable", F.col("keep") >= viable)
+        F.avg(p).alias("mean_p"),
+    )
+    return _with_median(out, df, keys, p, "median_p").withColumn("viable", F.col("keep") >= viable)
 
 
 def latency(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """AGG31: least, median and largest."""
-    return df.groupBy(*keys).agg(F.min(value).alias("min_v"), F.percentile(value, 0.5).alias("median_v"), F.max(value).alias("max_v"))
+    return _with_median(df.groupBy(*keys).agg(F.min(value).alias("min_v"), F.max(value).alias("max_v")), df, keys, value, "median_v")
 
 
 def view_spread(views: DataFrame, item: str, cls: str = "cls", p: str = "p") -> DataFrame:

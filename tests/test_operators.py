@@ -298,3 +298,26 @@ def test_scoring_failures_are_rows(spark):
     df = spark.createDataFrame([(1,), (2,), (3,)], "i int").repartitionByRange(3, "i")
     got = {r.i: (r.score, r.error) for r in files.scored(df, score, "score double", retries=2, pause=0.01).collect()}
     assert got[1] == (1.0, None) and got[3][0] is None and "down" in got[3][1]
+
+
+def test_quantiles_are_exact(spark):
+    rng = random.Random(3)
+    groups = {"a": [rng.gauss(0, 1) for _ in range(301)], "b": [1.5] * 40, None: [rng.choice([0.0, 0.25, 1e300, -1e300]) for _ in range(77)], "one": [7.0], "two": [3.0, -4.0], "tied": [2.0] * 90 + [rng.random() for _ in range(10)]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("a", None), ("a", float("nan")), ("void", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    shares = {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q3": 0.9, "q4": 1.0}
+    got = {r.k: [r[q] for q in shares] for r in stats.quantiles(df, ["k"], "x", shares, bins=16).collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        assert got[k] == pytest.approx(np.quantile(vs, list(shares.values())).tolist(), rel=1e-9), k
+    assert stats.quantiles(df.limit(0), ["k"], "x", shares).count() == 0
+
+
+def test_placed_counts_through_ranges(spark):
+    rng = random.Random(4)
+    rows = [("hot" if i % 3 else None, rng.randrange(50), i) for i in range(600)]
+    out = sampling.placed(spark.createDataFrame(rows, "k string, a int, i int").repartition(5), ["k"], ["a", "i"]).collect()
+    for k in ("hot", None):
+        want = sorted((a, i) for g, a, i in rows if g == k)
+        assert [(r.a, r.i) for r in sorted((r for r in out if r.k == k), key=lambda r: r.place)] == want
+        assert sorted(r.place for r in out if r.k == k) == list(range(1, len(want) + 1))
