@@ -117,11 +117,12 @@ def prj08_symptom_rows(spark, d):
     return filters.class_sources(table(spark, d, "disease_info"))
 
 
-@query(f"WITH {P} SELECT run_tag, path, round_even(confidence, 2) AS conf2 FROM p WHERE confidence IS NOT NULL AND abs(confidence * 100 - floor(confidence * 100) - 0.5) > 1e-6")
+@query(f"""WITH {P}, u AS (SELECT run_tag, path, CAST(round(confidence * 1000000) AS BIGINT) AS x FROM p WHERE confidence IS NOT NULL)
+SELECT run_tag, path, (x // 10000 + CASE WHEN x % 10000 > 5000 OR (x % 10000 = 5000 AND (x // 10000) % 2 = 1) THEN 1 ELSE 0 END) / 100 AS conf2 FROM u""")
 def prj09_rounded(spark, d):
-    p = predictions(spark, d).where("confidence IS NOT NULL")
-    away = F.abs(F.col("confidence") * 100 - F.floor(F.col("confidence") * 100) - 0.5) > 1e-6
-    return p.where(away).select("run_tag", "path", F.bround("confidence", 2).alias("conf2"))
+    """Half to even on the six decimal digits, ties included."""
+    exact = F.round(F.col("confidence"), 6).cast("decimal(10,6)")
+    return predictions(spark, d).where("confidence IS NOT NULL").select("run_tag", "path", F.bround(exact, 2).cast("double").alias("conf2"))
 
 
 # Sorts and top-k.
@@ -211,10 +212,10 @@ def fun_json_sizes(spark, d):
     return e.select("event_id", F.from_json("props", "k bigint").getField("k").alias("k"), shown.alias("shown"))
 
 
-@query(f"""WITH e AS (SELECT vec_id, [exp(z - list_max(l)) FOR z IN l] AS x FROM (SELECT vec_id, [CAST(q AS DOUBLE) * 4 FOR q IN embedding[1:9]] AS l FROM embeddings))
+@query(f"""WITH e AS (SELECT vec_id, [exp(z - list_max(l)) FOR z IN l] AS x FROM (SELECT vec_id, [CAST(q AS DOUBLE) * 4 FOR q IN embedding] AS l FROM embeddings))
 SELECT vec_id, round(list_max(x) / list_sum(x), 6) AS top_p, list_position(x, list_max(x)) AS top_at FROM e""")
 def fun_softmax(spark, d):
-    z = F.transform(F.slice("embedding", 1, 9), lambda q: q.cast("double") * 4)
+    z = F.transform("embedding", lambda q: q.cast("double") * 4)
     e = table(spark, d, "embeddings").select("vec_id", z.alias("z")).select("vec_id", F.transform("z", lambda q: F.exp(q - F.array_max("z"))).alias("x"))
     total = F.aggregate("x", F.lit(0.0), lambda s, q: s + q)
     return e.select("vec_id", F.round(F.array_max("x") / total, 6).alias("top_p"), F.array_position("x", F.array_max("x")).alias("top_at"))

@@ -249,17 +249,19 @@ def srt02_worst_classes(spark, d):
     return _r6(report.withColumn("place", F.row_number().over(w)), "f1")
 
 
-@query(f"WITH {CONF} SELECT run_tag, true_class, coalesce(sum(n) FILTER (pred = 'healthy'), 0)::BIGINT AS healthy, coalesce(sum(n) FILTER (pred = 'leaf_spot'), 0)::BIGINT AS leaf_spot, coalesce(sum(n) FILTER (pred = 'gray_mold'), 0)::BIGINT AS gray_mold FROM c GROUP BY 1, 2")
+# The classes of the knowledge base.
+CLASSES = ["angular_leafspot", "anthracnose_fruit_rot", "blossom_blight", "gray_mold", "healthy", "leaf_scorch", "leaf_spot", "powdery_mildew_fruit", "powdery_mildew_leaf"]
+_WIDE = ", ".join(f"coalesce(sum(n) FILTER (pred = '{c}'), 0)::BIGINT AS {c}" for c in CLASSES)
+
+
+@query(f"WITH {CONF} SELECT run_tag, true_class, {_WIDE}, coalesce(sum(n) FILTER (pred NOT IN ({', '.join(repr(c) for c in CLASSES)})), 0)::BIGINT AS other FROM c GROUP BY 1, 2")
 def snk02_wide_confusion(spark, d):
-    return metrics.wide_confusion(_conf(spark, d), R, ["healthy", "leaf_spot", "gray_mold"])
+    """A column a class of the knowledge base, and one for predictions of any other name."""
+    known = sorted(r.class_key for r in disease_info(spark, d).select("class_key").distinct().collect())
+    conf = _conf(spark, d).withColumn("pred", F.when(F.col("pred").isin(known), F.col("pred")).otherwise("other"))
+    return metrics.wide_confusion(conf, R, [*known, "other"])
 
 
 @query(f"WITH {P} SELECT run_tag, path, pred, confidence < 0.6 AS low FROM p WHERE confidence IS NOT NULL")
 def flt08_low_rule(spark, d):
     return predictions(spark, d).where("confidence IS NOT NULL").select("run_tag", "path", "pred", filters.low_confidence(F.col("confidence"), F.lit(0.0)).alias("low"))
-
-
-@query()
-def snk02_wide_confusion_whole(spark, d):
-    conf = _conf(spark, d)
-    return metrics.wide_confusion(conf, R, metrics.observed_classes(conf))

@@ -145,12 +145,12 @@ def agg34_class_quota(spark, d):
     return sampling.class_quota(manifest(spark, d).where("final_class IS NOT NULL").select("path", "final_class"), "final_class", "path", 900, 7)
 
 
-@query(f"""WITH {M}, r AS (SELECT path, final_class, row_number() OVER (PARTITION BY final_class ORDER BY {md5_order('path', 9)}, path) AS rk, count(*) OVER (PARTITION BY final_class) AS n FROM m WHERE final_class IS NOT NULL AND split = 'test'),
-k AS (SELECT final_class, n, unnest(range(1, greatest(0, 120 - n) + 1)) AS copy_no FROM (SELECT DISTINCT final_class, n FROM r))
+@query(f"""WITH {M}, r AS (SELECT path, final_class, row_number() OVER (PARTITION BY final_class ORDER BY {md5_order('path', 9)}, path) AS rk, count(*) OVER (PARTITION BY final_class) AS n FROM m WHERE final_class IS NOT NULL AND split = 'train'),
+k AS (SELECT final_class, n, unnest(range(1, greatest(0, 400 - n) + 1)) AS copy_no FROM (SELECT DISTINCT final_class, n FROM r))
 SELECT path, final_class, 0 AS copy_no FROM r UNION ALL SELECT path, r.final_class, copy_no FROM k JOIN r ON r.final_class = k.final_class AND r.rk = (k.copy_no - 1) % k.n + 1""")
 def win07_oversampled(spark, d):
-    rows = manifest(spark, d).where("final_class IS NOT NULL AND split = 'test'").select("path", "final_class")
-    return sampling.oversampled(rows, "final_class", "path", 120, 9)
+    rows = manifest(spark, d).where("final_class IS NOT NULL AND split = 'train'").select("path", "final_class")
+    return sampling.oversampled(rows, "final_class", "path", 400, 9)
 
 
 @query("WITH s AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY path) - 1 AS i FROM (SELECT DISTINCT path, bucket FROM filter_scores WHERE bucket IS NOT NULL AND path IS NOT NULL)) SELECT path, bucket, i // 64 AS page, i % 64 // 8 AS line, i % 8 AS place FROM s")
@@ -159,17 +159,6 @@ def win08_sheets(spark, d):
     return sampling.paged(rows, ["bucket"], "path")
 
 
-@query()
-def spl04_cluster_split(spark, d):
-    m = manifest(spark, d).where("hash IS NOT NULL")
-    c = graph.clustered(m, 5)
-    modal = c.groupBy("cluster", F.coalesce("final_class", F.lit("")).alias("label")).agg(F.count("*").alias("n"))
-    # AGG27: a cluster's class is its most frequent one, ties to the first by name.
-    label = F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label")
-    clusters = modal.groupBy("cluster").agg(label, F.sum("n").alias("n"))
-    return sampling.greedy_cluster_split(clusters, {"train": 0.7, "val": 0.2, "test": 0.1}, 13)
-
-
 # ---- neighbours
 
 _Z = f"""{V}, t AS (SELECT * FROM v WHERE vec_id % 50 <> 0), q AS (SELECT * FROM v WHERE vec_id % 50 = 0),
@@ -234,6 +223,8 @@ def knn_report(spark, d):
 # ---- graphs
 
 _EDGES = f"{M}, h AS (SELECT DISTINCT hash FROM m WHERE hash IS NOT NULL), pr AS (SELECT a.hash AS a, b.hash AS b, bit_count(xor(a.hash, b.hash)::BIT) AS dist FROM h a JOIN h b ON a.hash < b.hash AND bit_count(xor(a.hash, b.hash)::BIT) <= 5)"
+# The published bounds of the audit: the widest of the sweep, and the one its leakage report uses.
+SWEEP, AUDIT = [6, 10, 14, 18], 10
 _CLUSTERS = f"""{_EDGES}, e AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr), reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
 comp AS (SELECT a AS hash, least(a, min(b)) AS root FROM reach GROUP BY a), cm AS (SELECT m.*, coalesce(comp.root, m.hash) AS cluster FROM m LEFT JOIN comp USING (hash) WHERE hash IS NOT NULL)"""
 
@@ -262,12 +253,29 @@ def agg24_cluster_stats(spark, d):
     return graph.threshold_sweep(manifest(spark, d).where("hash IS NOT NULL"), [5])
 
 
-@query()
+def _roots(t: int) -> str:
+    """Clusters at one bound, the labels of the smallest hash spread along the pairs."""
+    return f"""e{t} AS (SELECT a, b FROM pr WHERE dist <= {t} UNION ALL SELECT b, a FROM pr WHERE dist <= {t}),
+c{t}(v, root) USING KEY (v) AS (SELECT hash, hash FROM h UNION SELECT e.b, min(c.root) FROM c{t} c JOIN e{t} e ON e.a = c.v JOIN recurring.c{t} r ON r.v = e.b WHERE c.root < r.root GROUP BY e.b),
+m{t} AS (SELECT m.*, root AS cluster FROM m JOIN c{t} ON m.hash = v)"""
+
+
+def _wide_pairs(t: int) -> str:
+    return _EDGES.replace("<= 5", f"<= {t}")
+
+
+@query(f"WITH RECURSIVE {_wide_pairs(max(SWEEP))}, {', '.join(map(_roots, SWEEP))} " + " UNION ALL ".join(_sweep_sql(t).replace("FROM cm", f"FROM m{t}") for t in SWEEP))
 def grf02_threshold_sweep(spark, d):
-    return graph.threshold_sweep(manifest(spark, d).where("hash IS NOT NULL"), [2, 4, 6])
+    return graph.threshold_sweep(manifest(spark, d).where("hash IS NOT NULL"), SWEEP)
 
 
-@query()
+@query(f"""WITH {_EDGES}, near AS (SELECT a AS x FROM pr UNION SELECT b FROM pr), r0 AS (SELECT coalesce(final_class, '') AS c, path AS p, hash AS h FROM m WHERE hash IS NOT NULL),
+f AS (SELECT h, min({{'c': c, 'p': p}}) AS l FROM r0 GROUP BY h),
+kept AS (SELECT unnest(list_reduce(list([{{'c': l.c, 'p': l.p, 'h': h}}] ORDER BY l.c, l.p), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: bit_count(xor(k.h, x[1].h)::BIT) <= 5)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS k FROM f WHERE h IN (SELECT x FROM near)),
+alone AS (SELECT {{'c': l.c, 'p': l.p, 'h': h}} AS k FROM f WHERE h NOT IN (SELECT x FROM near)), ks AS (SELECT * FROM kept UNION ALL SELECT * FROM alone),
+cand AS (SELECT r0.p, r0.c, k, 0 AS dist FROM r0 JOIN ks ON k.h = r0.h AND k.p <> r0.p UNION ALL SELECT r0.p, r0.c, k, dist FROM r0 JOIN (SELECT a AS x, b AS y, dist FROM pr UNION ALL SELECT b, a, dist FROM pr) z ON z.x = r0.h JOIN ks ON k.h = z.y),
+best AS (SELECT p, arg_min(k, {{'d': dist, 'c': k.c, 'p': k.p}}) AS k, min(dist) AS dist, any_value(c) AS c FROM cand WHERE {{'c': k.c, 'p': k.p}} < {{'c': c, 'p': p}} GROUP BY p)
+SELECT m.path, CASE WHEN dist IS NULL THEN 'keep' WHEN dist = 0 THEN 'exact' ELSE 'near' END AS fate, k.p AS rival, coalesce(k.c <> c, false) AS "cross" FROM m LEFT JOIN best ON best.p = m.path""")
 def grf03_greedy_dedupe(spark, d):
     return graph.greedy_dedupe(manifest(spark, d))
 
@@ -290,6 +298,36 @@ def grf04_leakage(spark, d):
     return graph.leakage(graph.clustered(manifest(spark, d).where("hash IS NOT NULL"), 5))
 
 
+@query(f"""WITH RECURSIVE {_wide_pairs(AUDIT)}, {_roots(AUDIT)}, x AS (SELECT cluster, split, count(*) AS n FROM m{AUDIT} GROUP BY 1, 2), bad AS (SELECT cluster FROM x WHERE split = 'train')
+SELECT split, sum(n)::BIGINT AS n, coalesce(sum(n) FILTER (cluster IN (SELECT cluster FROM bad)), 0)::BIGINT AS n_bad, round(100.0 * coalesce(sum(n) FILTER (cluster IN (SELECT cluster FROM bad)), 0) / sum(n), 4) AS pct FROM x WHERE split IN ('val', 'test') GROUP BY 1""")
+def grf04_leakage_audit(spark, d):
+    """GRF01, GRF04 at the bound of the published audit."""
+    return graph.leakage(graph.clustered(manifest(spark, d).where("hash IS NOT NULL"), AUDIT))
+
+
+@query(f"WITH {_wide_pairs(max(SWEEP))}, t AS (SELECT unnest({SWEEP}) AS t) SELECT t::INT AS t, dist, count(*) AS n_pairs FROM pr JOIN t ON dist <= t GROUP BY 1, 2")
+def joi09_pairs_by_bound(spark, d):
+    pairs = graph.hamming_pairs(manifest(spark, d), max(SWEEP)).groupBy("dist").agg(F.count("*").alias("n_pairs"))
+    return pairs.join(F.broadcast(spark.createDataFrame([(t,) for t in SWEEP], "t int")), F.col("dist") <= F.col("t")).select("t", "dist", "n_pairs")
+
+
+@query(f"""WITH RECURSIVE {_CLUSTERS}, w AS (SELECT cluster, min(path) AS first_path, count(*) AS n FROM cm GROUP BY 1), cc AS (SELECT cluster, coalesce(final_class, '') AS label, count(*) AS k FROM cm GROUP BY 1, 2),
+lab AS (SELECT cluster, label FROM cc QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY k DESC, label) = 1),
+o AS (SELECT label, first_path, n, row_number() OVER (PARTITION BY label ORDER BY n DESC, {md5_order('first_path', 13)}, first_path) AS i FROM w JOIN lab USING (cluster)),
+s(label, i, first_path, n, placed, tr, va, te, split) AS (SELECT label, 0::BIGINT, NULL::VARCHAR, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::VARCHAR FROM (SELECT DISTINCT label FROM o)
+ UNION ALL SELECT label, i, first_path, n, placed, tr + CASE WHEN split = 'train' THEN n ELSE 0 END, va + CASE WHEN split = 'val' THEN n ELSE 0 END, te + CASE WHEN split = 'test' THEN n ELSE 0 END, split
+ FROM (SELECT *, CASE WHEN 0.7::DOUBLE * placed - tr >= 0.2::DOUBLE * placed - va AND 0.7::DOUBLE * placed - tr >= 0.1::DOUBLE * placed - te THEN 'train' WHEN 0.2::DOUBLE * placed - va >= 0.1::DOUBLE * placed - te THEN 'val' ELSE 'test' END AS split
+  FROM (SELECT s.label, o.i, o.first_path, o.n, s.placed + o.n AS placed, tr, va, te FROM s JOIN o ON o.label = s.label AND o.i = s.i + 1)))
+SELECT label, first_path AS cluster, n, split FROM s WHERE i > 0""")
+def spl04_cluster_split(spark, d):
+    c = graph.clustered(manifest(spark, d).where("hash IS NOT NULL"), 5)
+    modal = c.groupBy("cluster", F.coalesce("final_class", F.lit("")).alias("label")).agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
+    # AGG27: a cluster's class is its most frequent one, ties to the first by name; its smallest path names it.
+    label = F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label")
+    clusters = modal.groupBy("cluster").agg(label, F.sum("n").alias("n"), F.min("first_path").alias("first_path")).select("label", F.col("first_path").alias("cluster"), "n")
+    return sampling.greedy_cluster_split(clusters, {"train": 0.7, "val": 0.2, "test": 0.1}, 13)
+
+
 # ---- decisions
 
 _SCORES = f"""{P}, s AS (SELECT path, pred AS cls, max(confidence) AS p FROM p WHERE pred IS NOT NULL AND confidence IS NOT NULL GROUP BY 1, 2),

@@ -47,11 +47,10 @@ def srt03_best_classes(spark, d):
     return report.withColumn("place", F.row_number().over(w)).withColumn("f1", F.round("f1", 6))
 
 
-@query(f"WITH {P} SELECT true_class, {base('path')} AS file, pred, row_number() OVER (PARTITION BY true_class ORDER BY {base('path')}, path, pred) AS place FROM p WHERE run_tag = 'r02_base' AND true_class <> pred")
+@query(f"WITH {P}, e AS (SELECT DISTINCT run_tag, true_class, {base('path')} AS file, path, pred FROM p WHERE true_class <> pred) SELECT run_tag, true_class, file, pred, row_number() OVER (PARTITION BY run_tag, true_class ORDER BY file, path, pred) AS place FROM e")
 def srt05_errors_by_class_and_file(spark, d):
-    p = predictions(spark, d).where("run_tag = 'r02_base' AND true_class != pred").withColumn("file", clean.base_name("path"))
-    w = Window.partitionBy("true_class").orderBy("file", "path", "pred")
-    return p.withColumn("place", F.row_number().over(w)).select("true_class", "file", "pred", "place")
+    wrong = predictions(spark, d).where("true_class != pred").select("run_tag", "true_class", clean.base_name("path").alias("file"), "path", "pred").distinct()
+    return sampling.placed(wrong, ["run_tag", "true_class"], ["file", "path", "pred"]).select("run_tag", "true_class", "file", "pred", "place")
 
 
 @query(f"WITH {FS} SELECT path, p FROM f WHERE bucket = 'uncertain' AND p IS NOT NULL ORDER BY p DESC, path LIMIT 60")
@@ -59,10 +58,10 @@ def srt07_top_flagged(spark, d):
     return filter_scores(spark, d).where("bucket = 'uncertain' AND p IS NOT NULL").select("path", "p").orderBy(F.desc("p"), "path").limit(60)
 
 
-@query(f"WITH {P} SELECT path, pred FROM p WHERE run_tag = 'r01_base' AND pred IS NOT NULL ORDER BY path, pred, true_class, confidence LIMIT 40")
+@query(f"WITH {P} SELECT run_tag, path, pred FROM p WHERE pred IS NOT NULL ORDER BY path, run_tag, pred, true_class, confidence LIMIT 40")
 def srt09_first_rows(spark, d):
-    p = predictions(spark, d).where("run_tag = 'r01_base' AND pred IS NOT NULL")
-    return p.orderBy("path", "pred", "true_class", "confidence").limit(40).select("path", "pred")
+    p = predictions(spark, d).where("pred IS NOT NULL")
+    return p.orderBy("path", "run_tag", "pred", "true_class", "confidence").limit(40).select("run_tag", "path", "pred")
 
 
 @query(f"""WITH {_Z}, ks AS (SELECT unnest([1, 3, 5, 7, 9, 11, 15]) AS k), vt AS (SELECT k, id, label, near_label, count(*) AS votes, min(rk) AS f FROM near JOIN ks ON rk <= k GROUP BY 1, 2, 3, 4),

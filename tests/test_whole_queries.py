@@ -8,16 +8,16 @@ from tests.comparing import DATA
 
 
 def test_class_listing_lists_every_photograph(spark):
-    listed = QUERIES["src03_class_listing_whole"](spark, DATA).agg(F.sum("n")).first()[0]
+    listed = QUERIES["src03_class_listing"](spark, DATA).agg(F.sum("n")).first()[0]
     assert listed == table(spark, DATA, "features").where("path IS NOT NULL").select("path").distinct().count()
 
 
 def test_confusion_holds_every_class(spark):
     pairs = predictions(spark, DATA).where("true_class IS NOT NULL AND pred IS NOT NULL")
-    wide = QUERIES["snk02_wide_confusion_whole"](spark, DATA)
+    wide = QUERIES["snk02_wide_confusion"](spark, DATA)
     counts = [c for c in wide.columns if c not in ("run_tag", "true_class")]
     assert set(counts) >= {r.pred for r in pairs.select("pred").distinct().collect()}
     known = wide.where("true_class IS NOT NULL").collect()
     assert sum(r[c] for r in known for c in counts) > sum(r[c] for r in known for c in ("healthy", "leaf_spot", "gray_mold"))
-    matrix = QUERIES["src13_snk02_matrix_whole"](spark, DATA)
+    matrix = QUERIES["src13_snk02_matrix"](spark, DATA)
     assert matrix.count() == len(counts) ** 2 and matrix.agg(F.sum("n")).first()[0] == sum(r[c] for r in known for c in counts)
