@@ -21,26 +21,37 @@ from furrow.functions import pixels
 IMAGE = "path string, h int, w int, c int, data binary"
 
 
-def decoded(spark, folder: str) -> DataFrame:
-    """SRC10, SRC11: image rows of a folder, decoded by the built-in source, unreadable files dropped.
+def decoded(spark, folder: str, keep_unreadable: bool = False) -> DataFrame:
+    """SRC10, SRC11: image rows of a folder, decoded by the built-in source.
 
-    Bytes come as BGR(A); gray is repeated and alpha dropped by the kernels.
+    Gray is repeated, alpha dropped, channels are in RGB order.  Unreadable
+    files are left out or, with ``keep_unreadable``, have only a path, so that
+    ``unreadable`` can count them.
     """
-    raw = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(folder)
+    raw = spark.read.format("image").option("dropInvalid", not keep_unreadable).option("recursiveFileLookup", True).load(folder)
     rows = raw.select(F.col("image.origin").alias("path"), F.col("image.height").alias("h"), F.col("image.width").alias("w"), F.col("image.nChannels").alias("c"), F.col("image.data").alias("data"))
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for r in b.to_pylist():
+                if not r["data"] or r["h"] < 1:
+                    out.append({"path": r["path"]})
+                    continue
                 a = np.frombuffer(r["data"], np.uint8).reshape(r["h"], r["w"], r["c"])
                 a = pixels.as_rgb(a[:, :, [2, 1, 0]] if r["c"] >= 3 else a)
-                out.append(a.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([3] * b.num_rows, pa.int32()), pa.array(out, pa.binary())], names=["path", "h", "w", "c", "data"])
+                out.append({"path": r["path"], "h": r["h"], "w": r["w"], "c": 3, "data": a.tobytes()})
+            if out:
+                yield from pa.Table.from_pylist(out, schema=pa.schema([("path", pa.string()), ("h", pa.int32()), ("w", pa.int32()), ("c", pa.int32()), ("data", pa.binary())])).to_batches()
 
     return rows.mapInArrow(turn, IMAGE)
 
 
+def unreadable(images: DataFrame) -> DataFrame:
+    """SRC11: (n, n_unreadable) of image rows."""
+    return images.agg(F.count("*").alias("n"), F.count_if(F.col("data").isNull()).alias("n_unreadable"))
+
+
 def _image(r: dict) -> np.ndarray | None:
     h, w, c, data = r["h"], r["w"], r["c"], r["data"]
     if not h or not w or not c or data is None or len(data) != h * w * c:

@@ -38,6 +38,30 @@ def _images(spark, d):
     return table(spark, d, "embeddings").select("vec_id", "embedding").mapInArrow(pack, image.IMAGE)
 
 
+# Colour: the three channels of a pixel are entries 21 apart, and strong enough to cross the bands.
+def _tap(i: int) -> str:
+    return f"floor(least(greatest(CAST(embedding[(k - 1 + {i}) % 64 + 1] AS DOUBLE) * 900 + 128, 0), 255))"
+
+
+CHANNELS = f"""px AS (SELECT vec_id, (k - 1) // 8 AS "row", (k - 1) % 8 AS col, {_tap(0)} AS r, {_tap(21)} AS g, {_tap(42)} AS b FROM embeddings, range(1, 65) r(k))"""
+
+
+def colour_images(spark, d):
+    """Image rows: colour 8 x 8."""
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            e = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, 64).astype(np.float64)
+            one = np.floor(np.clip(e * 900 + 128, 0, 255)).astype(np.uint8)
+            px = np.stack([np.roll(one, -i, axis=1) for i in (0, 21, 42)], axis=2)
+            n = len(px)
+            yield pa.RecordBatch.from_arrays([pa.array([f"/grid/{i}.png" for i in b.column(0).to_pylist()]), *(pa.array([x] * n, pa.int32()) for x in (8, 8, 3)), pa.array([r.tobytes() for r in px], pa.binary())], names=["path", "h", "w", "c", "data"])
+
+    return table(spark, d, "embeddings").select("vec_id", "embedding").mapInArrow(pack, image.IMAGE)
+
+
 def _keyed(df):
     return df.withColumn("vec_id", F.regexp_extract("path", r"(\d+)\.png$", 1).cast("bigint")).drop("path")
 

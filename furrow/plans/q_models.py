@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from furrow.functions import clean
-from furrow.operators import decision, graph, joins, metrics, sampling, similarity, stats
+from furrow.operators import audit, decision, graph, joins, metrics, sampling, similarity, stats
 from furrow.plans.q_metrics import _DIMS, _RIVALS, _rivals
 from furrow.plans.registry import query
 from furrow.plans.sql import M, P, V, base, md5_order, stem
@@ -311,16 +311,21 @@ def joi09_pairs_by_bound(spark, d):
     return pairs.join(F.broadcast(spark.createDataFrame([(t,) for t in SWEEP], "t int")), F.col("dist") <= F.col("t")).select("t", "dist", "n_pairs")
 
 
-@query(f"""WITH RECURSIVE {_CLUSTERS}, w AS (SELECT cluster, min(path) AS first_path, count(*) AS n FROM cm GROUP BY 1), cc AS (SELECT cluster, coalesce(final_class, '') AS label, count(*) AS k FROM cm GROUP BY 1, 2),
+_SPLIT = f"""{_CLUSTERS}, w AS (SELECT cluster, min(path) AS first_path, count(*) AS n FROM cm GROUP BY 1), cc AS (SELECT cluster, coalesce(final_class, '') AS label, count(*) AS k FROM cm GROUP BY 1, 2),
 lab AS (SELECT cluster, label FROM cc QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY k DESC, label) = 1),
 o AS (SELECT label, first_path, n, row_number() OVER (PARTITION BY label ORDER BY n DESC, {md5_order('first_path', 13)}, first_path) AS i FROM w JOIN lab USING (cluster)),
 s(label, i, first_path, n, placed, tr, va, te, split) AS (SELECT label, 0::BIGINT, NULL::VARCHAR, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::VARCHAR FROM (SELECT DISTINCT label FROM o)
  UNION ALL SELECT label, i, first_path, n, placed, tr + CASE WHEN split = 'train' THEN n ELSE 0 END, va + CASE WHEN split = 'val' THEN n ELSE 0 END, te + CASE WHEN split = 'test' THEN n ELSE 0 END, split
  FROM (SELECT *, CASE WHEN 0.7::DOUBLE * placed - tr >= 0.2::DOUBLE * placed - va AND 0.7::DOUBLE * placed - tr >= 0.1::DOUBLE * placed - te THEN 'train' WHEN 0.2::DOUBLE * placed - va >= 0.1::DOUBLE * placed - te THEN 'val' ELSE 'test' END AS split
-  FROM (SELECT s.label, o.i, o.first_path, o.n, s.placed + o.n AS placed, tr, va, te FROM s JOIN o ON o.label = s.label AND o.i = s.i + 1)))
-SELECT label, first_path AS cluster, n, split FROM s WHERE i > 0""")
+  FROM (SELECT s.label, o.i, o.first_path, o.n, s.placed + o.n AS placed, tr, va, te FROM s JOIN o ON o.label = s.label AND o.i = s.i + 1)))"""
+
+
+@query(f"WITH RECURSIVE {_SPLIT} SELECT label, first_path AS cluster, n, split FROM s WHERE i > 0")
 def spl04_cluster_split(spark, d):
-    c = graph.clustered(manifest(spark, d).where("hash IS NOT NULL"), 5)
+    return _cluster_split(graph.clustered(manifest(spark, d).where("hash IS NOT NULL"), 5))
+
+
+def _cluster_split(c):
     modal = c.groupBy("cluster", F.coalesce("final_class", F.lit("")).alias("label")).agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
     # AGG27: a cluster's class is its most frequent one, ties to the first by name; its smallest path names it.
     label = F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label")
@@ -328,6 +333,24 @@ def spl04_cluster_split(spark, d):
     return sampling.greedy_cluster_split(clusters, {"train": 0.7, "val": 0.2, "test": 0.1}, 13)
 
 
+@query(f"""WITH RECURSIVE {_SPLIT}, h10 AS (SELECT a.hash AS a, b.hash AS b FROM h a JOIN h b ON a.hash <> b.hash AND bit_count(xor(a.hash, b.hash)::BIT) <= {AUDIT}),
+c10(v, root) USING KEY (v) AS (SELECT hash, hash FROM h UNION SELECT e.b, min(c.root) FROM c10 c JOIN h10 e ON e.a = c.v JOIN recurring.c10 r ON r.v = e.b WHERE c.root < r.root GROUP BY e.b),
+aft AS (SELECT cm.path, cm.final_class, s.split, c10.root FROM cm JOIN w USING (cluster) JOIN s ON s.first_path = w.first_path JOIN c10 ON c10.v = cm.hash),
+x AS (SELECT 'missing' AS "check", count(*) AS n_found FROM m WHERE path NOT IN (SELECT path FROM aft) UNION ALL SELECT 'unknown', 0
+ UNION ALL SELECT 'class_counts', count(*) FROM (SELECT final_class, count(*) AS n FROM m GROUP BY 1) a FULL JOIN (SELECT final_class, count(*) AS n FROM aft GROUP BY 1) b ON a.final_class IS NOT DISTINCT FROM b.final_class WHERE a.n IS DISTINCT FROM b.n
+ UNION ALL SELECT 'torn_clusters', count(*) FROM (SELECT root FROM aft GROUP BY 1 HAVING count(DISTINCT split) > 1))
+SELECT *, n_found = 0 AS passed FROM x""")
+def qa03_verification(spark, d):
+    """The split of whole clusters (bound 5), which loses the records without hash, held against the manifest and the wider clusters of the audit."""
+    before = manifest(spark, d)
+    hashed = before.where("hash IS NOT NULL")
+    c = graph.clustered(hashed, 5)
+    name = c.groupBy("cluster").agg(F.min("path").alias("first_path"))
+    split = _cluster_split(c).select(F.col("cluster").alias("first_path"), F.col("split").alias("new_split"))
+    after = c.select("path", "final_class", "hash", "cluster").join(name, "cluster").join(split, "first_path").select("path", "final_class", "hash", F.col("new_split").alias("split"))
+    return audit.verification(before, after, graph.clustered(after, AUDIT))
+
+
 # ---- decisions
 
 _SCORES = f"""{P}, s AS (SELECT path, pred AS cls, max(confidence) AS p FROM p WHERE pred IS NOT NULL AND confidence IS NOT NULL GROUP BY 1, 2),

@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from furrow.operators import audit, graph, metrics
-from furrow.plans.q_metrics import CONF
+from furrow.operators import audit, image, metrics
+from furrow.plans.q_images import CHANNELS, colour_images
+from furrow.plans.q_metrics import CONF, ZEROV, _ratios
 from furrow.plans.registry import query
 from furrow.plans.sql import FS, M, base
 from furrow.session import shared_dir
@@ -35,6 +36,16 @@ def src13_snk02_matrix(spark, d):
     return files.read_matrix(spark, f"{at}/part-*.csv", names)
 
 
+@query(f"WITH {_ratios(ZEROV).replace('SELECT DISTINCT run_tag, path', "SELECT DISTINCT 'all' AS run_tag, run_tag AS tag, path")} SELECT class, support, predicted, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM r")
+def agg06_report_stored(spark, d):
+    """AGG06d: metrics recomputed from the matrix as it was stored."""
+    conf, at = metrics.confusion(predictions(spark, d), []), _at(spark, "confusion.csv")
+    names = metrics.observed_classes(conf)
+    sinks.write_matrix(conf, at, names)
+    report = metrics.class_report(files.read_matrix(spark, f"{at}/part-*.csv", names), [], "zero")
+    return report.select("class", "support", "predicted", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
 @query(f"WITH {CONF} SELECT run_tag AS tag, sum(n)::INT AS n_test, round(sum(n) FILTER (true_class = pred) / sum(n), 6) AS overall_top1 FROM c GROUP BY 1")
 def src14_snk03_document(spark, d):
     acc = metrics.accuracy(metrics.confusion(predictions(spark, d), ["run_tag"]), ["run_tag"])
@@ -68,23 +79,74 @@ def src15_snk04_cached(spark, d):
     return files.cached(filter_scores(spark, d).select("path", "p", "bucket"), _at(spark, "cache"), "1")
 
 
-@query("SELECT split_part(path, '/', 2) AS label, count(*) AS n FROM (SELECT DISTINCT path FROM features WHERE path IS NOT NULL) GROUP BY 1")
-def src03_class_listing(spark, d):
-    """Tiny files of every photograph, written by the executors, listed without reading them."""
-    at = _at(spark, "images")
+def _written(spark, rows, at: str) -> None:
+    """Files (name, data) below a folder, written by the executors."""
     uri = "file://" + at.removeprefix("file:").removeprefix("//") if at.startswith(("/", "file:")) else at
 
-    def touch(rows):
+    def write(part):
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(uri)
-        for r in rows:
-            store.create_dir(f"{root}/{r.path}".rpartition("/")[0], recursive=True)
-            with store.open_output_stream(f"{root}/{r.path}") as out:
-                out.write(b"\1")
+        for r in part:
+            store.create_dir(f"{root}/{r.name}".rpartition("/")[0], recursive=True)
+            with store.open_output_stream(f"{root}/{r.name}") as out:
+                out.write(bytes(r.data))
+
+    rows.select("name", "data").foreachPartition(write)
+
+
+def _tree(spark, d):
+    """A tiny file a photograph and, for those whose name ends in an even digit, a processed one and a note beside it."""
+    at = _at(spark, "images")
+    paths = table(spark, d, "features").where("path IS NOT NULL").select("path").distinct()
+    stem = F.regexp_replace("path", r"\.[^.]*$", "")
+    beside = F.when(stem.rlike("[02468]$"), F.array(F.concat(stem, F.lit("_preprocessed.png")), F.concat(stem, F.lit("_notes.txt")))).otherwise(F.array().cast("array<string>"))
+    _written(spark, paths.select(F.explode(F.concat(F.array("path"), beside)).alias("name"), F.encode(F.lit("x"), "UTF-8").alias("data")), at)
+    return at
+
+
+_FILES = "f AS (SELECT DISTINCT path, split_part(path, '/', 2) AS label, regexp_matches(regexp_replace(path, '\\.[^.]*$', ''), '[02468]$') AS two, regexp_replace(path, '\\.[^.]*$', '') AS stem FROM features WHERE path IS NOT NULL)"
 
-    table(spark, d, "features").where("path IS NOT NULL").select("path").distinct().foreachPartition(touch)
-    return files.class_listing(files.image_listing(spark, at))
+
+@query("SELECT split_part(path, '/', 2) AS label, count(*) AS n FROM (SELECT DISTINCT path FROM features WHERE path IS NOT NULL) GROUP BY 1")
+def src03_class_listing(spark, d):
+    """Every photograph, listed without reading it; processed images are not originals."""
+    listing = files.image_listing(spark, _tree(spark, d))
+    return files.class_listing(listing.where(~F.endswith("name", F.lit("_preprocessed.png"))))
+
+
+@query(f"WITH {_FILES} SELECT label, parse_filename(stem) || '_preprocessed.png' AS name, 1::BIGINT AS length FROM f WHERE two GROUP BY ALL")
+def src02_processed_files(spark, d):
+    return files.image_listing(spark, _tree(spark, d), ends_with="_preprocessed.png").select("label", "name", "length").distinct()
+
+
+@query(f"WITH {_FILES}, n AS (SELECT label, count(DISTINCT stem) AS n FROM f WHERE two AND split_part(path, '/', 1) = 'test' GROUP BY 1) SELECT class_key AS label, coalesce(n, 0) AS n FROM disease_info LEFT JOIN n ON label = class_key WHERE NOT starts_with(class_key, '_')")
+def src04_listing_with_empty_classes(spark, d):
+    """SRC04, SRC05, SRC09: processed images of one folder, with the classes that have none."""
+    classes = table(spark, d, "disease_info").where("class_key NOT LIKE '\\_%'").select(F.col("class_key").alias("label"))
+    return files.class_listing(files.image_listing(spark, f"{_tree(spark, d)}/test", ends_with="_preprocessed.png"), classes)
+
+
+def _png(r) -> bytes:
+    import struct
+    import zlib
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = b"".join(b"\0" + bytes(r["data"][i : i + 3 * r["w"]]) for i in range(0, len(r["data"]), 3 * r["w"]))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", r["w"], r["h"], 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+@query(f"WITH {CHANNELS}, s AS (SELECT vec_id, sum(r)::BIGINT AS r, sum(g)::BIGINT AS g, sum(b)::BIGINT AS b FROM px GROUP BY 1) SELECT vec_id, vec_id % 10 <> 3 AS readable, CASE WHEN vec_id % 10 <> 3 THEN r END AS r, CASE WHEN vec_id % 10 <> 3 THEN g END AS g, CASE WHEN vec_id % 10 <> 3 THEN b END AS b FROM s")
+def src10_src11_decoded(spark, d):
+    """Image files in colour, a tenth of them cut short, decoded again: sums of the channels, and which could not be read."""
+    at = _at(spark, "png")
+    rows = colour_images(spark, d)
+    png = F.udf(lambda w, h, data: _png({"w": w, "h": h, "data": data}), "binary", useArrow=True)
+    whole = png("w", "h", "data")
+    cut = F.when(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("bigint") % 10 == 3, F.substring(whole, 1, 40)).otherwise(whole)
+    _written(spark, rows.select(F.substring("path", 2, 1 << 20).alias("name"), cut.alias("data")), at)
+    sums = image.mapped(image.decoded(spark, at, keep_unreadable=True), lambda a: dict(zip("rgb", a.astype(int).sum((0, 1)).tolist())), "r bigint, g bigint, b bigint")
+    return sums.select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("bigint").alias("vec_id"), F.col("r").isNotNull().alias("readable"), "r", "g", "b")
 
 
 @query("SELECT event_id, value * 2 AS score, CAST(NULL AS VARCHAR) AS error FROM events")
@@ -106,12 +168,6 @@ def qa02_validation(spark, d):
     return audit.validation(manifest(spark, d))
 
 
-@query()
-def qa03_verification(spark, d):
-    m = manifest(spark, d)
-    return audit.verification(m, m, graph.clustered(m.where("hash IS NOT NULL"), 5))
-
-
 @query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def stream_latest(spark, d):
     return latest.drained(latest.latest_wins(latest.table_stream(spark, d, "events"), "user_id", "event_id", "event_type"))

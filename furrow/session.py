@@ -13,6 +13,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder; set to a temporary one only where the cluster names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            warnings.warn("spark.checkpoint.dir is not set: a folder of this machine is used, which executors elsewhere cannot read", stacklevel=3)
         found = tempfile.mkdtemp(prefix="furrow-scratch-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
@@ -75,7 +78,11 @@ class Scratch:
                 self._delete(path)
 
     def release(self) -> None:
-        """Let the context cleaner free shuffle files that no live plan refers to."""
+        """Let the context cleaner free shuffle files that no live plan refers to.
+
+        It frees what the JVM has collected, so long iterations ask for that;
+        only the driver pauses.
+        """
         import gc
 
         gc.collect()
