@@ -106,33 +106,35 @@ def band_mask(hsv: np.ndarray) -> np.ndarray:
 def label(mask: np.ndarray, diagonal: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """IMG08: labels from 1 in row-major order of first pixels (0 outside) and sizes.
 
-    Labels fall to the least place among neighbours, then to the label of
-    that place, until nothing changes.
+    Works on the runs of each row: runs of neighbouring rows that touch are
+    linked, and the least run of each group spreads along the links, halving
+    the way to it each turn.
     """
     h, w = mask.shape
-    far = h * w
-    lab = np.where(mask, np.arange(far).reshape(h, w), far)
-    steps = [(0, 1), (1, 0), (1, 1), (1, -1)] if diagonal else [(0, 1), (1, 0)]
-    while True:
-        new = lab.copy()
-        for dy, dx in steps:
-            a = (slice(0, h - dy), slice(max(0, -dx), w - max(0, dx)))
-            b = (slice(dy, h), slice(max(0, dx), w + min(0, dx)))
-            both = mask[a] & mask[b]
-            least = np.minimum(new[a], new[b])
-            new[a] = np.where(both, least, new[a])
-            new[b] = np.where(both, np.minimum(least, new[b]), new[b])  # the two views overlap
-        flat = np.append(new.ravel(), far)
-        for _ in range(3):
-            flat = flat[flat]
-        new = np.where(mask, flat[:-1].reshape(h, w), far)
-        if np.array_equal(new, lab):
+    step = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, start = np.nonzero(step == 1)
+    end = np.nonzero(step == -1)[1]
+    reach, wide = int(diagonal), w + 3
+    # Runs of the next row that end after this one begins and begin before it ends, by places that do not meet across rows.
+    low = np.searchsorted(row * wide + end + 1, (row + 1) * wide + start - reach + 1, "right")
+    high = np.searchsorted(row * wide + start + 1, (row + 1) * wide + end + reach + 1, "left")
+    counts = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(len(row)), counts)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)
+    root = np.arange(len(row))
+    while len(a):
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
             break
-        lab = new
-    firsts, inverse, counts = np.unique(lab, return_inverse=True, return_counts=True)
-    there = firsts < far
-    number = np.where(there, np.cumsum(there), 0)
-    return number[inverse].reshape(h, w), counts[there]
+        np.minimum.at(root, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
+        while not np.array_equal(root[root], root):
+            root = root[root]
+    first = root == np.arange(len(row))
+    number = np.cumsum(first)[root] if len(row) else root
+    out = np.zeros((h, w), np.int64)
+    out[mask] = np.repeat(number, end - start)
+    return out, np.bincount(number, weights=end - start, minlength=1)[1:].astype(np.int64) if len(row) else np.zeros(0, np.int64)
 
 
 def area_open(mask: np.ndarray, least: int = LEAST_AREA) -> np.ndarray:
@@ -283,7 +285,7 @@ def lesion_signature(image: np.ndarray, least: int = 40) -> np.ndarray | None:
     spots = dull | ((v > 0.60) & (s < 0.20))
     if spots.sum() < least:
         return None
-    g = np.rint(image.astype(np.float64) @ np.array([0.299, 0.587, 0.114]))
+    g = np.rint(np.round(image.astype(np.float64) @ np.array([0.299, 0.587, 0.114]), 6))
     dx, dy = np.diff(g, axis=1, append=g[:, -1:]), np.diff(g, axis=0, append=g[-1:])
     return np.array([spots.mean(), v[spots].mean(), np.hypot(dx, dy)[spots].mean(), dull.sum() / spots.sum()])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from furrow.functions import pixels
@@ -59,7 +60,8 @@ def colour_images(spark, d):
             n = len(px)
             yield pa.RecordBatch.from_arrays([pa.array([f"/grid/{i}.png" for i in b.column(0).to_pylist()]), *(pa.array([x] * n, pa.int32()) for x in (8, 8, 3)), pa.array([r.tobytes() for r in px], pa.binary())], names=["path", "h", "w", "c", "data"])
 
-    return table(spark, d, "embeddings").select("vec_id", "embedding").mapInArrow(pack, image.IMAGE)
+    # A kernel takes far longer than a row's bytes tell, so the rows are spread before.
+    return table(spark, d, "embeddings").select("vec_id", "embedding").repartition(spark.sparkContext.defaultParallelism).mapInArrow(pack, image.IMAGE)
 
 
 def _keyed(df):
@@ -155,18 +157,6 @@ def img11_closed(spark, d):
     return _keyed(image.mapped(_images(spark, d), kernel, "closed bigint")).where("closed > 0")
 
 
-@query(f"""WITH RECURSIVE {_COMP}, z AS (SELECT vec_id, root, count(*) AS n FROM c GROUP BY 1, 2), b AS (SELECT vec_id, root FROM z QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, root) = 1),
-p AS (SELECT c.vec_id, c.a // 8 AS y, c.a % 8 AS x FROM c JOIN b USING (vec_id, root)), w AS (SELECT p.vec_id, p.y, p.x, (SELECT count(*) FROM p q WHERE q.vec_id = p.vec_id AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1) AS k FROM p),
-t AS (SELECT vec_id, count(*) AS area, count(*) FILTER (k < 9) AS perimeter, avg(x) AS cx, avg(y) AS cy, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS cxy, count(*) / ((max(x) - min(x) + 1) * (max(y) - min(y) + 1)) AS extent FROM w GROUP BY 1),
-s AS (SELECT *, 4 * sqrt(greatest(0, (vx + vy) / 2 + sqrt((vx - vy) * (vx - vy) / 4 + cxy * cxy))) AS major, 4 * sqrt(greatest(0, (vx + vy) / 2 - sqrt((vx - vy) * (vx - vy) / 4 + cxy * cxy))) AS minor FROM t)
-SELECT vec_id, area::DOUBLE AS area, perimeter::DOUBLE AS perimeter, round(cx, 5) AS centroid_x, round(cy, 5) AS centroid_y, round(major, 5) AS major, round(minor, 5) AS minor, round(extent, 5) AS extent FROM s""")
-def img16_shape(spark, d):
-    keep = ["area", "perimeter", "centroid_x", "centroid_y", "major", "minor", "extent"]
-    kernel = lambda a: {k: float(v) for k, v in zip(pixels.SHAPE, pixels.shape(a[:, :, 0] >= 128))}
-    out = image.mapped(_images(spark, d), kernel, ", ".join(f"{c} double" for c in pixels.SHAPE)).where("area > 0")
-    return _keyed(out.select("path", *[F.round(c, 5).alias(c) for c in keep]))
-
-
 @query(f"""WITH {_G}, w AS (SELECT c, k, greatest(0, least((k + 1) * 8 / 9, c + 1) - greatest(k * 8 / 9, c)) * 9 / 8 AS s FROM range(0, 8) a(c), range(0, 9) b(k)),
 sm AS (SELECT g.vec_id, g."row", w.k, round_even(round(sum(g.v * w.s), 9), 0) AS v FROM g JOIN w ON g.col = w.c GROUP BY 1, 2, 3), b AS (SELECT vec_id, "row", k, (lead(v) OVER (PARTITION BY vec_id, "row" ORDER BY k) > v)::INT AS bit FROM sm),
 x AS (SELECT vec_id, string_agg(bit::VARCHAR, '' ORDER BY "row", k) AS bits FROM b WHERE k < 8 GROUP BY 1)
@@ -176,25 +166,125 @@ def img19_dhash(spark, d):
     return _keyed(image.mapped(_images(spark, d), kernel, "bits string"))
 
 
-@query()
-def img13_pipeline(spark, d):
-    out = image.preprocessed(_images(spark, d), 64, 20)
-    return _keyed(out.select("path", F.length("masked").alias("n_bytes"), F.md5("masked").alias("masked_md5"), F.length(F.base64("mask")).alias("n_base64")))
+# The whole pipeline on a canvas of 16 x 16, from the raw colours to the mask, pixel by pixel.
+_SIDE, _LEAST = 16, 20
+_HSV = """CASE WHEN top = low THEN 0 WHEN top = r THEN ((g - b) / (top - low) - 6 * floor((g - b) / (top - low) / 6)) WHEN top = g THEN (b - r) / (top - low) + 2 ELSE (r - g) / (top - low) + 4 END / 6 AS h,
+ CASE WHEN top > 0 THEN (top - low) / top ELSE 0 END AS s, top AS v"""
 
 
-@query()
+def _hsv_of(source: str, keep: str = "") -> str:
+    return f"""SELECT vec_id, "row", col, {keep} {_HSV} FROM (SELECT *, greatest(r, g, b) AS top, least(r, g, b) AS low FROM (SELECT vec_id, "row", col, {keep} r / 255 AS r, g / 255 AS g, b / 255 AS b FROM {source}))"""
+
+
+def _labels(name: str, pixels_: str, reach: str) -> str:
+    """Components of a set of pixels: the least place spreads between neighbours."""
+    near = f"e_{name} AS MATERIALIZED (SELECT a.vec_id, a.pt AS a, b.pt AS b FROM {pixels_} a JOIN {pixels_} b ON a.vec_id = b.vec_id AND a.pt <> b.pt AND {reach})"
+    return f"""{near}, {name}(vec_id, pt, root) USING KEY (vec_id, pt) AS (SELECT vec_id, pt, pt FROM {pixels_}
+ UNION SELECT e.vec_id, e.b, min(c.root) FROM {name} c JOIN e_{name} e ON e.vec_id = c.vec_id AND e.a = c.pt JOIN recurring.{name} r ON r.vec_id = e.vec_id AND r.pt = e.b WHERE c.root < r.root GROUP BY e.vec_id, e.b)"""
+
+
+_EIGHT = 'abs(a."row" - b."row") <= 1 AND abs(a.col - b.col) <= 1'
+_FOUR = 'abs(a."row" - b."row") + abs(a.col - b.col) = 1'
+_ROUND = "(SELECT y, x FROM range(-3, 4) a(y), range(-3, 4) b(x) WHERE y * y + x * x <= 9)"
+_PIPELINE = f"""{CHANNELS}, tw AS (SELECT o, k, w / sum(w) OVER (PARTITION BY o) AS w FROM (SELECT o, k, greatest(0, 1 - abs(k + 0.5 - (o + 0.5) * 8 / {_SIDE})) AS w FROM range(0, {_SIDE}) a(o), range(0, 8) b(k)) WHERE w > 0),
+ch AS (SELECT vec_id, "row", col, unnest([1, 2, 3]) AS c, unnest([r, g, b]) AS v FROM px),
+z1 AS (SELECT vec_id, c, o AS "row", col, sum(v * w) AS v FROM ch JOIN tw ON "row" = k GROUP BY ALL), z2 AS (SELECT vec_id, c, "row", o AS col, round_even(sum(v * w), 0) AS v FROM z1 JOIN tw ON col = k GROUP BY ALL),
+y1 AS (SELECT z2.vec_id, c, "row" - k AS "row", col, sum(v * w) AS v FROM z2, {_K1} t WHERE "row" - k BETWEEN 0 AND {_SIDE - 1} GROUP BY ALL), y2 AS (SELECT y1.vec_id, c, "row", col - k AS col, round_even(sum(v * w), 0) AS v FROM y1, {_K1} t WHERE col - k BETWEEN 0 AND {_SIDE - 1} GROUP BY ALL),
+fl AS MATERIALIZED (SELECT vec_id, "row", col, max(v) FILTER (c = 1) AS r, max(v) FILTER (c = 2) AS g, max(v) FILTER (c = 3) AS b FROM y2 GROUP BY ALL), h1 AS ({_hsv_of('fl')}),
+st AS (SELECT vec_id, "row", col, h * 6 AS six, s, CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE v END AS v FROM (SELECT *, min(v) OVER (PARTITION BY vec_id) AS lo, max(v) OVER (PARTITION BY vec_id) AS hi FROM h1)),
+sx AS (SELECT vec_id, "row", col, CAST(floor(six) AS INT) AS k, v * s AS f, v * s * (1 - abs(six - 2 * floor(six / 2) - 1)) AS n, v - v * s AS m FROM st),
+en AS MATERIALIZED (SELECT vec_id, "row", col, round_even((CASE WHEN k IN (0, 5) THEN f WHEN k IN (1, 4) THEN n ELSE 0 END + m) * 255, 0) AS r, round_even((CASE WHEN k IN (1, 2) THEN f WHEN k IN (0, 3) THEN n ELSE 0 END + m) * 255, 0) AS g, round_even((CASE WHEN k IN (3, 4) THEN f WHEN k IN (2, 5) THEN n ELSE 0 END + m) * 255, 0) AS b FROM sx),
+h2 AS ({_hsv_of('en')}), m0 AS MATERIALIZED (SELECT vec_id, "row", col, "row" * {_SIDE} + col AS pt FROM h2 WHERE h BETWEEN 0.05 AND 0.45 AND s >= 0.15 AND v >= 0.10),
+{_labels('c0', 'm0', _EIGHT)}, m1 AS MATERIALIZED (SELECT vec_id, pt FROM c0 JOIN (SELECT vec_id, root FROM c0 GROUP BY 1, 2 HAVING count(*) >= {_LEAST}) USING (vec_id, root)),
+bg AS MATERIALIZED (SELECT vec_id, "row", col, "row" * {_SIDE} + col AS pt FROM en WHERE (vec_id, "row" * {_SIDE} + col) NOT IN (SELECT (vec_id, pt) FROM m1)), {_labels('cb', 'bg', _FOUR)},
+sea AS MATERIALIZED (SELECT DISTINCT vec_id, root FROM cb WHERE pt // {_SIDE} IN (0, {_SIDE - 1}) OR pt % {_SIDE} IN (0, {_SIDE - 1})), m2 AS MATERIALIZED (SELECT vec_id, "row", col FROM en WHERE (vec_id, "row" * {_SIDE} + col) NOT IN (SELECT (vec_id, pt) FROM cb JOIN sea USING (vec_id, root))),
+dl AS MATERIALIZED (SELECT DISTINCT vec_id, "row" + y AS "row", col + x AS col FROM m2, {_ROUND} WHERE "row" + y BETWEEN 0 AND {_SIDE - 1} AND col + x BETWEEN 0 AND {_SIDE - 1}),
+mk AS MATERIALIZED (SELECT vec_id, "row" + y AS "row", col + x AS col, ("row" + y) * {_SIDE} + col + x AS pt FROM dl, {_ROUND} WHERE "row" + y BETWEEN 0 AND {_SIDE - 1} AND col + x BETWEEN 0 AND {_SIDE - 1} GROUP BY ALL HAVING count(*) = 29),
+im AS MATERIALIZED (SELECT en.vec_id, en."row", en.col, r, g, b, mk.pt IS NOT NULL AS inside FROM en LEFT JOIN mk ON mk.vec_id = en.vec_id AND mk."row" = en."row" AND mk.col = en.col)"""
+
+
+@query(f"WITH RECURSIVE {_PIPELINE} SELECT vec_id, count(*) FILTER (inside) AS n_mask, coalesce(sum(r) FILTER (inside), 0)::BIGINT AS r, coalesce(sum(g) FILTER (inside), 0)::BIGINT AS g, coalesce(sum(b) FILTER (inside), 0)::BIGINT AS b FROM im GROUP BY 1")
+def img13_pipeline(spark, d):
+    """IMG01-IMG13, SNK07, SNK08: mask and masked image in their base64 forms, read back and summed."""
+    out = image.with_base64(image.preprocessed(colour_images(spark, d), _SIDE, _LEAST), "masked", "mask").select("path", F.unbase64("masked_base64").alias("data"), F.unbase64("mask_base64").alias("mask"))
+    images = out.select("path", F.lit(_SIDE).alias("h"), F.lit(_SIDE).alias("w"), F.lit(3).alias("c"), "data").join(out.select("path", "mask"), "path")
+    sums = image.mapped(images, lambda a: dict(zip("rgb", a.astype(int).sum((0, 1)).tolist())), "r bigint, g bigint, b bigint")
+    n = out.select("path", F.length(F.replace(F.hex("mask"), F.lit("00"), F.lit(""))).alias("ff")).select("path", (F.col("ff") / 2).cast("bigint").alias("n_mask"))
+    return _keyed(sums.join(n, "path"))
+
+
+_SHAPE = f"""big AS (SELECT vec_id, root FROM cm GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY count(*) DESC, root) = 1), p AS (SELECT cm.vec_id, cm.pt // {{side}} AS y, cm.pt % {{side}} AS x FROM cm JOIN big USING (vec_id, root)),
+w AS (SELECT p.vec_id, p.y, p.x, count(*) AS k FROM p JOIN p q ON q.vec_id = p.vec_id AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 GROUP BY ALL),
+rim AS MATERIALIZED (SELECT vec_id, y, x FROM w WHERE k < 9), pq AS (SELECT a.vec_id, a.y AS y1, a.x AS x1, b.y AS y2, b.x AS x2 FROM rim a JOIN rim b ON a.vec_id = b.vec_id AND (a.y <> b.y OR a.x <> b.x)),
+side AS (SELECT vec_id, y1, x1, y2, x2 FROM pq JOIN rim r USING (vec_id) GROUP BY ALL HAVING min((x2 - x1) * (r.y - y1) - (y2 - y1) * (r.x - x1)) >= 0
+ AND count(*) FILTER ((x2 - x1) * (r.y - y1) = (y2 - y1) * (r.x - x1) AND ((x2 - x1) * (r.x - x1) + (y2 - y1) * (r.y - y1) < 0 OR (x2 - x1) * (r.x - x1) + (y2 - y1) * (r.y - y1) > (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))) = 0),
+hull AS (SELECT vec_id, abs(sum(x1 * y2 - y1 * x2)) / 2 AS hull FROM side GROUP BY 1),
+t AS (SELECT vec_id, count(*) AS area, count(*) FILTER (k < 9) AS perimeter, avg(x) AS cx, avg(y) AS cy, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS cxy, count(*) / ((max(x) - min(x) + 1) * (max(y) - min(y) + 1)) AS extent FROM w GROUP BY 1),
+ex AS (SELECT *, 4 * sqrt(greatest(0, (vx + vy) / 2 + sqrt((vx - vy) * (vx - vy) / 4 + cxy * cxy))) AS major, 4 * sqrt(greatest(0, (vx + vy) / 2 - sqrt((vx - vy) * (vx - vy) / 4 + cxy * cxy))) AS minor FROM t),
+sh AS (SELECT ex.*, CASE WHEN major > 0 THEN sqrt(greatest(0, 1 - (minor / major) * (minor / major))) ELSE 0 END AS ecc, CASE WHEN area >= 3 THEN least(1, area / greatest(coalesce(hull, 0), 1)) ELSE 1 END AS solidity FROM ex LEFT JOIN hull USING (vec_id))"""
+
+
+@query(f"""WITH RECURSIVE {_PIPELINE}, {_labels('cm', 'mk', _EIGHT)}, {_SHAPE.format(side=_SIDE)},
+ms AS MATERIALIZED (SELECT * FROM im WHERE inside), hv AS ({_hsv_of('ms')}), nb AS (SELECT vec_id, unnest([0, 16, 24]) AS base, unnest([16, 8, 4]) AS n, unnest([h, s, v]) AS x FROM hv),
+hb AS (SELECT vec_id, base + least(n - 1, CAST(floor(x * n) AS INT)) AS i, count(*) AS k FROM nb WHERE x BETWEEN 0 AND 1 GROUP BY ALL), ht AS (SELECT vec_id, i, k / sum(k) OVER (PARTITION BY vec_id, CASE WHEN i < 16 THEN 0 WHEN i < 24 THEN 1 ELSE 2 END) AS f FROM hb),
+mo AS (SELECT vec_id, c, v, avg(v) OVER q AS mu, stddev_pop(v) OVER q AS sd FROM (SELECT vec_id, unnest([0, 1, 2]) AS c, unnest([r, g, b]) AS v FROM ms) WINDOW q AS (PARTITION BY vec_id, c)),
+m3 AS (SELECT vec_id, 28 + 3 * c AS i, any_value(mu) AS mu, any_value(sd) AS sd, CASE WHEN any_value(sd) > 0 THEN avg((v - mu) * (v - mu) * (v - mu)) / (any_value(sd) * any_value(sd) * any_value(sd)) ELSE 0 END AS sk FROM mo GROUP BY vec_id, c),
+g AS (SELECT vec_id, "row", col, CASE WHEN inside THEN 0.2989::DOUBLE * r + 0.5870::DOUBLE * g + 0.1140::DOUBLE * b ELSE 0 END AS v FROM im WHERE vec_id IN (SELECT vec_id FROM ms)), tx AS (WITH {_GLCM[len(_G) + 2:].replace(", 5) AS", ", 12) AS")}),
+f AS (SELECT vec_id, i, f FROM ht UNION ALL SELECT vec_id, unnest([i, i + 1, i + 2]), unnest([mu, sd, sk]) FROM m3 UNION ALL SELECT vec_id, unnest([37, 38, 39, 40]), unnest([contrast, correlation, energy, homogeneity]) FROM tx
+ UNION ALL SELECT vec_id, unnest([41, 42, 43, 44, 45, 46, 47, 48, 49]), unnest([area, perimeter, cx, cy, major, minor, ecc, solidity, extent]::DOUBLE[]) FROM sh)
+SELECT vec_id, i::INT AS i, round(f, 4) AS value FROM f WHERE round(f, 4) <> 0""")
 def img17_features(spark, d):
-    out = image.feature_table(_images(spark, d), 64, 20)
-    return out.select("path", "label", F.transform("features", lambda v: F.round(v, 5)).alias("features"))
+    """IMG17, IMG18: the entries of the feature vectors that are not zero."""
+    out = _keyed(image.feature_table(colour_images(spark, d), _SIDE, _LEAST).select("path", F.posexplode("features").alias("i", "value")))
+    return out.select("vec_id", "i", F.round("value", 4).alias("value")).where("value != 0")
+
+
+@query(f"""WITH RECURSIVE {_G}, mk AS MATERIALIZED (SELECT vec_id, "row", col, "row" * 8 + col AS pt FROM g WHERE v >= 128), {_labels('cm', 'mk', _EIGHT)}, {_SHAPE.format(side=8)}
+SELECT vec_id, area::DOUBLE AS area, perimeter::DOUBLE AS perimeter, round(cx, 5) AS centroid_x, round(cy, 5) AS centroid_y, round(major, 5) AS major, round(minor, 5) AS minor, round(ecc, 5) AS eccentricity, round(solidity, 5) AS solidity, round(extent, 5) AS extent FROM sh""")
+def img16_shape(spark, d):
+    kernel = lambda a: {k: float(v) for k, v in zip(pixels.SHAPE, pixels.shape(a[:, :, 0] >= 128))}
+    out = image.mapped(_images(spark, d), kernel, ", ".join(f"{c} double" for c in pixels.SHAPE)).where("area > 0")
+    return _keyed(out.select("path", *[F.round(c, 5).alias(c) for c in pixels.SHAPE]))
 
 
 @query()
+def img17_features_full(spark, d):
+    """The features at the operators' own canvas and areas."""
+    return _keyed(image.feature_table(colour_images(spark, d)).select("path", F.transform("features", lambda v: F.round(v, 5)).alias("features")))
+
+
+@query(f"""WITH {CHANNELS}, hv AS ({_hsv_of('px')}), x AS (SELECT px.*, s, v, round_even(round(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b, 6), 0) AS y, v > 0.30 AND v < 0.75 AND s < 0.32 AND r > b AS dull FROM px JOIN hv USING (vec_id, "row", col)),
+d AS (SELECT *, dull OR (v > 0.60 AND s < 0.20) AS spot, coalesce(lead(y) OVER (PARTITION BY vec_id, "row" ORDER BY col), y) - y AS dx, coalesce(lead(y) OVER (PARTITION BY vec_id, col ORDER BY "row"), y) - y AS dy FROM x),
+a AS (SELECT vec_id, count(*) FILTER (spot) AS n, round(count(*) FILTER (spot) / 64, 5) AS coverage, round(avg(v) FILTER (spot), 5) AS lum, round(avg(sqrt(dx * dx + dy * dy)) FILTER (spot), 5) AS rough, round(count(*) FILTER (dull) / count(*) FILTER (spot), 5) AS brown FROM d GROUP BY 1)
+SELECT vec_id, CASE WHEN n >= 4 THEN coverage END AS coverage, CASE WHEN n >= 4 THEN lum END AS lum, CASE WHEN n >= 4 THEN rough END AS rough, CASE WHEN n >= 4 THEN brown END AS brown FROM a""")
 def img20_signatures(spark, d):
-    return _keyed(image.signatures(_images(spark, d), 4).withColumns({c: F.round(c, 5) for c in ("coverage", "lum", "rough", "brown")}))
+    return _keyed(image.signatures(colour_images(spark, d), 4).withColumns({c: F.round(c, 5) for c in ("coverage", "lum", "rough", "brown")}))
+
+
+@query(f"""WITH {_G}, y AS (SELECT o, k, w / sum(w) OVER (PARTITION BY o) AS w FROM (SELECT o, k, greatest(0, 1 - abs((k + 0.5 - (o + 0.5) * 1.6) / 1.6)) AS w FROM range(0, 5) a(o), range(0, 8) b(k))),
+x AS (SELECT o, k, w / sum(w) OVER (PARTITION BY o) AS w FROM (SELECT o, k, greatest(0, 1 - abs(k + 0.5 - (o + 0.5) * 8 / 11)) AS w FROM range(0, 11) a(o), range(0, 8) b(k)))
+SELECT vec_id, y.o::INT AS "row", x.o::INT AS col, round(sum(v * y.w * x.w) + 1e-7, 4) AS v FROM g JOIN y ON g."row" = y.k JOIN x ON g.col = x.k GROUP BY ALL""")
+def img02_resized(spark, d):
+    """Smaller in one direction (the filter widens) and larger in the other."""
+    kernel = lambda a: {"v": pixels.resize(a[:, :, 0].astype(float), 5, 11).ravel().tolist()}
+    px = image.pixel_rows(_keyed(image.mapped(_images(spark, d), kernel, "v array<double>")), "vec_id", F.col("v"), 11)
+    return px.withColumn("v", F.round(F.col("v") + 1e-7, 4))
+
+
+@query("""WITH e AS (SELECT vec_id, [CAST(q AS DOUBLE) * (CASE WHEN vec_id % 2 = 0 THEN 1 ELSE 300 END) + (CASE WHEN vec_id % 2 = 0 THEN 0.5 ELSE 100 END) FOR q IN embedding] AS x FROM embeddings)
+SELECT vec_id, list_sum([CASE WHEN list_min(x) >= 0 AND list_max(x) <= 1 THEN round_even(z * 255, 0) ELSE least(255, greatest(0, round_even(z, 0))) END FOR z IN x])::BIGINT AS total FROM e""")
+def img01_bytes(spark, d):
+    """Floats within [0, 1] are scaled, others clipped; one rule an image."""
+    @F.pandas_udf("bigint")
+    def total(ids: pd.Series, x: pd.Series) -> pd.Series:
+        unit = lambda i, v: np.asarray(v, np.float64) * (1 if i % 2 == 0 else 300) + (0.5 if i % 2 == 0 else 100)
+        return pd.Series([int(pixels.to_uint8(unit(i, v)).astype(int).sum()) for i, v in zip(ids, x)], dtype="int64")
+
+    return table(spark, d, "embeddings").select("vec_id", total("vec_id", "embedding").alias("total"))
 
 
-def _toy_score(views):
-    """A stand-in scorer: softmax of three channel means."""
+def _channel_score(views):
+    """Softmax of the mean brightness of the upper half, the lower half and the whole."""
     z = np.array([[v[: len(v) // 2].mean(), v[len(v) // 2 :].mean(), v.mean()] for v in views]) / 64
     e = np.exp(z - z.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
@@ -202,5 +292,5 @@ def _toy_score(views):
 
 @query()
 def img21_scored_views(spark, d):
-    out = image.scored_views(_images(spark, d), _toy_score, ["a", "b", "c"], 8, 32)
+    out = image.scored_views(_images(spark, d), _channel_score, ["a", "b", "c"], 8, 32)
     return _keyed(out.select("path", F.round("uncertainty", 6).alias("uncertainty"), F.round(F.element_at("scores", 1)["p"], 6).alias("p_first")))
