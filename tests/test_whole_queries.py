@@ -1,4 +1,4 @@
-"""Queries over all rows and classes, beside those whose SQL takes a part."""
+"""Queries lose no photograph and no class."""
 
 from pyspark.sql import functions as F
 
@@ -16,8 +16,10 @@ def test_confusion_holds_every_class(spark):
     pairs = predictions(spark, DATA).where("true_class IS NOT NULL AND pred IS NOT NULL")
     wide = QUERIES["snk02_wide_confusion"](spark, DATA)
     counts = [c for c in wide.columns if c not in ("run_tag", "true_class")]
-    assert set(counts) >= {r.pred for r in pairs.select("pred").distinct().collect()}
-    known = wide.where("true_class IS NOT NULL").collect()
-    assert sum(r[c] for r in known for c in counts) > sum(r[c] for r in known for c in ("healthy", "leaf_spot", "gray_mold"))
+    named = {r.pred for r in pairs.select("pred").distinct().collect()}
+    assert named <= set(counts) or "other" in counts
+    known = wide.collect()
+    assert sum(r[c] for r in known for c in counts) == pairs.count()
     matrix = QUERIES["src13_snk02_matrix"](spark, DATA)
-    assert matrix.count() == len(counts) ** 2 and matrix.agg(F.sum("n")).first()[0] == sum(r[c] for r in known for c in counts)
+    observed = named | {r.true_class for r in pairs.select("true_class").distinct().collect()}
+    assert matrix.count() == len(observed) ** 2 and matrix.agg(F.sum("n")).first()[0] == pairs.count()
