@@ -38,14 +38,15 @@ def histogram(df: DataFrame, keys: list[str], value: Column, bins: int, low: flo
     return n.withColumn("share", F.col("n") / total)
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], bins: int = 4096) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], bins: int = 512) -> DataFrame:
     """keys and a column a share: exact quantiles with linear interpolation; NULL and NaN are left out, so may be groups.
 
     Values are counted by range first (``bins`` a group between its least and
     its largest), which says in which range each quantile lies; only the
     different values of those ranges are then counted and looked through.
     Both counts are aggregated before they are shuffled, so no task holds a
-    group, however large.
+    group, however large.  The rows are read three times; save them first
+    where that is dear.
     """
     v = F.col(value).cast("double")
     safe = [F.struct(k).alias(f"_k{i}") for i, k in enumerate(keys)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from furrow.operators import filters, metrics, stats
 from furrow.plans.registry import query
 from furrow.plans.sql import FS, M, P, V
+from furrow.session import Scratch
 from furrow.sources.tables import disease_info, filter_scores, manifest, predictions, table, vectors
 
 R = ["run_tag"]
@@ -32,6 +33,11 @@ def _nudged(df, *cols):
     return df.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in cols})
 
 
+def _saved_vectors(spark, d):
+    """The vectors as a written table, for operators that read them more than once."""
+    return Scratch(spark).save(vectors(spark, d))
+
+
 def _conf(spark, d):
     return metrics.confusion(predictions(spark, d), R)
 
@@ -155,7 +161,7 @@ def agg15_name_leaks(spark, d):
 
 @query(f"WITH {V}, e AS ({_DIMS}) SELECT label, CAST(dim AS INT) AS dim, round(quantile_cont(value, 0.25) + 1e-9, 6) AS q25, round(quantile_cont(value, 0.75) + 1e-9, 6) AS q75 FROM e GROUP BY label, dim")
 def agg16_quartiles(spark, d):
-    return _nudged(stats.quartiles(stats.exploded(vectors(spark, d), ["label"]), ["label", "dim"]), "q25", "q75")
+    return _nudged(stats.quartiles(stats.exploded(_saved_vectors(spark, d), ["label"]), ["label", "dim"]), "q25", "q75")
 
 
 _RIVALS = f"""{CONF}, pooled AS (SELECT true_class, pred, sum(n) AS n FROM c WHERE true_class <> pred GROUP BY 1, 2),
@@ -174,7 +180,7 @@ s AS (SELECT b.class, b.rival, CAST(a.dim AS INT) AS dim, abs(a.q25 - r.q25) / g
 t AS (SELECT *, max(score) OVER (PARTITION BY class, rival) AS top FROM s)
 SELECT class, rival, dim, row_number() OVER (PARTITION BY class, rival ORDER BY score DESC, dim) AS place, round(score, 6) AS score FROM t WHERE score > 0.30 OR top <= 0.30 QUALIFY place <= 3""")
 def agg17_separation(spark, d):
-    quarts = stats.quartiles(stats.exploded(vectors(spark, d), ["label"]), ["label", "dim"])
+    quarts = stats.quartiles(stats.exploded(_saved_vectors(spark, d), ["label"]), ["label", "dim"])
     out = stats.separation(quarts, _rivals(spark, d).select("class", "rival"))
     return _r6(out.select("class", "rival", "dim", "place", "score"), "score")
 

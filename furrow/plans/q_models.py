@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions import clean
 from furrow.operators import audit, decision, graph, joins, metrics, sampling, similarity, stats
-from furrow.plans.q_metrics import _DIMS, _RIVALS, _rivals
+from furrow.plans.q_metrics import _DIMS, _RIVALS, _rivals, _saved_vectors
 from furrow.plans.registry import query
 from furrow.plans.sql import M, P, V, base, md5_order, stem
 from furrow.sources.tables import disease_info, manifest, predictions, table, vectors
@@ -87,7 +87,7 @@ z AS (SELECT * FROM t WHERE score > 0.30 OR top <= 0.30 QUALIFY row_number() OVE
 
 @query(f"WITH {_SEP} SELECT v.vec_id, v.label, z.rival FROM v JOIN z ON v.label = z.class WHERE v.x[z.dim + 1] BETWEEN z.r25 AND z.r75 GROUP BY 1, 2, 3 HAVING count(*) = 3")
 def qa01_label_audit(spark, d):
-    rows = vectors(spark, d)
+    rows = _saved_vectors(spark, d)
     quarts = stats.quartiles(stats.exploded(rows, ["label"]), ["label", "dim"])
     ranges = stats.separation(quarts, _rivals(spark, d).select("class", "rival"))
     return joins.inside_rival_range(rows, ranges, 3)
