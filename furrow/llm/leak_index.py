@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.text import words
+from furrow.llm.text import spread, words
 from furrow.session import Scratch
 
 #: Item words of one index shard, shards of one pass over the corpus, and words of one passage.
@@ -164,6 +164,7 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = 12, passage: int =
     named = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
     sharded, n = _shards(named, run, shard_words)
     corpus = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    corpus = spread(corpus)
     out = None
     for first in range(0, n, PASS_SHARDS):
         sent = []

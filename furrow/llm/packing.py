@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.llm.text import spread
 from furrow.session import Scratch
 
 #: Where the public vocabulary files are, and which one sizes are counted with.
@@ -50,7 +51,7 @@ def token_counts(documents: DataFrame, vocabulary: str | None = None) -> DataFra
     """(doc_id, n_tokens) of whole texts; NULL and empty texts have 0 tokens."""
     path = vocabulary or f"{VOCABULARIES}/{VOCABULARY}"
     rows = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(_counter(path), "doc_id bigint, n_tokens bigint")
+    return spread(rows).mapInArrow(_counter(path), "doc_id bigint, n_tokens bigint")
 
 
 @dataclass

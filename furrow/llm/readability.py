@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.llm.text import plain
+from furrow.llm.text import plain, spread
 
 # Three-letter codes of languages and the two letters that say the same.
 CODES = {"eng": "en", "fra": "fr", "fre": "fr", "deu": "de", "ger": "de", "spa": "es", "ita": "it", "por": "pt", "nld": "nl", "dut": "nl"}
@@ -84,6 +84,7 @@ def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen: Counter = Counter()
         for code, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            seen[code, ""] += 1  # the rows of the language
             for word, k in Counter(NAME.findall(plain(text).lower())).items():
                 word = f" {word} "
                 for i in range(len(word) - 2):
@@ -91,11 +92,11 @@ def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in seen], pa.string()), pa.array([t for _, t in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["code", "triple", "n"])
 
 
-def fit_languages(documents: DataFrame, lang: str = "lang", sample: int = 4000, least: int = 8, triples: int = 5000, known: float = 0.5, seed: int = 3) -> Languages:
+def fit_languages(documents: DataFrame, lang: str = "lang", sample: int = 1500, least: int = 8, triples: int = 5000, known: float = 0.5, seed: int = 3) -> Languages:
     """Model of the languages that ``lang`` names, in two- or three-letter codes with or without a region.
 
-    Fitted on whole texts of about ``sample`` of the labelled rows, drawn by
-    hash; a few wrong labels do no harm.  Languages with fewer than ``least``
+    Fitted on the labelled ones, as whole texts, of about ``sample`` rows drawn
+    by hash; a few wrong labels do no harm.  Languages with fewer than ``least``
     drawn rows are left out, and each keeps its ``triples`` most frequent
     letter triples.  Without the column, or without such rows, the model
     knows no language.
@@ -106,16 +107,16 @@ def fit_languages(documents: DataFrame, lang: str = "lang", sample: int = 4000,
     short = F.create_map(*(F.lit(x) for pair in CODES.items() for x in pair))
     rows = documents.select(F.col(lang).cast("string").alias("lang"), "text").where("lang IS NOT NULL AND text IS NOT NULL").select(code.alias("code"), "text")
     rows = rows.select(F.coalesce(F.try_element_at(short, "code"), "code").alias("code"), "text").where("length(code) = 2")
-    share = min(1.0, sample / max(1, rows.count()))
+    share = min(1.0, sample / max(1, documents.count()))
     drawn = rows.where(F.shiftrightunsigned(F.xxhash64("text", F.lit(seed)), 12) < F.lit(int(share * (1 << 52))))
-    counted = drawn.groupBy("code").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") >= least)
-    names = sorted(r.code for r in counted.select("code").collect())
-    per = drawn.where(F.col("code").isin(names)).mapInArrow(_triples, "code string, triple string, n bigint").groupBy("code", "triple").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("n"), "triple"))
-    found = per.withColumn("place", place).where(F.col("place") <= triples).collect()
+    per = spread(drawn).mapInArrow(_triples, "code string, triple string, n bigint").groupBy("code", "triple").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("code").orderBy(F.col("triple") != "", F.desc("n"), "triple"))
+    found = per.withColumn("place", place).where(F.col("place") <= triples + 1).collect()
+    names = sorted(r.code for r in found if r.triple == "" and r.n >= least)
     counts: dict[str, dict[str, int]] = {c: {} for c in names}
     for r in found:
-        counts[r.code][r.triple] = r.n
+        if r.code in counts and r.triple:
+            counts[r.code][r.triple] = r.n
     every = {t for c in counts.values() for t in c}
     total = {c: sum(counts[c].values()) + 0.5 * len(every) for c in names}
     model = {t: tuple(math.log((counts[c].get(t, 0) + 0.5) / total[c]) for c in names) for t in every}
@@ -199,7 +200,7 @@ def reading_levels(documents: DataFrame, languages: Languages | None = None) ->
     batches; repeated ids repeat.
     """
     languages = languages or fit_languages(documents)
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_measurer(languages), SCHEMA)
+    return spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(_measurer(languages), SCHEMA)
 
 
 def demanding(levels: DataFrame, least: float = 16.0) -> DataFrame:

@@ -6,6 +6,7 @@ import html
 import unicodedata
 
 import regex
+from pyspark.sql import DataFrame
 
 #: Characters that show nothing: format characters, variation selectors, joiners, soft hyphens.
 INVISIBLE = regex.compile(r"[\p{Cf}\p{Default_Ignorable_Code_Point}]+")
@@ -68,3 +69,13 @@ def words(text: str) -> list[str]:
     """Runs of letters and digits in one spelling."""
     clear = plain(text).casefold()
     return WORD.findall(clear if clear.isascii() else unicodedata.normalize("NFKC", clear))
+
+
+def spread(documents: DataFrame) -> DataFrame:
+    """The rows in as many tasks as run at once.
+
+    Texts cost far more to work through than to move, and a small table is a
+    single file.  Tables read in that many tasks anyway are never shuffled.
+    """
+    n = documents.sparkSession.sparkContext.defaultParallelism
+    return documents if documents.rdd.getNumPartitions() >= n else documents.repartition(n)
