@@ -568,7 +568,8 @@ def greedy_search(graph: VectorGraph, queries: DataFrame, top: int = 5, beam: in
         if looks.isEmpty():
             break
         ahead = looks.join(walk, "pos").select("q", F.explode("nb").alias("pos")).distinct()
-        fresh = ahead.join(state.select("q", "pos"), ["q", "pos"], "left_anti")
+        # Written, so that its size is known and the nodes are only shuffled where it is large.
+        fresh = scratch.save(ahead.join(state.select("q", "pos"), ["q", "pos"], "left_anti"))
         met = fresh.join(graph.nodes.select("pos", "v"), "pos").join(vectors, "q").select("q", "pos", "v", "qv").mapInArrow(measure, schema)
         found = state.unionByName(met.withColumn("done", F.lit(False)))
     spread = state.join(graph.named(top + 1).select("pos", "ids"), "pos").select("q", F.sqrt(F.col("d").cast("double")).alias("d"), F.explode("ids").alias("id"))
