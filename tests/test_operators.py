@@ -321,3 +321,37 @@ def test_placed_counts_through_ranges(spark):
         want = sorted((a, i) for g, a, i in rows if g == k)
         assert [(r.a, r.i) for r in sorted((r for r in out if r.k == k), key=lambda r: r.place)] == want
         assert sorted(r.place for r in out if r.k == k) == list(range(1, len(want) + 1))
+
+
+def test_views_of_an_image(spark):
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 256, (40, 60, 3), dtype=np.uint8)
+    views = pixels.crops(a, 8, 16)
+    assert len(views) == 8 and all(v.shape == (16, 16, 3) for v in views)
+    assert all(np.array_equal(views[i][:, ::-1], views[i + 1]) for i in range(0, 8, 2))
+    assert np.array_equal(views[0], pixels.resize(a, 16, 16))
+    y, x = (40 - 22) // 2, (60 - 33) // 2
+    assert np.array_equal(views[6], pixels.resize(a[y : y + 22, x : x + 33], 16, 16))  # the smallest crop, 0.55 of each side
+    again, other = pixels.perturbed(a / 255, 5, 1), pixels.perturbed(a / 255, 5, 2)
+    assert len(again) == 5 and all(v.min() >= 0 and v.max() <= 1 and abs(v - a / 255).max() < 0.08 for v in again)
+    assert np.array_equal(again[0], pixels.perturbed(a / 255, 5, 1)[0]) and not np.array_equal(again[0], other[0])
+    rows = spark.createDataFrame([("a.png", 40, 60, 3, a.tobytes()), ("bad.png", 4, 4, 3, b"x"), (None, None, None, None, None)], image.IMAGE)
+    score = lambda vs: np.array([[v.mean() / 255, 1 - v.mean() / 255] for v in vs])
+    got = {r.path: r for r in image.scored_views(rows, score, ["p", "q"], 8, 16).collect()}
+    assert got["a.png"].scores[0].p == pytest.approx(np.mean([v.mean() / 255 for v in views]))
+    assert got["a.png"].uncertainty == pytest.approx(np.std([v.mean() / 255 for v in views])) and got["bad.png"].scores is None
+
+
+def test_pipeline_at_its_own_canvas():
+    a = np.full((90, 120, 3), 120, np.uint8)
+    a[25:65, 30:90] = (40, 200, 40)  # a leaf
+    a[40:46, 55:62] = (120, 120, 120)  # with a hole
+    a[5:7, 5:7] = (40, 200, 40)  # and a speck
+    s = pixels.pipeline(a)
+    assert s["mask"].shape == (256, 256) and s["masked"].shape == (256, 256, 3)
+    assert s["mask"][128, 128] and not s["mask"][17, 13] and not s["mask"][10, 200]
+    assert abs(s["mask"].sum() - 40 / 90 * 256 * 60 / 120 * 256) < 0.12 * s["mask"].sum()
+    assert not s["masked"][~s["mask"]].any() and np.array_equal(s["masked"][s["mask"]], s["enhanced"][s["mask"]])
+    f = pixels.features(s["masked"], s["mask"])
+    assert len(f) == 50 and f[:16].sum() == pytest.approx(1) and f[41] == s["mask"].sum()
+    assert not pixels.features(a, np.zeros((90, 120), bool)).any()
