@@ -86,20 +86,29 @@ def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for code, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             seen[code, ""] += 1  # the rows of the language
             for word, k in Counter(NAME.findall(plain(text).lower())).items():
+                seen[code, f"={word}"] += k  # no triple has this sign
                 word = f" {word} "
                 for i in range(len(word) - 2):
                     seen[code, word[i : i + 3]] += k
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in seen], pa.string()), pa.array([t for _, t in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["code", "triple", "n"])
 
 
-def fit_languages(documents: DataFrame, lang: str = "lang", sample: int = 1500, least: int = 8, triples: int = 5000, known: float = 0.5, seed: int = 3) -> Languages:
+def _alike(a: dict[str, int], b: dict[str, int]) -> float:
+    """Cosine of two languages' word counts."""
+    return sum(n * b.get(w, 0) for w, n in a.items()) / math.sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values()) or 1)
+
+
+def fit_languages(documents: DataFrame, lang: str = "lang", sample: int = 1500, least: int = 8, triples: int = 5000, known: float = 0.5, same: float = 0.6, seed: int = 3) -> Languages:
     """Model of the languages that ``lang`` names, in two- or three-letter codes with or without a region.
 
     Fitted on the labelled ones, as whole texts, of about ``sample`` rows drawn
     by hash; a few wrong labels do no harm.  Languages with fewer than ``least``
     drawn rows are left out, and each keeps its ``triples`` most frequent
-    letter triples.  Without the column, or without such rows, the model
-    knows no language.
+    letter triples.  A code whose words are as frequent as those of a code with
+    more text (cosine from ``same``) is a wrong label of that language and left
+    out, else texts of a kind that is often labelled wrong would be a language
+    of their own.  Without the column, or without such rows, the model knows
+    no language.
     """
     if lang not in documents.columns:
         return Languages([], {}, ())
@@ -110,15 +119,22 @@ def fit_languages(documents: DataFrame, lang: str = "lang", sample: int = 1500,
     share = min(1.0, sample / max(1, documents.count()))
     drawn = rows.where(F.shiftrightunsigned(F.xxhash64("text", F.lit(seed)), 12) < F.lit(int(share * (1 << 52))))
     per = spread(drawn).mapInArrow(_triples, "code string, triple string, n bigint").groupBy("code", "triple").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("code").orderBy(F.col("triple") != "", F.desc("n"), "triple"))
+    place = F.row_number().over(Window.partitionBy("code", F.startswith("triple", F.lit("="))).orderBy(F.col("triple") != "", F.desc("n"), "triple"))
     found = per.withColumn("place", place).where(F.col("place") <= triples + 1).collect()
     names = sorted(r.code for r in found if r.triple == "" and r.n >= least)
     counts: dict[str, dict[str, int]] = {c: {} for c in names}
+    words: dict[str, dict[str, int]] = {c: {} for c in names}
     for r in found:
         if r.code in counts and r.triple:
-            counts[r.code][r.triple] = r.n
-    every = {t for c in counts.values() for t in c}
-    total = {c: sum(counts[c].values()) + 0.5 * len(every) for c in names}
+            (words if r.triple[0] == "=" else counts)[r.code][r.triple] = r.n
+    total = {c: sum(counts[c].values()) for c in names}
+    kept: list[str] = []
+    for c in sorted(names, key=lambda c: (-total[c], c)):
+        if total[c] and all(_alike(words[c], words[k]) < same for k in kept):
+            kept.append(c)
+    names = sorted(kept)
+    every = {t for c in names for t in counts[c]}
+    total = {c: total[c] + 0.5 * len(every) for c in names}
     model = {t: tuple(math.log((counts[c].get(t, 0) + 0.5) / total[c]) for c in names) for t in every}
     return Languages(names, model, tuple(math.log(0.5 / total[c]) for c in names), known)
 

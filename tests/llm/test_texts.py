@@ -144,6 +144,14 @@ def test_languages(spark):
     assert readability.grades("The cat.", readability.Languages([], {}, ()))[0] is None
 
 
+def test_wrong_code_of_one_kind_of_text_is_no_language(spark):
+    hard = "The methodological significance of the physiological deterioration was established experimentally, and the relationship between the conditions and the contamination of the sample is provisional."
+    rows = [(SPEECH["en"], "en")] * 30 + [(hard, "en")] * 12 + [(hard, "pt")] * 12 + [(SPEECH["it"], "it")] * 9
+    m = readability.fit_languages(spark.createDataFrame(rows, "text string, lang string"))
+    assert m.names == ["en", "it"]
+    assert readability.grades(hard, m)[0] == "en" and readability.grades(SPEECH["it"], m)[0] == "it"
+
+
 def test_rated(spark):
     levels = spark.createDataFrame([(i, "en", float(i)) for i in range(10)] + [(90, "de", 3.0), (91, "en", None)], "doc_id bigint, language string, grade double")
     labels = [(i, r, 1 + i // 5) for i in range(10) for r in ("a", "b")] * 2 + [(0, "c", 5), (90, "a", 1), (91, "a", 1), (None, "a", 1), (3, "a", None)]
