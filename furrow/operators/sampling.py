@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from furrow.session import Scratch
 
+#: Clusters of one size whose splits are dealt in one row.
+DEALT = 1024
+
 
 def shuffled(col: str | Column, seed: int) -> Column:
     c = F.col(col) if isinstance(col, str) else col
@@ -117,27 +120,30 @@ def greedy_cluster_split(clusters: DataFrame, targets: dict[str, float], seed: i
     equal steps are taken together: clusters are folded as a histogram of
     sizes, whose entries are few (their sum bounds their number by a square
     root), each entry dealt in turn; a cluster then finds its split by its
-    rank among the clusters of its size.
+    rank among the clusters of its size, in the block of ``DEALT`` ranks that
+    holds it: a join on equal keys, a row a cluster.
     """
     sizes = clusters.groupBy("label", "n").agg(F.count("*").alias("m"))
     names = list(targets)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        placed, got, rows = 0, dict.fromkeys(names, 0), []
+        placed, got, rows = 0, [0] * len(names), []
+        shares = [targets[s] for s in names]
+        each = range(len(names))
         for n, m in sorted(zip(pdf.n.tolist(), pdf.m.tolist()), reverse=True):
-            runs: list[list] = []
-            for i in range(m):
-                placed += n
-                best = max(names, key=lambda s: targets[s] * placed - got[s])
-                got[best] += n
-                if runs and runs[-1][0] == best:
-                    runs[-1][2] = i + 1
-                else:
-                    runs.append([best, i, i + 1])
-            rows += [(pdf.label.iloc[0], n, s, a + 1, b) for s, a, b in runs]
-        return pd.DataFrame(rows, columns=["label", "n", "split", "low", "high"])
-
-    deal = sizes.groupBy("label").applyInPandas(fold, "label string, n bigint, split string, low bigint, high bigint")
-    r = ranked(clusters, ["label", "n"], "cluster", seed).drop("size")
-    on = (F.col("c.label") == F.col("d.label")) & (F.col("c.n") == F.col("d.n")) & F.col("c.rank").between(F.col("d.low"), F.col("d.high"))
-    return r.alias("c").join(deal.alias("d"), on).select("c.label", "c.cluster", "c.n", "d.split")
+            for block in range(0, m, DEALT):
+                dealt = bytearray()
+                for _ in range(min(DEALT, m - block)):
+                    placed += n
+                    best = max(each, key=[shares[s] * placed - got[s] for s in each].__getitem__)
+                    got[best] += n
+                    dealt.append(best)
+                rows.append((pdf.label.iloc[0], n, block // DEALT, bytes(dealt)))
+        return pd.DataFrame(rows, columns=["label", "n", "block", "dealt"])
+
+    deal = sizes.groupBy("label").applyInPandas(fold, "label string, n bigint, block bigint, dealt binary")
+    at = F.col("rank") - 1
+    r = ranked(clusters, ["label", "n"], "cluster", seed).drop("size").withColumn("block", F.floor(at / DEALT))
+    place = F.conv(F.hex(F.substring("dealt", (at % DEALT + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    split = F.get(F.array(*map(F.lit, names)), place)
+    return r.join(deal, ["label", "n", "block"]).select("label", "cluster", "n", split.alias("split"))

@@ -1,5 +1,6 @@
 """Core operators on small tables: empty ones, NULLs, ties, hot groups, and brute force where there is no SQL."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -355,3 +356,18 @@ def test_pipeline_at_its_own_canvas():
     f = pixels.features(s["masked"], s["mask"])
     assert len(f) == 50 and f[:16].sum() == pytest.approx(1) and f[41] == s["mask"].sum()
     assert not pixels.features(a, np.zeros((90, 120), bool)).any()
+
+
+def test_greedy_cluster_split_deals_many_of_one_size(spark):
+    n, targets = 2500, {"train": 0.7, "val": 0.2, "test": 0.1}
+    rows = [("a", f"c{i:04d}", 1) for i in range(n)] + [("a", "big", 7), ("b", "x", 2)]
+    out = sampling.greedy_cluster_split(spark.createDataFrame(rows, "label string, cluster string, n bigint"), targets, 13)
+    assert ">=" not in " ".join(line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
+    order = sorted((r[1] for r in rows if r[0] == "a"), key=lambda c: (c != "big", hashlib.md5(f"{c}:13".encode()).hexdigest()))
+    placed, got, want = 0, dict.fromkeys(targets, 0), {}
+    for c in order:
+        size = 7 if c == "big" else 1
+        placed += size
+        want[c] = max(targets, key=lambda s: targets[s] * placed - got[s])
+        got[want[c]] += size
+    assert {r.cluster: r.split for r in out.where("label = 'a'").collect()} == want and out.count() == len(rows)
