@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import time
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from furrow.session import Scratch
+
 IMAGE_ENDINGS = ("jpg", "jpeg", "png", "bmp", "tif", "tiff")
 
 MANIFEST = ("path string, final_class string, source_folder string, is_plantvillage string, pv_evidence string, split string, is_dup_copy string, dup_source string, dhash string")
@@ -28,13 +33,54 @@ ENTRY = (
 )
 
 
+def _entries(folder: str) -> Iterator[tuple[str, int, bool]]:
+    """(path, length, whether a folder) of what lies in a folder, hidden names left out as Spark does."""
+    hidden = lambda name: name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+    if folder.startswith(("/", "file:")):
+        # A large folder is passed through, never held.
+        with os.scandir("/" + folder.removeprefix("file:").lstrip("/")) as found:
+            for e in found:
+                if not hidden(e.name):
+                    yield f"file:{e.path}", 0 if e.is_dir() else e.stat().st_size, e.is_dir()
+    else:
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(folder)
+        for e in store.get_file_info(fs.FileSelector(at)):
+            if not hidden(e.base_name):
+                yield f"{folder.rstrip('/')}/{e.base_name}", e.size or 0, e.type == fs.FileType.Directory
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["path", "length", "folder"]
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            found = _entries(folder)
+            while part := list(islice(found, 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), (pa.string(), pa.int64(), pa.bool_()))], names=names)
+
+
+def listing(spark: SparkSession, root: str, recursive: bool = True, scratch: Scratch | None = None) -> DataFrame:
+    """path, length of every file below ``root``; the executors list the folders, level by level, so the driver holds no file's name."""
+    scratch = scratch or Scratch(spark)
+    folders, out = spark.createDataFrame([(root,)], "path string"), None
+    while True:
+        level = scratch.save(folders.mapInArrow(_listed, "path string, length bigint, folder boolean"))
+        part = level.where("NOT folder").select("path", "length")
+        out = part if out is None else out.unionByName(part)
+        folders = level.where("folder").select("path")
+        if not recursive or folders.isEmpty():
+            return out
+        folders = folders.repartition(spark.sparkContext.defaultParallelism)
+
+
 def image_listing(spark: SparkSession, root: str, endings: tuple[str, ...] = IMAGE_ENDINGS, recursive: bool = True, ends_with: str | None = None) -> DataFrame:
     """SRC01, SRC02, SRC08, SRC09: path, label (parent folder), name, length; contents are not read.
 
     Endings match in any case.  ``ends_with`` keeps names such as
     ``_preprocessed.png``.  An empty folder gives no rows.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(root).select("path", "length", "modificationTime")
+    raw = listing(spark, root, recursive)
     parts = F.split("path", "/")
     out = raw.select("path", F.get(parts, F.size(parts) - 2).alias("label"), F.element_at(parts, -1).alias("name"), "length")
     out = out.where(F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1)).isin(*endings))

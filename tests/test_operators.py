@@ -371,3 +371,14 @@ def test_greedy_cluster_split_deals_many_of_one_size(spark):
         want[c] = max(targets, key=lambda s: targets[s] * placed - got[s])
         got[want[c]] += size
     assert {r.cluster: r.split for r in out.where("label = 'a'").collect()} == want and out.count() == len(rows)
+
+
+def test_listing_is_not_the_drivers(spark, tmp_path):
+    for name in ("test/a/x.JPG", "test/a/_x.png", "test/b/deep/y.png", "test/b/.hidden.png", "z.txt", "_temporary/q.png"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"abc")
+    out = files.image_listing(spark, str(tmp_path))
+    assert {(r.path, r.label, r.name, r.length) for r in out.collect()} == {(f"file:{tmp_path}/test/a/x.JPG", "a", "x.JPG", 3), (f"file:{tmp_path}/test/b/deep/y.png", "deep", "y.png", 3)}
+    assert "binaryFile" not in out._jdf.queryExecution().executedPlan().toString()
+    (tmp_path / "empty").mkdir()
+    assert files.image_listing(spark, f"file://{tmp_path}/empty").count() == 0
