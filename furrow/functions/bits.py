@@ -12,8 +12,11 @@ dynamic programming is the diagonal: the number of differing bits.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,3 +130,93 @@ def close_pairs(left: DataFrame, right: DataFrame | None, k: int, scratch: Scrat
         close = close.where("x < y") if alone else close
         out = close if out is None else out.unionByName(close)
     return out.select(F.col("x").alias("a"), F.col("y").alias("b"), clean.hamming64("x", "y").alias("bits")).distinct()
+
+
+# ---- wide bounds: blocks of numbers compared pair by pair
+
+#: Numbers of a block at most, and pairs of numbers and rows held at once.
+BLOCK = 1 << 17
+TILE = 1 << 16
+HELD = 1 << 21
+
+
+def _blocks(rows: pa.Table) -> pa.Table:
+    x = rows["hash"].combine_chunks().to_numpy()
+    return pa.table({"block": [rows["block"][0].as_py()], "m": pa.array([x.tobytes()], pa.binary())}, schema=pa.schema([("block", pa.int32()), ("m", pa.binary())]))
+
+
+def _near(a: np.ndarray, b: np.ndarray, same: bool, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, bits) of the pairs at most k bits apart, of i < j within one block."""
+    for i in range(len(a)):
+        for at in range(i + 1 if same else 0, len(b), TILE):
+            bits = np.bitwise_count(a[i] ^ b[at : at + TILE])
+            j = np.flatnonzero(bits <= k)
+            if len(j):
+                yield np.full(len(j), i), j + at, bits[j]
+
+
+def _forest(u: np.ndarray, v: np.ndarray, bits: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of fewer than n, that join at every bound the same of n numbers as the given ones."""
+    root, out = np.arange(n), []
+    for d in np.unique(bits):
+        at = bits == d
+        before, x, y = root, u[at], v[at]
+        while len(x):
+            x, y = root[x], root[y]
+            x, y = x[x != y], y[x != y]
+            up = np.arange(n)
+            np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+            while not np.array_equal(up, up[up]):
+                up = up[up]
+            root = up[root]
+        tops = np.flatnonzero((before == np.arange(n)) & (root != np.arange(n)))
+        out.append((tops, root[tops], np.full(len(tops), d, np.uint8)))
+    return tuple(map(np.concatenate, zip(*out))) if out else (u, v, bits)
+
+
+def _comparer(k: int, links: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                a, b, same = np.frombuffer(r["a"], np.int64).view(np.uint64), np.frombuffer(r["b"], np.int64).view(np.uint64), r["i"] == r["j"]
+                counts, shift = np.zeros(WIDTH + 1, np.int64), 0 if same else len(a)
+                every = a if same else np.concatenate([a, b])
+                held: list[tuple] = []
+                size = 0
+                for i, j, bits in _near(a, b, same, k):
+                    counts += np.bincount(bits, minlength=WIDTH + 1)
+                    if links:
+                        held.append((i, j + shift, bits))
+                        size += len(i)
+                        if size >= HELD + len(every):
+                            held = [_forest(*map(np.concatenate, zip(*held)), len(every))]
+                            size = len(held[0][0])
+                at = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_pydict({"a": pa.nulls(len(at), pa.int64()), "b": pa.nulls(len(at), pa.int64()), "dist": pa.array(at, pa.int32()), "n": pa.array(counts[at], pa.int64())})
+                if held:
+                    u, v, bits = _forest(*map(np.concatenate, zip(*held)), len(every))
+                    yield pa.RecordBatch.from_pydict({"a": every.view(np.int64)[u], "b": every.view(np.int64)[v], "dist": pa.array(bits.astype(np.int32)), "n": pa.nulls(len(u), pa.int64())})
+
+    return run
+
+
+def compared(hashes: DataFrame, k: int, scratch: Scratch, links: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Counts (dist, n_pairs) of the pairs of distinct numbers ``hash`` at most k bits apart, and links (a, b, dist) among them.
+
+    Links join at every bound up to k the same numbers as all pairs do, and
+    are fewer than the numbers of two blocks a pair of blocks; pairs are
+    counted and never written.  For bounds so wide that hardly any segment
+    tells numbers apart: every pair is compared, two blocks a task.
+    """
+    spark = hashes.sparkSession
+    one = scratch.save(hashes.select("hash").where("hash IS NOT NULL").distinct())
+    n = one.count()
+    # Four tasks a core, or as many as keep a block small.
+    blocks = max(1, math.ceil(n / BLOCK), min(math.ceil(n / 4096), math.ceil(math.sqrt(8 * spark.sparkContext.defaultParallelism))))
+    named = one.withColumn("block", F.pmod(F.xxhash64("hash"), F.lit(blocks)).cast("int"))
+    packed = scratch.save(named.groupBy("block").applyInArrow(_blocks, "block int, m binary"))
+    pairs = spark.range(blocks).select(F.col("id").cast("int").alias("i")).select("i", F.explode(F.sequence("i", F.lit(blocks - 1))).alias("j"))
+    tasks = pairs.join(packed.select(F.col("block").alias("i"), F.col("m").alias("a")), "i").join(packed.select(F.col("block").alias("j"), F.col("m").alias("b")), "j")
+    found = scratch.save(tasks.repartition(blocks * (blocks + 1) // 2).mapInArrow(_comparer(k, links), "a bigint, b bigint, dist int, n bigint"))
+    counts = found.where("n IS NOT NULL").groupBy("dist").agg(F.sum("n").alias("n_pairs"))
+    return counts, found.where("n IS NULL").select("a", "b", "dist")

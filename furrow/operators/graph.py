@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from furrow.functions import bits
 from furrow.session import Scratch
 
+#: Bound above which segments hardly tell hashes apart and all pairs are compared.
+WIDE = 12
+
 
 def hamming_pairs(hashes: DataFrame, most: int, col: str = "hash", scratch: Scratch | None = None) -> DataFrame:
     """JOI09: pairs (a, b, dist), a < b, of distinct hashes at most ``most`` bits apart.
@@ -19,6 +22,14 @@ def hamming_pairs(hashes: DataFrame, most: int, col: str = "hash", scratch: Scra
     return bits.close_pairs(hashes.select(F.col(col).alias("hash")), None, most, scratch).withColumnRenamed("bits", "dist")
 
 
+def pair_counts(hashes: DataFrame, most: int, col: str = "hash", scratch: Scratch | None = None) -> DataFrame:
+    """JOI09: (dist, n_pairs) of the pairs that ``hamming_pairs`` gives; for wide bounds they are counted where they are compared."""
+    scratch = scratch or Scratch(hashes.sparkSession)
+    if most > WIDE:
+        return bits.compared(hashes.select(F.col(col).alias("hash")), most, scratch, links=False)[0]
+    return hamming_pairs(hashes, most, col, scratch).groupBy("dist").agg(F.count("*").alias("n_pairs"))
+
+
 def components(edges: DataFrame, src: str = "a", dst: str = "b", scratch: Scratch | None = None, max_rounds: int = 100) -> DataFrame:
     """GRF01: (vertex, component), component the smallest vertex of each connected component.
 

@@ -307,7 +307,7 @@ def grf04_leakage_audit(spark, d):
 
 @query(f"WITH {_wide_pairs(max(SWEEP))}, t AS (SELECT unnest({SWEEP}) AS t) SELECT t::INT AS t, dist, count(*) AS n_pairs FROM pr JOIN t ON dist <= t GROUP BY 1, 2")
 def joi09_pairs_by_bound(spark, d):
-    pairs = graph.hamming_pairs(manifest(spark, d), max(SWEEP)).groupBy("dist").agg(F.count("*").alias("n_pairs"))
+    pairs = graph.pair_counts(manifest(spark, d), max(SWEEP))
     return pairs.join(F.broadcast(spark.createDataFrame([(t,) for t in SWEEP], "t int")), F.col("dist") <= F.col("t")).select("t", "dist", "n_pairs")
 
 

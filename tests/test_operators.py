@@ -382,3 +382,25 @@ def test_listing_is_not_the_drivers(spark, tmp_path):
     assert "binaryFile" not in out._jdf.queryExecution().executedPlan().toString()
     (tmp_path / "empty").mkdir()
     assert files.image_listing(spark, f"file://{tmp_path}/empty").count() == 0
+
+
+def test_wide_bounds_are_compared_in_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    pool = [rng.getrandbits(64) for _ in range(40)]
+    pool += [pool[i % 40] ^ sum(1 << b for b in rng.sample(range(64), i % 20)) for i in range(260)]
+    monkeypatch.setattr(bits, "BLOCK", 70)
+    df = spark.createDataFrame([(signed(h),) for h in [*pool, pool[0]]] + [(None,)], "hash bigint")
+    pool = sorted(set(pool), key=signed)
+    dist = {(a, b): (a ^ b).bit_count() for i, a in enumerate(pool) for b in pool[i + 1 :]}
+    counts, links = bits.compared(df, 18, Scratch(spark))
+    assert {r.dist: r.n_pairs for r in counts.collect()} == {d: list(dist.values()).count(d) for d in set(dist.values()) if d <= 18}
+    assert {(r.dist, r.n_pairs) for r in graph.pair_counts(df, 18).collect()} == {(r.dist, r.n_pairs) for r in counts.collect()}
+    for t in (6, 10, 18):
+        close = spark.createDataFrame([(signed(a), signed(b)) for (a, b), d in dist.items() if d <= t], "a bigint, b bigint")
+        assert set(graph.components(links.where(f"dist <= {t}")).collect()) == set(graph.components(close).collect())
+    assert graph.pair_counts(df.limit(0), 18).count() == 0
+
+
+def test_forest_of_links():
+    u, v, d = bits._forest(np.array([0, 1, 0, 2, 4]), np.array([1, 2, 2, 3, 3]), np.array([3, 1, 2, 5, 4], np.uint8), 5)
+    assert len(u) == 4 and sorted(d.tolist()) == [1, 2, 4, 5]
