@@ -78,14 +78,23 @@ def cluster_stats(members: DataFrame) -> DataFrame:
 
 
 def threshold_sweep(rows: DataFrame, bounds: list[int], scratch: Scratch | None = None) -> DataFrame:
-    """GRF02: ``cluster_stats`` and number of pairs of distinct hashes at each bound; the pairs are joined once."""
+    """GRF02: ``cluster_stats`` and number of pairs of distinct hashes at each bound; pairs are compared once.
+
+    For wide bounds pairs are counted, and links that join the same hashes
+    take their place (``bits.compared``): there pairs grow with the square.
+    """
     scratch = scratch or Scratch(rows.sparkSession)
-    pairs = scratch.save(hamming_pairs(rows, max(bounds), scratch=scratch))
+    if max(bounds) > WIDE:
+        rows = scratch.save(rows)
+        counts, pairs = bits.compared(rows, max(bounds), scratch)
+    else:
+        pairs = scratch.save(hamming_pairs(rows, max(bounds), scratch=scratch))
+        counts = pairs.groupBy("dist").agg(F.count("*").alias("n_pairs"))
     out = None
     for t in bounds:
         close = pairs.where(F.col("dist") <= t)
-        part = cluster_stats(clustered(rows, t, scratch, close)).withColumn("t", F.lit(t))
-        part = part.join(F.broadcast(close.agg(F.count("*").alias("n_pairs"))))
+        part = scratch.save(cluster_stats(clustered(rows, t, scratch, close)).withColumn("t", F.lit(t)))
+        part = part.join(F.broadcast(counts.where(F.col("dist") <= t).agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n_pairs"))))
         out = part if out is None else out.unionByName(part)
     return out
 
