@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.llm.text import plain, spread
+from furrow.session import Scratch
 
 # Three-letter codes of languages and the two letters that say the same.
 CODES = {"eng": "en", "fra": "fr", "fre": "fr", "deu": "de", "ger": "de", "spa": "es", "ita": "it", "por": "pt", "nld": "nl", "dut": "nl"}
@@ -80,17 +81,45 @@ class Languages:
         return self.names[best] if total[n + best] >= self.known * total[-1] else None
 
 
-def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _having(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each code that have a word."""
     for batch in batches:
         seen: Counter = Counter()
         for code, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            seen[code, ""] += 1  # the rows of the language
-            for word, k in Counter(NAME.findall(plain(text).lower())).items():
-                seen[code, f"={word}"] += k  # no triple has this sign
-                word = f" {word} "
-                for i in range(len(word) - 2):
-                    seen[code, word[i : i + 3]] += k
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in seen], pa.string()), pa.array([t for _, t in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["code", "triple", "n"])
+            seen.update((code, word) for word in set(NAME.findall(plain(text).lower())))
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in seen], pa.string()), pa.array([w for _, w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["code", "word", "n"])
+
+
+def mislabelled(words: Iterable[str], code: str, having: dict[str, dict[str, int]]) -> bool:
+    """Whether the other rows say that most of a row's different words belong to one other code; a word votes by the rows that have it."""
+    votes: Counter = Counter()
+    n = 0
+    for word in words:
+        n += 1
+        others = {c: k - (c == code) for c, k in having.get(word, {}).items()}
+        total = sum(others.values())
+        for c, k in others.items() if total else ():
+            votes[c] += k / total
+    return any(v > n / 2 for c, v in votes.items() if c != code)
+
+
+def _triples(having: dict[str, dict[str, int]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter = Counter()
+            for code, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = Counter(NAME.findall(plain(text).lower()))
+                if mislabelled(words, code, having):
+                    continue
+                seen[code, ""] += 1  # the rows of the language
+                for word, k in words.items():
+                    seen[code, f"={word}"] += k  # no triple has this sign
+                    word = f" {word} "
+                    for i in range(len(word) - 2):
+                        seen[code, word[i : i + 3]] += k
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in seen], pa.string()), pa.array([t for _, t in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["code", "triple", "n"])
+
+    return run
 
 
 def _alike(a: dict[str, int], b: dict[str, int]) -> float:
@@ -102,9 +131,11 @@ def fit_languages(documents: DataFrame, lang: str = "lang", sample: int = 1500,
     """Model of the languages that ``lang`` names, in two- or three-letter codes with or without a region.
 
     Fitted on the labelled ones, as whole texts, of about ``sample`` rows drawn
-    by hash; a few wrong labels do no harm.  Languages with fewer than ``least``
-    drawn rows are left out, and each keeps its ``triples`` most frequent
-    letter triples.  A code whose words are as frequent as those of a code with
+    by hash.  Rows most of whose words are those of another language's rows are
+    wrong labels and left out: a few of them, in a language of few rows, would
+    draw all texts of their kind there.  Languages with fewer than ``least``
+    rows are left out, and each keeps its ``triples`` most frequent letter
+    triples (and words, while rows are judged).  A code whose words are as frequent as those of a code with
     more text (cosine from ``same``) is a wrong label of that language and left
     out, else texts of a kind that is often labelled wrong would be a language
     of their own.  Without the column, or without such rows, the model knows
@@ -118,9 +149,17 @@ def fit_languages(documents: DataFrame, lang: str = "lang", sample: int = 1500,
     rows = rows.select(F.coalesce(F.try_element_at(short, "code"), "code").alias("code"), "text").where("length(code) = 2")
     share = min(1.0, sample / max(1, documents.count()))
     drawn = rows.where(F.shiftrightunsigned(F.xxhash64("text", F.lit(seed)), 12) < F.lit(int(share * (1 << 52))))
-    per = spread(drawn).mapInArrow(_triples, "code string, triple string, n bigint").groupBy("code", "triple").agg(F.sum("n").alias("n"))
+    scratch = Scratch(documents.sparkSession)
+    drawn = scratch.save(drawn)
+    common = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("n"), "word"))
+    known_to = spread(drawn).mapInArrow(_having, "code string, word string, n bigint").groupBy("code", "word").agg(F.sum("n").alias("n"))
+    having: dict[str, dict[str, int]] = {}
+    for r in known_to.withColumn("place", common).where(F.col("place") <= triples).collect():
+        having.setdefault(r.word, {})[r.code] = r.n
+    per = spread(drawn).mapInArrow(_triples(having), "code string, triple string, n bigint").groupBy("code", "triple").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("code", F.startswith("triple", F.lit("="))).orderBy(F.col("triple") != "", F.desc("n"), "triple"))
     found = per.withColumn("place", place).where(F.col("place") <= triples + 1).collect()
+    scratch.drop(drawn)
     names = sorted(r.code for r in found if r.triple == "" and r.n >= least)
     counts: dict[str, dict[str, int]] = {c: {} for c in names}
     words: dict[str, dict[str, int]] = {c: {} for c in names}

@@ -152,6 +152,22 @@ def test_wrong_code_of_one_kind_of_text_is_no_language(spark):
     assert readability.grades(hard, m)[0] == "en" and readability.grades(SPEECH["it"], m)[0] == "it"
 
 
+def test_long_text_of_a_wrong_code_draws_no_texts_there(spark):
+    hard = ["The methodological significance of the physiological deterioration was established experimentally.", "Heterogeneous contamination of the photographic collection invalidates the provisional differentiation.", "Insufficient illumination compromises the epidemiological classification of the neighbouring populations."]
+    long = " ".join(hard * 40)
+    rows = [(SPEECH["en"], "en")] * 60 + [(h, "en") for h in hard] * 3 + [(SPEECH["it"], "it")] * 10 + [(SPEECH["de"], "de")] * 10 + [(long, "it"), (SPEECH["de"], "en")]
+    m = readability.fit_languages(spark.createDataFrame(rows, "text string, lang string"))
+    assert m.names == ["de", "en", "it"]
+    assert [readability.grades(t, m)[0] for t in [*hard, long, SPEECH["it"], SPEECH["de"]]] == ["en"] * 4 + ["it", "de"]
+
+
+def test_mislabelled():
+    having = {"the": {"en": 90, "es": 2}, "ledger": {"en": 3, "es": 1}, "el": {"es": 9}, "odd": {"es": 1}}
+    assert readability.mislabelled(["the", "ledger", "odd"], "es", having)  # the row itself has no vote, nor has a word of no other row
+    assert not readability.mislabelled(["the", "ledger", "odd", "el"], "es", having)
+    assert not readability.mislabelled(["the", "ledger"], "en", having) and not readability.mislabelled([], "en", having)
+
+
 def test_rated(spark):
     levels = spark.createDataFrame([(i, "en", float(i)) for i in range(10)] + [(90, "de", 3.0), (91, "en", None)], "doc_id bigint, language string, grade double")
     labels = [(i, r, 1 + i // 5) for i in range(10) for r in ("a", "b")] * 2 + [(0, "c", 5), (90, "a", 1), (91, "a", 1), (None, "a", 1), (3, "a", None)]
