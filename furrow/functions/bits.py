@@ -132,6 +132,133 @@ def close_pairs(left: DataFrame, right: DataFrame | None, k: int, scratch: Scrat
     return out.select(F.col("x").alias("a"), F.col("y").alias("b"), clean.hamming64("x", "y").alias("bits")).distinct()
 
 
+# ---- middling bounds: blocks of numbers sorted by every choice of segments
+
+#: Numbers of a sorted block at most, those compared at once, what sorting a number costs in compared pairs, and bytes of blocks that are broadcast.
+SORTED = 1 << 22
+RUN = 1 << 13
+SORT_COST = 60
+SHIPPED = 64 << 20
+
+
+def _moves(mask: int) -> list[tuple[int, int]]:
+    """(bits, places to the left) of the moves that bring a mask's bits to the top; distances stay."""
+    moves: dict[int, int] = {}
+    for to, p in enumerate(sorted(range(WIDTH), key=lambda p: (mask >> p & 1, p))):
+        moves[to - p] = moves.get(to - p, 0) | 1 << p
+    return [(m, by) for by, m in moves.items()]
+
+
+def _moved(x: np.ndarray, moves: list[tuple[int, int]], back: bool = False) -> np.ndarray:
+    out = np.zeros_like(x)
+    for m, by in moves:
+        if back:
+            m, by = (m << by if by >= 0 else m >> -by), -by
+        part = x & np.uint64(m)
+        out |= part << np.uint64(by) if by >= 0 else part >> np.uint64(-by)
+    return out
+
+
+def _agreeing(x: np.ndarray, mask: int, k: int, deep: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different numbers at most k bits apart, among them all that agree in the mask's bits.
+
+    Numbers are sorted with those bits on top and compared with the next ones,
+    as far as the largest run of equal bits nearby reaches.  Runs above
+    ``HOT`` are cut further by k + 1 segments of the remaining bits.
+    """
+    moves = _moves(mask)
+    y = np.sort(_moved(x, moves))
+    key = y >> np.uint64(WIDTH - mask.bit_count()) if mask else np.zeros_like(y)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sizes = np.diff(np.append(first, len(y)))
+    left = np.repeat(first + sizes, sizes) - np.arange(len(y)) - 1
+    if deep:
+        for at, n in zip(first[sizes > HOT], sizes[sizes > HOT]):
+            run = _moved(y[at : at + n], moves, back=True)
+            for rest in segments([p for p in range(WIDTH) if not mask >> p & 1], k + 1):
+                yield from _agreeing(run, mask | rest, k, deep=False)
+            left[at : at + n] = 0
+    diff, bits = np.empty(RUN, np.uint64), np.empty(RUN, np.uint8)
+    met: list[tuple[np.ndarray, np.ndarray]] = []
+    for start in range(0, len(y), RUN):
+        ahead = left[start : start + RUN]
+        lo, hi = 0, len(ahead)
+        for d in range(1, int(ahead.max()) + 1):
+            if d % 64 == 0:
+                still = np.flatnonzero(ahead >= d)
+                lo, hi = still[0], still[-1] + 1
+            a = y[start + lo : start + hi]
+            b = y[start + lo + d : start + hi + d]
+            n = len(b)
+            np.bitwise_xor(a[:n], b, out=diff[:n])
+            np.bitwise_count(diff[:n], out=bits[:n])
+            at = np.flatnonzero(bits[:n] <= k)
+            if len(at):
+                met.append((a[at], b[at]))
+    if met:
+        yield tuple(_moved(np.concatenate(z), moves, back=True) for z in zip(*met))
+
+
+def _sorter(k: int, s: int, chunks: int):
+    """Pairs of two blocks, each under the first choice of segments that it agrees in."""
+    parts = segments(list(range(WIDTH)), k + s)
+    masks = choices(k, s)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                a, b, same = np.frombuffer(r["a"], np.int64).view(np.uint64), np.frombuffer(r["b"], np.int64).view(np.uint64), r["i"] == r["j"]
+                every, mine = (a, None) if same else (np.concatenate([a, b]), np.sort(a))
+                for mask in masks[r["chunk"] :: chunks]:
+                    for u, v in _agreeing(every, mask, k):
+                        diff = u ^ v
+                        seen, least = np.zeros(len(u), np.int64), np.zeros(len(u), np.uint64)
+                        for p in parts:
+                            agrees = ((diff & np.uint64(p)) == 0) & (seen < s)
+                            seen += agrees
+                            least[agrees] |= np.uint64(p)
+                        keep = least == np.uint64(mask)
+                        if not same:
+                            inside = [mine[np.minimum(np.searchsorted(mine, z), len(mine) - 1)] == z for z in (u, v)]
+                            keep &= inside[0] != inside[1]
+                        if keep.any():
+                            x, y = u[keep].view(np.int64), v[keep].view(np.int64)
+                            yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y), "bits": np.bitwise_count(diff[keep]).astype(np.int32)})
+
+    return run
+
+
+def sorted_pairs(hashes: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b, bits), a < b, of distinct numbers ``hash`` at most ``k`` bits apart, as ``close_pairs`` gives them.
+
+    For bounds of which a key a choice of segments would be shuffled by the
+    hundred: a task holds two blocks of numbers and sorts them by some of the
+    choices.  Shuffled are the blocks; a task's memory follows from ``SORTED``.
+    Exact for every k; a pair comes out once, but where a run above ``HOT`` was
+    cut, which the last step undoes.
+    """
+    spark = hashes.sparkSession
+    one = scratch.save(hashes.select("hash").where("hash IS NOT NULL").distinct())
+    n = one.count()
+    blocks = max(1, math.ceil(n / SORTED))
+    held = n if blocks == 1 else 2 * n / blocks
+    s = min(range(1, min(4, WIDTH - k) + 1), key=lambda s: math.comb(k + s, s) * (SORT_COST + held / 2.0 ** (WIDTH * s / (k + s))))
+    tasks = blocks * (blocks + 1) // 2
+    chunks = max(1, min(math.comb(k + s, s), math.ceil(4 * spark.sparkContext.defaultParallelism / tasks)))
+    named = one.withColumn("block", F.pmod(F.xxhash64("hash"), F.lit(blocks)).cast("int"))
+    packed = scratch.save(named.groupBy("block").applyInArrow(_blocks, "block int, m binary"))
+    left, right = packed.select(F.col("block").alias("i"), F.col("m").alias("a")), packed.select(F.col("block").alias("j"), F.col("m").alias("b"))
+    ids = spark.range(0, tasks * chunks, 1, tasks * chunks).withColumn("chunk", (F.col("id") % chunks).cast("int")).withColumn("pair", (F.col("id") / chunks).cast("int"))
+    where = [(i, j) for i in range(blocks) for j in range(i, blocks)]
+    cell = F.get(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in where]), F.col("pair"))
+    ids = ids.select("chunk", cell.alias("cell")).select("chunk", "cell.i", "cell.j")
+    if 8 * n <= SHIPPED:
+        work = ids.join(F.broadcast(left), "i").join(F.broadcast(right), "j")
+    else:
+        work = ids.join(left, "i").join(right, "j").repartition(tasks * chunks)
+    return work.mapInArrow(_sorter(k, s, chunks), "a bigint, b bigint, bits int").distinct()
+
+
 # ---- wide bounds: blocks of numbers compared pair by pair
 
 #: Numbers of a block at most, and pairs of numbers and rows held at once.

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from furrow.functions import bits
 from furrow.session import Scratch
 
-#: Bound above which segments hardly tell hashes apart and all pairs are compared.
+#: Bound above which keys are sorted where blocks of hashes are held, and that above which segments hardly tell hashes apart and all pairs are compared.
+MIDDLING = 7
 WIDE = 12
 
 
@@ -16,9 +17,12 @@ def hamming_pairs(hashes: DataFrame, most: int, col: str = "hash", scratch: Scra
     """JOI09: pairs (a, b, dist), a < b, of distinct hashes at most ``most`` bits apart.
 
     Exact for every bound (``functions.bits``): an equi-join on the segments
-    that stay as they are, verified by the number of differing bits.
+    that stay as they are, verified by the number of differing bits.  For
+    middling bounds such keys, hundreds a hash, are never shuffled.
     """
     scratch = scratch or Scratch(hashes.sparkSession)
+    if MIDDLING < most <= WIDE:
+        return bits.sorted_pairs(hashes.select(F.col(col).alias("hash")), most, scratch).withColumnRenamed("bits", "dist")
     return bits.close_pairs(hashes.select(F.col(col).alias("hash")), None, most, scratch).withColumnRenamed("bits", "dist")
 
 

@@ -10,6 +10,7 @@ from furrow.operators import audit, decision, graph, joins, metrics, sampling, s
 from furrow.plans.q_metrics import _DIMS, _RIVALS, _rivals, _saved_vectors
 from furrow.plans.registry import query
 from furrow.plans.sql import M, P, V, base, md5_order, stem
+from furrow.session import Scratch
 from furrow.sources.tables import disease_info, manifest, predictions, table, vectors
 
 # ---- joins
@@ -342,13 +343,17 @@ x AS (SELECT 'missing' AS "check", count(*) AS n_found FROM m WHERE path NOT IN
 SELECT *, n_found = 0 AS passed FROM x""")
 def qa03_verification(spark, d):
     """The split of whole clusters (bound 5), which loses the records without hash, held against the manifest and the wider clusters of the audit."""
-    before = manifest(spark, d)
+    scratch = Scratch(spark)
+    before = scratch.save(manifest(spark, d))
     hashed = before.where("hash IS NOT NULL")
-    c = graph.clustered(hashed, 5)
+    # Both clusterings come from one set of pairs, and each table that is read again is written.
+    pairs = scratch.save(graph.hamming_pairs(hashed, AUDIT, scratch=scratch))
+    c = scratch.save(graph.clustered(hashed, 5, scratch, pairs.where("dist <= 5")))
     name = c.groupBy("cluster").agg(F.min("path").alias("first_path"))
     split = _cluster_split(c).select(F.col("cluster").alias("first_path"), F.col("split").alias("new_split"))
     after = c.select("path", "final_class", "hash", "cluster").join(name, "cluster").join(split, "first_path").select("path", "final_class", "hash", F.col("new_split").alias("split"))
-    return audit.verification(before, after, graph.clustered(after, AUDIT))
+    after = scratch.save(after)
+    return audit.verification(before, after, graph.clustered(after, AUDIT, scratch, pairs))
 
 
 # ---- decisions

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from furrow.functions import bits, pixels
@@ -178,6 +179,25 @@ def test_parents_and_counts(spark):
     assert {(r.k, r.n_a, r.n_b) for r in joins.count_difference(a, a.limit(0), ["k"]).collect()} == {(None, 1, 0), ("s", 1, 0)}
 
 
+def test_sorted_pairs(spark, monkeypatch):
+    rng = random.Random(7)
+    base = [rng.getrandbits(64) for _ in range(150)] + [rng.getrandbits(10) << 3 for _ in range(60)]  # flat images share whole segments
+    xs = {b ^ sum(1 << p for p in rng.sample(range(64), rng.randrange(12))) for b in base for _ in range(3)} | {0, (1 << 64) - 1}
+    xs = sorted(x - (1 << 64) if x >> 63 else x for x in xs)
+    df = spark.createDataFrame([(x,) for x in xs + xs[:5] + [None]], "hash bigint")
+    for k in (8, 10):
+        want = {(a, b, n) for i, a in enumerate(xs) for b in xs[i + 1 :] if (n := ((a ^ b) & ((1 << 64) - 1)).bit_count()) <= k}
+        for size, hot in ((1 << 22, 4096), (200, 16)):  # one block; several, with runs that are cut further
+            monkeypatch.setattr(bits, "SORTED", size)
+            monkeypatch.setattr(bits, "HOT", hot)
+            # Workers know only the module's own HOT, so the pairs are taken in this process too.
+            here = list(bits._sorter(k, 2, 1)([pa.RecordBatch.from_pylist([{"a": np.array(xs).tobytes(), "b": np.array(xs).tobytes(), "i": 0, "j": 0, "chunk": 0}])]))
+            assert {(r["a"], r["b"], r["bits"]) for batch in here for r in batch.to_pylist()} == want
+            got = [tuple(r) for r in bits.sorted_pairs(df, k, Scratch(spark)).collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+    assert bits.sorted_pairs(df.where("hash IS NULL"), 10, Scratch(spark)).count() == 0
+
+
 def test_verification(spark):
     before = spark.createDataFrame([("a", "c"), ("b", "c")], "path string, final_class string")
     after = spark.createDataFrame([("a", "c"), ("z", "d")], "path string, final_class string")
