@@ -259,12 +259,20 @@ def sorted_pairs(hashes: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     return work.mapInArrow(_sorter(k, s, chunks), "a bigint, b bigint, bits int").distinct()
 
 
-# ---- wide bounds: blocks of numbers compared pair by pair
+# ---- wide bounds: blocks of numbers compared where one of a few segments is near
 
-#: Numbers of a block at most, and pairs of numbers and rows held at once.
-BLOCK = 1 << 17
-TILE = 1 << 16
+#: Numbers of a block at most, rows and pairs compared at once, and links held at once.
+BLOCK = 1 << 22
+ROWS = 64
+TILE = 1 << 18
 HELD = 1 << 21
+#: Nanoseconds of a compared pair, a gathered number, a visited key and a key looked up from it: they choose the number of segments.
+PAIR_NS, GATHER_NS, KEY_NS, NEAR_NS = 2.2, 2, 100_000, 25
+#: Bytes that lead the sorted orders in which links to the hub are looked for, and the numbers after each that are looked at.
+ORDERS = list(combinations(range(WIDTH // 8), 2))
+AFTER = 96
+#: Not joined with the hub at any bound.
+NEVER = 255
 
 
 def _blocks(rows: pa.Table) -> pa.Table:
@@ -272,14 +280,43 @@ def _blocks(rows: pa.Table) -> pa.Table:
     return pa.table({"block": [rows["block"][0].as_py()], "m": pa.array([x.tobytes()], pa.binary())}, schema=pa.schema([("block", pa.int32()), ("m", pa.binary())]))
 
 
-def _near(a: np.ndarray, b: np.ndarray, same: bool, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, bits) of the pairs at most k bits apart, of i < j within one block."""
-    for i in range(len(a)):
-        for at in range(i + 1 if same else 0, len(b), TILE):
-            bits = np.bitwise_count(a[i] ^ b[at : at + TILE])
-            j = np.flatnonzero(bits <= k)
-            if len(j):
-                yield np.full(len(j), i), j + at, bits[j]
+def _share(width: int, most: int) -> float:
+    """Share of even numbers of so many bits at most ``most`` bits from one."""
+    return sum(math.comb(width, i) for i in range(min(most, width) + 1)) / 2.0**width
+
+
+def near_segments(n: int, k: int) -> list[tuple[int, int]]:
+    """(mask, bound) of segments, one of which is within its bound for every two numbers within k bits; those of the least cost for n numbers.
+
+    The bounds of m segments add up to k - m + 1: were each exceeded, k + 1
+    bits would differ.  One segment of no bits stands for comparing all.
+    """
+    best, least = [(0, 0)], n * n / 2 * PAIR_NS
+    for m in range(2, min(8, k + 1) + 1):
+        parts = segments(list(range(WIDTH)), m)[::-1]
+        cuts = [(p, (k - m + 1) // m + (i < (k - m + 1) % m)) for i, p in enumerate(parts)]
+        cost = 0.0
+        for p, r in cuts:
+            w = p.bit_count()
+            keys, ball = min(n, 2.0**w), sum(math.comb(w, i) for i in range(r + 1))
+            cost += n * n / 2 * _share(w, r) * (PAIR_NS + GATHER_NS * keys / max(n, 1)) + keys * (KEY_NS + ball * NEAR_NS)
+        if w <= 24 and cost < least:
+            best, least = cuts, cost
+    return best
+
+
+def _merged(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least number of each component, from those of the components before links u - v."""
+    x, y = u, v
+    while len(x):
+        x, y = root[x], root[y]
+        x, y = x[x != y], y[x != y]
+        up = np.arange(len(root))
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+        root = up[root]
+    return root
 
 
 def _forest(u: np.ndarray, v: np.ndarray, bits: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -287,63 +324,273 @@ def _forest(u: np.ndarray, v: np.ndarray, bits: np.ndarray, n: int) -> tuple[np.
     root, out = np.arange(n), []
     for d in np.unique(bits):
         at = bits == d
-        before, x, y = root, u[at], v[at]
-        while len(x):
-            x, y = root[x], root[y]
-            x, y = x[x != y], y[x != y]
-            up = np.arange(n)
-            np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
-            while not np.array_equal(up, up[up]):
-                up = up[up]
-            root = up[root]
+        before, root = root, _merged(root, u[at], v[at])
         tops = np.flatnonzero((before == np.arange(n)) & (root != np.arange(n)))
         out.append((tops, root[tops], np.full(len(tops), d, np.uint8)))
     return tuple(map(np.concatenate, zip(*out))) if out else (u, v, bits)
 
 
-def _comparer(k: int, links: bool):
+def _levels(bounds: list[int]) -> np.ndarray:
+    """By number of bits, the least bound that holds it."""
+    return np.array([min((t for t in bounds if t >= d), default=NEVER) for d in range(WIDTH + 1)], np.uint8)
+
+
+def _sorted_block(rows: pa.Table) -> pa.Table:
+    x = np.sort(rows["hash"].combine_chunks().to_numpy())
+    return pa.table({"block": pa.array([rows["block"][0].as_py()], pa.int32()), "m": pa.array([x.tobytes()], pa.binary())})
+
+
+def _turned(bounds: list[int]):
+    """Links of near numbers that an order of a block, two bytes first, brings together; what it misses costs work, never the result."""
+    level = _levels(bounds)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                a, b, same = np.frombuffer(r["a"], np.int64).view(np.uint64), np.frombuffer(r["b"], np.int64).view(np.uint64), r["i"] == r["j"]
-                counts, shift = np.zeros(WIDTH + 1, np.int64), 0 if same else len(a)
-                every = a if same else np.concatenate([a, b])
+                x = np.frombuffer(r["m"], np.uint64)
+                n, lead = len(x), ORDERS[r["turn"]]
+                # Random numbers in plenty form one component from some bound on.
+                most = min((t for t in bounds if n * _share(WIDTH, t) >= 4), default=max(bounds))
+                # The last byte in memory is the highest.
+                turned = x.view(np.uint8).reshape(-1, 8)[:, [p for p in range(8) if p not in lead] + list(lead)].copy().view("<u8")[:, 0]
+                order = np.argsort(turned)
+                y = x[order]
+                close = np.zeros(RUN, bool)
+                met = [(np.zeros(0, np.int64),) * 3]
+                for start in range(0, n, RUN):
+                    for after in range(1, AFTER + 1):
+                        b = y[start + after : start + after + RUN]
+                        near = np.bitwise_count(y[start : start + len(b)] ^ b)
+                        np.less_equal(near, most, out=close[: len(b)])
+                        close[len(b) :] = False
+                        some = np.flatnonzero(close.view(np.uint64))
+                        if len(some):
+                            at = ((some * 8)[:, None] + np.arange(8))[close.reshape(-1, 8)[some]]
+                            met.append((at + start, at + (start + after), level[near[at]]))
+                u, v, d = map(np.concatenate, zip(*met))
+                links = {"u": order[u].astype(np.int32), "v": order[v].astype(np.int32), "d": d.astype(np.uint8)}
+                yield pa.RecordBatch.from_pydict({"block": pa.array([r["block"]], pa.int32()), "n": pa.array([n], pa.int32()), **{c: pa.array([z.tobytes()], pa.binary()) for c, z in links.items()}})
+
+    return run
+
+
+def _hub(rows: pa.Table) -> pa.Table:
+    """A hub among a block's numbers, the bound at which each is seen to be joined with it (or ``NEVER``), and the links that show it."""
+    n = rows["n"][0].as_py()
+    u, v, d = (np.concatenate([np.frombuffer(z, t) for z in rows[c].to_pylist()]) for c, t in (("u", np.int32), ("v", np.int32), ("d", np.uint8)))
+    u, v, d = _forest(u, v, d, n)
+    root, roots = np.arange(n), []
+    for t in np.unique(d).tolist():
+        root = _merged(root, u[d == t], v[d == t])
+        roots.append((t, root))
+    hub = int(np.bincount(root).argmax())
+    joined = np.full(n, NEVER, np.uint8)
+    for t, r in reversed(roots):
+        joined[r == r[hub]] = t
+    cells = {"joined": joined, "u": u.astype(np.int32), "v": v.astype(np.int32), "d": d.astype(np.uint8)}
+    return pa.table({"block": rows["block"][:1].cast(pa.int32()), "hub": pa.array([hub], pa.int32()), **{c: pa.array([z.tobytes()], pa.binary()) for c, z in cells.items()}})
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of blocks as rows."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            x, u, v = np.frombuffer(r["m"], np.int64), np.frombuffer(r["u"], np.int32), np.frombuffer(r["v"], np.int32)
+            yield pa.RecordBatch.from_pydict({"a": x[u], "b": x[v], "dist": np.frombuffer(r["d"], np.uint8).astype(np.int32)})
+
+
+def _ball(width: int, most: int) -> np.ndarray:
+    """Numbers of so many bits of which at most ``most`` are set."""
+    return np.array([sum(1 << p for p in c) for i in range(most + 1) for c in combinations(range(width), i)], np.int64)
+
+
+def _near(a: np.ndarray, b: np.ndarray | None, k: int, cuts: list[tuple[int, int]], cut: int, share: int, shares: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, bits) of the pairs at most k bits apart (without ``b``, of two numbers of ``a``) for which this cut is the first within its bound.
+
+    Both sides are sorted by the cut's bits.
+    """
+    mask, most = cuts[cut]
+    width, moves = mask.bit_count(), _moves(mask)
+    before = [(np.uint64(m), r) for m, r in cuts[:cut]]
+    edges, ends = (np.searchsorted(_moved(x, moves) >> np.uint64(WIDTH - width) if mask else np.zeros(len(x), np.uint64), np.arange((1 << width) + 1, dtype=np.uint64)) for x in (a, a if b is None else b))
+    others = a if b is None else b
+    ball = _ball(width, most)
+    tiles = -(-np.diff(edges) // ROWS)
+    key = np.repeat(np.arange(len(tiles)), tiles)
+    first = edges[key] + ROWS * (np.arange(len(key)) - np.repeat(np.cumsum(tiles) - tiles, tiles))
+    room = TILE + 8 * ROWS
+    diff, bits, close = np.empty(room, np.uint64), np.empty(room, np.uint8), np.empty(room, bool)
+    eights = np.arange(room // 8)
+    for v, start in zip(key[share::shares].tolist(), first[share::shares].tolist()):
+        stop = min(start + ROWS, int(edges[v + 1]))
+        beside = v ^ ball
+        if b is None:
+            beside = beside[beside > v]
+        lens = ends[beside + 1] - ends[beside]
+        where = np.repeat(ends[beside] - np.cumsum(lens) + lens, lens) + np.arange(int(lens.sum()))
+        # Of the numbers under the same key, those from this tile on.
+        own = int(edges[v + 1]) - start if b is None else 0
+        if own:
+            where = np.concatenate([np.arange(start, start + own), where])
+        x = a[start:stop, None]
+        step = max(8, TILE // len(x) // 8 * 8)
+        for at in range(0, len(where), step):
+            column = where[at : at + step]
+            y = others[column]
+            wide, size = len(y), len(x) * len(y)
+            full = -(-size // 8) * 8
+            np.bitwise_xor(x, y, out=diff[:size].reshape(len(x), wide))
+            np.bitwise_count(diff[:size], out=bits[:size])
+            np.less_equal(bits[:size], k, out=close[:size])
+            close[size:full] = False
+            some = eights[: full // 8][close[:full].view(np.uint64) != 0]
+            if not len(some):
+                continue
+            # Eight at a time: most are empty.
+            hit = ((some * 8)[:, None] + eights[:8])[close[:full].reshape(-1, 8)[some]]
+            if before:
+                apart = diff[hit]
+                keep = np.ones(len(hit), bool)
+                for m, r in before:
+                    keep &= np.bitwise_count(apart & m) > r
+                hit = hit[keep]
+            i = hit // wide
+            j = hit - i * wide
+            if at < own:
+                keep = (j + at >= own) | (j + at > i)
+                hit, i, j = hit[keep], i[keep], j[keep]
+            if len(hit):
+                yield i + start, column[j], bits[hit]
+
+
+def _few(u: np.ndarray, v: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_forest`` of the numbers that the links name."""
+    named, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y, d = _forest(at[: len(u)], at[len(u) :], bits, len(named))
+    return named[x], named[y], d
+
+
+def merger(bounds: list[int]):
+    """Of all links (a, b, dist), the numbers they name and, by bound, the smallest number of each one's component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8))]
+        held += [(b["a"].to_numpy(), b["b"].to_numpy(), b["dist"].to_numpy().astype(np.uint8)) for b in batches]
+        a, b, dist = map(np.concatenate, zip(*held))
+        named, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        u, v, root, out, done = at[: len(a)], at[len(a) :], np.arange(len(named)), {"vertex": named}, -1
+        for t in bounds:
+            new = (dist > done) & (dist <= t)
+            root, done = _merged(root, u[new], v[new]), t
+            out[f"t{t}"] = named[root]
+        yield from pa.table(out).to_batches(max_chunksize=1 << 17)
+
+    return run
+
+
+def _comparer(k: int, cuts: list[tuple[int, int]], shares: int, bounds: list[int] | None):
+    level = _levels(bounds or [k])
+
+    def ordered(m: bytes, joined: bytes | None, hub: int | None, mask: int):
+        x = np.frombuffer(m, np.uint64)
+        if not joined:
+            return x[np.argsort(_moved(x, _moves(mask)))], None, None
+        order = np.argsort(_moved(x, _moves(mask)))
+        return x[order], np.frombuffer(joined, np.uint8)[order], int(np.flatnonzero(order == hub)[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                a, joined_a, hub_a = ordered(r["a"], r["joined_a"], r["hub_a"], cuts[r["cut"]][0])
+                b, joined_b, hub_b = (None, joined_a, hub_a) if r["b"] is None else ordered(r["b"], r["joined_b"], r["hub_b"], cuts[r["cut"]][0])
+                shift = 0 if b is None else len(a)
+                counts = np.zeros(WIDTH + 1, np.int64)
                 held: list[tuple] = []
-                size = 0
-                for i, j, bits in _near(a, b, same, k):
+                size, full = 0, HELD
+                for i, j, bits in _near(a, b, k, cuts, r["cut"], r["share"], shares):
                     counts += np.bincount(bits, minlength=WIDTH + 1)
-                    if links:
-                        held.append((i, j + shift, bits))
-                        size += len(i)
-                        if size >= HELD + len(every):
-                            held = [_forest(*map(np.concatenate, zip(*held)), len(every))]
-                            size = len(held[0][0])
+                    if not bounds:
+                        continue
+                    # What is joined with its hub at that bound stands for the hub; two such numbers need no link but one between hubs.
+                    d = level[bits]
+                    in_a, in_b = joined_a[i] <= d, joined_b[j] <= d
+                    if b is None:
+                        new = np.flatnonzero(~(in_a & in_b))
+                        i, j, d, in_a, in_b = i[new], j[new], d[new], in_a[new], in_b[new]
+                    if not len(i):
+                        continue
+                    u, v = np.where(in_a, hub_a, i), np.where(in_b, hub_b, j) + shift
+                    if b is not None and len(u) > 1:
+                        same = in_a & in_b
+                        keep = ~same
+                        for t in np.unique(d[same]):
+                            keep[np.flatnonzero(same & (d == t))[0]] = True
+                        u, v, d = u[keep], v[keep], d[keep]
+                    held.append((u, v, d))
+                    size += len(u)
+                    if size >= full:
+                        held = [_few(*map(np.concatenate, zip(*held)))]
+                        size = len(held[0][0])
+                        full = size + HELD
                 at = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_pydict({"a": pa.nulls(len(at), pa.int64()), "b": pa.nulls(len(at), pa.int64()), "dist": pa.array(at, pa.int32()), "n": pa.array(counts[at], pa.int64())})
                 if held:
-                    u, v, bits = _forest(*map(np.concatenate, zip(*held)), len(every))
-                    yield pa.RecordBatch.from_pydict({"a": every.view(np.int64)[u], "b": every.view(np.int64)[v], "dist": pa.array(bits.astype(np.int32)), "n": pa.nulls(len(u), pa.int64())})
+                    every = (a if b is None else np.concatenate([a, b])).view(np.int64)
+                    u, v, d = _few(*map(np.concatenate, zip(*held)))
+                    yield pa.RecordBatch.from_pydict({"a": every[u], "b": every[v], "dist": pa.array(d.astype(np.int32)), "n": pa.nulls(len(u), pa.int64())})
 
     return run
 
 
-def compared(hashes: DataFrame, k: int, scratch: Scratch, links: bool = True) -> tuple[DataFrame, DataFrame]:
+def compared(hashes: DataFrame, k: int, scratch: Scratch, links: bool = True, bounds: list[int] | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Counts (dist, n_pairs) of the pairs of distinct numbers ``hash`` at most k bits apart, and links (a, b, dist) among them.
 
-    Links join at every bound up to k the same numbers as all pairs do, and
-    are fewer than the numbers of two blocks a pair of blocks; pairs are
-    counted and never written.  For bounds so wide that hardly any segment
-    tells numbers apart: every pair is compared, two blocks a task.
+    Links join at every bound up to k (or each of ``bounds``, which then are
+    their distances) the same numbers as all pairs do, and are few: pairs are
+    counted and never written.  For bounds so wide that hardly any segment is
+    equal: a task holds two blocks of numbers and compares those one of whose
+    segments is near (``near_segments``), about an eighth of all pairs in a
+    large table.  Exact for every k.
     """
     spark = hashes.sparkSession
+    bounds = sorted({min(t, k) for t in bounds or range(k + 1)} | {k}) if links else None
     one = scratch.save(hashes.select("hash").where("hash IS NOT NULL").distinct())
     n = one.count()
-    # Four tasks a core, or as many as keep a block small.
-    blocks = max(1, math.ceil(n / BLOCK), min(math.ceil(n / 4096), math.ceil(math.sqrt(8 * spark.sparkContext.defaultParallelism))))
+    blocks = max(1, math.ceil(n / BLOCK))
     named = one.withColumn("block", F.pmod(F.xxhash64("hash"), F.lit(blocks)).cast("int"))
-    packed = scratch.save(named.groupBy("block").applyInArrow(_blocks, "block int, m binary"))
-    pairs = spark.range(blocks).select(F.col("id").cast("int").alias("i")).select("i", F.explode(F.sequence("i", F.lit(blocks - 1))).alias("j"))
-    tasks = pairs.join(packed.select(F.col("block").alias("i"), F.col("m").alias("a")), "i").join(packed.select(F.col("block").alias("j"), F.col("m").alias("b")), "j")
-    found = scratch.save(tasks.repartition(blocks * (blocks + 1) // 2).mapInArrow(_comparer(k, links), "a bigint, b bigint, dist int, n bigint"))
+    packed = scratch.save(named.groupBy("block").applyInArrow(_sorted_block, "block int, m binary"))
+    small = 9 * n <= SHIPPED
+    if links:
+        turns = spark.range(0, blocks * len(ORDERS), 1, blocks * len(ORDERS)).select((F.col("id") % blocks).cast("int").alias("block"), F.floor(F.col("id") / blocks).cast("int").alias("turn"))
+        turns = turns.join(F.broadcast(packed), "block") if small else turns.join(packed, "block").repartition(blocks * len(ORDERS))
+        shown = scratch.save(turns.select("block", "turn", "m").mapInArrow(_turned(bounds), "block int, n int, u binary, v binary, d binary"))
+        hubs = shown.groupBy("block").applyInArrow(_hub, "block int, hub int, joined binary, u binary, v binary, d binary")
+        packed = scratch.save(packed.join(hubs, "block"))
+    else:
+        packed = packed.withColumns({"joined": F.lit(None).cast("binary"), "hub": F.lit(None).cast("int")})
+    cuts = near_segments(math.ceil(n / blocks), k)
+    pairs = blocks * (blocks + 1) // 2
+    shares = max(1, math.ceil(6 * spark.sparkContext.defaultParallelism / (pairs * len(cuts))))
+    tasks = pairs * len(cuts) * shares
+    where = [(i, j) for i in range(blocks) for j in range(i, blocks)]
+    cell = F.get(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in where]), (F.col("id") % pairs).cast("int"))
+    # The last segment has the least bound, so the longest tasks start first.
+    turn = F.floor(F.col("id") / pairs)
+    ids = spark.range(0, tasks, 1, tasks).select(F.floor(turn / shares).cast("int").alias("cut"), (turn % shares).cast("int").alias("share"), cell.alias("cell")).select("cut", "share", "cell.i", "cell.j")
+    left = packed.select(F.col("block").alias("i"), F.col("m").alias("a"), F.col("joined").alias("joined_a"), F.col("hub").alias("hub_a"))
+    right = packed.select(F.col("block").alias("j"), F.col("m").alias("b"), F.col("joined").alias("joined_b"), F.col("hub").alias("hub_b"))
+    if blocks == 1:
+        # A block alone meets itself.
+        empty = [F.lit(None).cast(t).alias(c) for c, t in (("b", "binary"), ("joined_b", "binary"), ("hub_b", "int"))]
+        work = ids.join(F.broadcast(left), "i").select("*", *empty)
+    else:
+        alone = F.col("i") == F.col("j")
+        both = ids.join(left, "i").join(right, "j") if not small else ids.join(F.broadcast(left), "i").join(F.broadcast(right), "j")
+        work = both.withColumns({c: F.when(~alone, F.col(c)) for c in ("b", "joined_b", "hub_b")})
+        work = work if small else work.repartition(tasks)
+    found = scratch.save(work.mapInArrow(_comparer(k, cuts, shares, bounds), "a bigint, b bigint, dist int, n bigint"))
     counts = found.where("n IS NOT NULL").groupBy("dist").agg(F.sum("n").alias("n_pairs"))
-    return counts, found.where("n IS NULL").select("a", "b", "dist")
+    if not links:
+        return counts, None
+    shown = packed.select("m", "u", "v", "d").mapInArrow(_unpacked, "a bigint, b bigint, dist int")
+    return counts, scratch.save(shown.unionByName(found.where("n IS NULL").select("a", "b", "dist")))

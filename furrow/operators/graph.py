@@ -11,6 +11,8 @@ from furrow.session import Scratch
 #: Bound above which keys are sorted where blocks of hashes are held, and that above which segments hardly tell hashes apart and all pairs are compared.
 MIDDLING = 7
 WIDE = 12
+#: Links that one task merges.
+TOGETHER = 1 << 23
 
 
 def hamming_pairs(hashes: DataFrame, most: int, col: str = "hash", scratch: Scratch | None = None) -> DataFrame:
@@ -81,6 +83,21 @@ def cluster_stats(members: DataFrame) -> DataFrame:
     )
 
 
+def components_by_bound(links: DataFrame, bounds: list[int], scratch: Scratch) -> DataFrame:
+    """(vertex, t6, t10, ...): ``components`` of the links (a, b, dist) at most each bound long, a column a bound.
+
+    Links as few as ``TOGETHER`` are merged by one task, which then takes
+    seconds; more of them by ``components``, bound by bound.
+    """
+    names = {t: f"t{t}" for t in sorted(set(bounds))}
+    if links.count() <= TOGETHER:
+        return scratch.save(links.select("a", "b", "dist").coalesce(1).mapInArrow(bits.merger(list(names)), ", ".join(["vertex bigint", *[f"{c} bigint" for c in names.values()]])))
+    out = links.select(F.col("a").alias("vertex")).union(links.select("b")).distinct()
+    for t, c in names.items():
+        out = out.join(components(links.where(F.col("dist") <= t), scratch=scratch).withColumnRenamed("component", c), "vertex", "left")
+    return scratch.save(out)
+
+
 def threshold_sweep(rows: DataFrame, bounds: list[int], scratch: Scratch | None = None) -> DataFrame:
     """GRF02: ``cluster_stats`` and number of pairs of distinct hashes at each bound; pairs are compared once.
 
@@ -89,15 +106,18 @@ def threshold_sweep(rows: DataFrame, bounds: list[int], scratch: Scratch | None
     """
     scratch = scratch or Scratch(rows.sparkSession)
     if max(bounds) > WIDE:
-        rows = scratch.save(rows)
-        counts, pairs = bits.compared(rows, max(bounds), scratch)
+        rows = scratch.save(rows.select("hash", "split"))
+        counts, links = bits.compared(rows, max(bounds), scratch, bounds=bounds)
+        found = components_by_bound(links, bounds, scratch)
+        members = scratch.save(rows.join(found, rows.hash == found.vertex, "left").drop("vertex"))
+        at = lambda t: members.select("split", F.coalesce(f"t{t}", "hash").alias("cluster"))
     else:
         pairs = scratch.save(hamming_pairs(rows, max(bounds), scratch=scratch))
         counts = pairs.groupBy("dist").agg(F.count("*").alias("n_pairs"))
+        at = lambda t: clustered(rows, t, scratch, pairs.where(F.col("dist") <= t))
     out = None
     for t in bounds:
-        close = pairs.where(F.col("dist") <= t)
-        part = scratch.save(cluster_stats(clustered(rows, t, scratch, close)).withColumn("t", F.lit(t)))
+        part = scratch.save(cluster_stats(at(t)).withColumn("t", F.lit(t)))
         part = part.join(F.broadcast(counts.where(F.col("dist") <= t).agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n_pairs"))))
         out = part if out is None else out.unionByName(part)
     return out

@@ -424,3 +424,44 @@ def test_wide_bounds_are_compared_in_blocks(spark, monkeypatch):
 def test_forest_of_links():
     u, v, d = bits._forest(np.array([0, 1, 0, 2, 4]), np.array([1, 2, 2, 3, 3]), np.array([3, 1, 2, 5, 4], np.uint8), 5)
     assert len(u) == 4 and sorted(d.tolist()) == [1, 2, 4, 5]
+
+
+def test_near_segments_meet_each_pair_once():
+    """Only a part of a large table's pairs is compared, and none within the bound is lost or met twice."""
+    cuts = bits.near_segments(3_000_000, 18)
+    assert sum(bits._share(m.bit_count(), r) for m, r in cuts) < 0.2
+    rng = random.Random(9)
+    pool = [rng.getrandbits(64) for _ in range(60)] + [rng.getrandbits(9) << 20 for _ in range(80)]  # a crowded key
+    pool += [h ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 20))) for h in pool for _ in range(2)]
+    xs = np.array(sorted(set(pool)), np.uint64)
+    brute = lambda a, b: {(min(x, y), max(x, y), (x ^ y).bit_count()) for x in a.tolist() for y in b.tolist() if x != y and (x ^ y).bit_count() <= 18}
+    for several in (cuts, bits.near_segments(300_000, 18), [(0, 0)]):
+        for a, b in ((xs, None), (xs[::2], xs[1::2])):
+            got = []
+            for cut, (mask, _) in enumerate(several):
+                u, v = (z if z is None else z[np.argsort(bits._moved(z, bits._moves(mask)))] for z in (a, b))
+                for share in range(2):
+                    for i, j, d in bits._near(u, v, 18, several, cut, share, 2):
+                        got += [(min(x, y), max(x, y), n) for x, y, n in zip(u[i].tolist(), (u if v is None else v)[j].tolist(), d.tolist())]
+            assert len(got) == len(set(got)) and set(got) == brute(a, a if b is None else b)
+
+
+def test_sweep_joins_through_hubs(spark, monkeypatch):
+    """At a wide bound most hashes are one component: links to its hub stand for all of them, in one block and across blocks."""
+    rng = random.Random(11)
+    pool = {rng.getrandbits(24) << 30 for _ in range(250)} | {rng.getrandbits(64) for _ in range(60)}
+    df = spark.createDataFrame([(signed(h), rng.choice(["train", "val", "test"])) for h in sorted(pool)], "hash bigint, split string")
+    dist = {(a, b): (a ^ b).bit_count() for a in pool for b in pool if a < b}
+    close = {t: spark.createDataFrame([(signed(a), signed(b), d) for (a, b), d in dist.items() if d <= t], "a bigint, b bigint, dist int") for t in (4, 8, 18)}
+    for block in (1 << 22, 120):
+        monkeypatch.setattr(bits, "BLOCK", block)
+        links = bits.compared(df, 18, Scratch(spark), bounds=[4, 8, 18])[1]
+        assert links.count() < 2 * len(pool) < close[18].count()
+        found = graph.components_by_bound(links, [4, 8, 18], Scratch(spark))
+        for t in (4, 8, 18):
+            got = {r.vertex: r[f"t{t}"] for r in found.collect()}
+            want = {r.vertex: r.component for r in graph.components(close[t]).collect()}
+            assert {h: got.get(h, h) for h in map(signed, pool)} == {h: want.get(h, h) for h in map(signed, pool)}
+    monkeypatch.setattr(graph, "TOGETHER", 0)
+    apart = {(r.vertex, *(r[f"t{t}"] or r.vertex for t in (4, 8, 18))) for r in graph.components_by_bound(links, [4, 8, 18], Scratch(spark)).collect()}
+    assert apart == {(r.vertex, r.t4, r.t8, r.t18) for r in found.collect()}
